@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lattica.llm import decontaminate, mix, quality, shard, simhash
+from lattica.llm import ctw, decontaminate, mix, quality, secrets, shard, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": secrets.op1,
     "op2_quality_rules": quality.op2,
     "op3_simhash_near_dedup": simhash.op3,
+    "op4_url_filters": urls.op4,
+    "op5_token_counts": tokens.op5,
     "op6_source_mixing": mix.op6,
+    "op7_lm_scoring": ctw.op7,
     "op8_sharding": shard.op8,
     "op10_benchmark_decontamination": decontaminate.op10,
     "pipeline": corpus_pipeline.run,
