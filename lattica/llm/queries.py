@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lattica.llm import ctw, decontaminate, mix, quality, secrets, shard, simhash, tokens, urls
+from lattica.llm import ctw, decontaminate, language, mix, quality, secrets, shard, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": secrets.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": mix.op6,
     "op7_lm_scoring": ctw.op7,
     "op8_sharding": shard.op8,
+    "op9_language_id": language.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
     "pipeline": corpus_pipeline.run,
 }
