@@ -29,26 +29,12 @@ MIN_WORDS = 50
 #: Fixed: white space of the word rule, and the symbols that are counted.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-WORD_IDS = 1 << 20
+#: Word hashes that a task remembers.
+MEMO = 1 << 17
 #: Words or bytes that are worked on at once.
 CHUNK = 1 << 20
 
 
-class Words:
-    """Word -> number, for a worker's lifetime or until WORD_IDS are given out."""
-
-    def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.ids) > WORD_IDS:
-            self.ids = {}
-        ids = self.ids
-        for w in {x for x in words if x not in ids}:
-            ids[w] = len(ids)
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -57,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
     """A stable 64-bit number for each word, the same in every process."""
-    if len(memo) > WORD_IDS:
+    if len(memo) > MEMO:
         memo.clear()
     for w in {x for x in words if x not in memo}:
         memo[w] = xxhash.xxh64_intdigest(w, 7)
@@ -124,6 +110,8 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
 
 
 def threshold(trusted: np.ndarray, rejected: np.ndarray) -> float:
+    if not len(trusted):
+        return -np.inf
     low = float(np.quantile(trusted, KEEP_TRUSTED, method="lower"))
     below = rejected[rejected < low]
     return low if not len(below) else (low + float(below.max())) / 2
@@ -151,23 +139,24 @@ def scored(docs: DataFrame, ratio: np.ndarray, buckets: int, ids) -> DataFrame:
     return arrow_map(light, work, "trusted boolean, score double")
 
 
-def repeated_words(ids: np.ndarray) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Words inside windows of three that are found twice or more."""
-    n = len(ids)
+    n = len(words)
     if n < 4:
         return 0
-    _, local = np.unique(ids, return_inverse=True)
-    _, pair = np.unique(local[:-1].astype(np.int64) * (local.max() + 1) + local[1:], return_inverse=True)  # exact at any vocabulary
-    _, where, times = np.unique(pair[:-1].astype(np.int64) * (local.max() + 1) + local[2:], return_inverse=True, return_counts=True)
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
+    _, pair = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)  # exact at any vocabulary
+    _, where, times = np.unique(pair[:-1] * len(known) + ids[2:], return_inverse=True, return_counts=True)
     at = np.flatnonzero(times[where] > 1)
     edge = np.bincount(at, minlength=n + 3)[: n + 3] - np.bincount(at + 3, minlength=n + 3)[: n + 3]
     return int(np.count_nonzero(np.cumsum(edge)))
 
 
-def measures(text: str, raw: bytes, words: list[bytes], ids: Words) -> tuple[int, int, int, int, int]:
+def measures(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ids(words))
+    return len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
@@ -179,14 +168,13 @@ def judged(rows: DataFrame, ratio: np.ndarray, least: float, buckets: int = BUCK
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
-        ids = Words()
         for b in batches:
             out = []
             for t in b.column(1):
                 text = t.as_py() or ""
                 raw = text.encode()
                 words = raw.split()
-                m = measures(text, raw, words, ids)
+                m = measures(text, raw, words)
                 failed = m[0] < MIN_WORDS or 100 * m[4] > 50 * m[0]
                 s = score(raw, words, memo, model.value, buckets)
                 out.append((*m, failed, s, not failed and s >= least))
