@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes -> the same bytes with A-Z lowered.
@@ -49,7 +50,12 @@ def packed(df: DataFrame, row: str = "row") -> DataFrame:
     return df.select(F.struct(*[column(df, c).alias(c) for c in df.columns]).alias(row))
 
 
-def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def fields(given: dict[str, T.DataType], ddl: str) -> T.StructType:
+    """A schema of given types, under any names, and what the DDL text adds."""
+    return T.StructType([*(T.StructField(n, t) for n, t in given.items()), *T.StructType.fromDDL(ddl).fields])
+
+
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 

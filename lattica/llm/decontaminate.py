@@ -19,6 +19,8 @@ WINDOW = 10
 MAX_BROADCAST = 200_000
 #: Fixed: what stands between words, for Java's regular expressions.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed: a word and a gap in a text whose A-Z are not lowered.
+WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
 def words_of(text: Column) -> Column:
@@ -75,10 +77,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         return seen.where(F.size("covered") == 0).select("row.*")
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode!r}")
-    word, gap = "[^" + SEPARATORS[1:-2] + "]+", SEPARATORS[:-1] + "*"
     text = F.col("row.text")
-    pieces = F.filter(F.regexp_extract_all(text, F.lit(f"{word}{gap}"), F.lit(0)), lambda p, i: ~F.array_contains("covered", i))
-    cut = F.when(F.size("covered") == 0, text).otherwise(F.concat(F.regexp_extract(text, f"^{gap}", 0), F.array_join(pieces, "")))
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(WORD + GAP), F.lit(0)), lambda p, i: ~F.array_contains("covered", i))
+    cut = F.when(F.size("covered") == 0, text).otherwise(F.concat(F.regexp_extract(text, "^" + GAP, 0), F.array_join(pieces, "")))
     return seen.select(*[cut.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names])
 
 

@@ -79,8 +79,10 @@ def plan(rows: dict[str, int], weights: dict[str, float] | None, period: int, bl
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"{len(rows)} sources; at most {MAX_SOURCES} can have target weights")
     target = {s: n**exponent for s, n in rows.items()} if weights is None else {s: w for s, w in weights.items() if w > 0}
+    if not target:
+        return []
     period = max(period, 4 * len(target))
-    share = shares(target, period) if target else {}
+    share = shares(target, period)
     table = timetable(share, period)
     end = horizon(rows, share, period, block_rows, tolerance)
     return [{"s": s, "a": a, "slots": table[s], "period": period, "horizon": end} for s, a in share.items()]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, column, packed, read
+from lattica.llm.common import arrow_map, column, fields, packed, read
 
 #: For each kind of n-gram.
 BUCKETS = 1 << 15
@@ -181,7 +181,7 @@ def judged(rows: DataFrame, ratio: np.ndarray, least: float, buckets: int = BUCK
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], ["row", *(c.split()[0] for c in COLUMNS.split(", "))])
 
-    return arrow_map(rows, work, f"row {rows.schema['row'].dataType.simpleString()}, {COLUMNS}")
+    return arrow_map(rows, work, fields({"row": rows.schema["row"].dataType}, COLUMNS))
 
 
 def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TARGET_ROWS) -> DataFrame:

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ASCII_LOWER, arrow_map, column, materialize, packed, read
+from lattica.llm.common import ASCII_LOWER, arrow_map, column, fields, materialize, read
 from lattica.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -54,8 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(len(keep))), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fps)], [*keep, "fp"])
 
-    fields = ", ".join(f"`{c}` {light.schema[i].dataType.simpleString()}" for i, c in enumerate(keep))
-    return arrow_map(light, work, f"{fields}, fp long")
+    return arrow_map(light, work, fields({c: light.schema[i].dataType for i, c in enumerate(keep)}, "fp long"))
 
 
 def embed(fp: np.ndarray, segment_bits: int) -> np.ndarray:
