@@ -5,6 +5,8 @@ Tables are sheets; where a key counts rows from 0, _row is the key plus one. For
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from lattica.operators import table
 from lattica.plans import ordered
 from lattica.recalc import Model, data_table
 from lattica.sheet import Sheet, Workbook
+from lattica.sources import text, xlsx
+from lattica.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -360,6 +364,104 @@ def _what_if(spark: SparkSession, d: str) -> DataFrame:
     return rounded(data_table(book(spark, d, "orders"), "orders", "=SUM(D:D)*B1+B2", {"B1": [0.1, 0.2, 0.5], "B2": [1, 1000]}), 2)
 
 
+@query("recurrence_debt", """WITH RECURSIVE t(k, b, j) AS (SELECT 1, CAST(1000 AS DOUBLE), CAST(1000 - least(greatest(100 - 80, 0), 1000) AS DOUBLE) UNION ALL SELECT k + 1, j, j - least(100 * pow(1.1, k) - j * 0.08, j) FROM t WHERE k < 24) SELECT CAST(k AS BIGINT) AS _row, round(b, 4) AS opening, round(j, 4) AS closing FROM t""")
+def _debt(spark: SparkSession, d: str) -> DataFrame:
+    """A debt schedule whose payment is the lesser of cash and balance: no window states it, so rows run in order."""
+    df = spark.range(1, 25).select(F.col("id").alias("_row"), (100 * F.pow(F.lit(1.1), F.col("id") - 1)).alias("cash"))
+    wb = Workbook()
+    wb.add(Sheet("debt", df, ["cash"], "_row"))
+    m = Model(wb, base_row=2)
+    m.set("debt", "opening", "=IF(A1=0,1000,C1)")
+    m.set("debt", "closing", "=B2-MIN(A2-B2*0.08,B2)")
+    m.recalculate()
+    return rounded(wb.sheet("debt").df.select("_row", "opening", "closing"))
+
+
+@query("iterative_cycle", "SELECT CAST(1 + n_nationkey AS BIGINT) AS _row, round((10 + n_nationkey) * 2, 1) AS price, round((10 + n_nationkey) * 2 * 0.5, 1) AS fee FROM nation")
+def _cycle(spark: SparkSession, d: str) -> DataFrame:
+    """price = cost + fee and fee = price / 2 settle by iteration."""
+    wb = book(spark, d, "nation")
+    s = wb.sheet("nation")
+    s.df, s.columns = s.df.select("_row", (F.col("n_nationkey") + 10.0).alias("cost")), ["cost"]
+    m = Model(wb)
+    m.set("nation", "price", "=A1+C1")
+    m.set("nation", "fee", "=B1*50%")
+    m.recalculate(iterate=True)
+    return rounded(wb.sheet("nation").df.select("_row", "price", "fee"), 1)
+
+
+@query("targeted_recalc", f"SELECT o_orderkey, {R('o_totalprice * 2', 2)} AS twice, {R('o_totalprice * 2 + 1', 2)} AS more FROM orders")
+def _targeted(spark: SparkSession, d: str) -> DataFrame:
+    wb = book(spark, d, "orders")
+    m = Model(wb)
+    m.set("orders", "twice", "=D1*2")
+    m.set("orders", "more", "=G1+1")
+    m.recalculate(changed=[("orders", "o_totalprice")])
+    return rounded(wb.sheet("orders").df.select("o_orderkey", "twice", "more"), 2)
+
+
+# --- sources and streams -----------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='lattica-')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("xlsx_round_trip", "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation")
+def _xlsx(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "book") + ".xlsx"
+    xlsx.write_xlsx({"nation": book(spark, d, "nation").sheet("nation").df}, path)
+    return xlsx.read_sheet(spark, path, "nation").df.select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("xlsx_cells_in_range", "SELECT n_nationkey + 2 AS _row, CAST(2 AS BIGINT) AS _col, 'text' AS kind, n_name AS txt FROM nation WHERE n_nationkey + 2 BETWEEN 5 AND 9")
+def _xlsx_range(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "book") + ".xlsx"
+    xlsx.write_xlsx({"nation": book(spark, d, "nation").sheet("nation").df}, path)
+    return rounded(xlsx.read_cells(spark, path, 0, rows=(5, 9), cols=(2, 2)).select("_row", "_col", "kind", "txt"))
+
+
+@query("csv_round_trip", "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, p_name, p_brand, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "part")
+    text.write_csv(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size"), path)
+    return text.read_csv(spark, path).df
+
+
+@query("markdown_table", "SELECT * FROM (VALUES (1, 'North', '12'), (2, 'South', '7')) t(_row, Region, Units)")
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    return text.read_markdown(spark, "| Region | Units |\n|---|--:|\n| North | 12 |\n| South | 7 |").df
+
+
+@query("json_rows", "SELECT '{\"row\":' || (r_regionkey + 1) || ',\"cells\":{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}}' AS value FROM region")
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    return text.json_rows(book(spark, d, "region").sheet("region").df)
+
+
+def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    path = f"{d}/{name}.parquet"
+    return stream.source(spark, f"{d}/*", spark.read.parquet(path).schema, pathGlobFilter=f"{name}.parquet") if not path.startswith("viewfs") else stream.source(spark, path, spark.read.parquet(path).schema)
+
+
+@query("stream_stats", f"SELECT 'event_id' AS \"column\", count(*) AS count, {R('sum(event_id)', 2)} AS sum, CAST(min(event_id) AS DOUBLE) AS min, CAST(max(event_id) AS DOUBLE) AS max, {R('avg(event_id)', 2)} AS mean FROM events UNION ALL SELECT 'value', count(value), {R('sum(value)', 2)}, min(value), max(value), {R('avg(value)', 2)} FROM events")
+def _stream_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stream.drain(stream.stats(streamed(spark, d, "events"), "A,E"), f"s{uuid.uuid4().hex}", "complete"), 2)
+
+
+@query("stream_filter", "SELECT event_id, event_type, value FROM events WHERE value > 50 AND event_type = 'click'")
+def _stream_filter(spark: SparkSession, d: str) -> DataFrame:
+    return stream.drain(stream.filtered(streamed(spark, d, "events"), "value > 50 AND event_type = 'CLICK'", "event_id,event_type,value"), f"f{uuid.uuid4().hex}")
+
+
+@query("stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Event-time windows: an extension."""
+    out = stream.drain(stream.counts(streamed(spark, d, "events"), "event_type", "ts"), f"w{uuid.uuid4().hex}", "complete")
+    return out.select(F.col("window.start").cast("string").alias("start"), "event_type", "n")
+
+
 # --- extensions: what the sheet language has no form for, by Spark itself ----------------
 
 

@@ -189,7 +189,7 @@ class Model:
             return pdf.assign(**{c: data[c] for c in order})
 
         casts = sheet.df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in order else F.col(f"`{c}`") for c in sheet.df.columns])
-        done = casts.groupBy(F.lit(0)).applyInPandas(work, types)  # a recurrence is sequential: one ordered task
+        done = casts.groupBy().applyInPandas(work, types)  # a recurrence is sequential: one ordered task
         self.wb.add(sheet.with_df(done))
         self.wb.sheet(group[0][0]).columns = columns
 
@@ -212,7 +212,7 @@ class Model:
         return True
 
     def settle(self, group: list[Key], max_change: float, most: int) -> bool:
-        """Jacobi iteration of a cycle: all columns anew from the last values until none changes by max_change. Every tenth round goes to the checkpoint folder, so plans stay short."""
+        """Jacobi iteration of a cycle: all columns anew from the last values until none changes by max_change. Every fifth round goes to the checkpoint folder, so plans stay short."""
         for name in {k[0] for k in group}:
             s = self.wb.sheet(name)
             s.df = s.df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) if (name, c) in group else F.col(f"`{c}`") for c in s.df.columns])
@@ -228,7 +228,7 @@ class Model:
             for n, s in fresh.items():
                 cols = [k[1] for k in group if k[0] == n]
                 df = s.df
-                if i % 10 == 9:
+                if i % 5 == 4:
                     df = cut(df)
                 change = max(change, df.agg(F.max(F.greatest(*[F.abs(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) - F.col(f"`__old_{c}`")) for c in cols], F.lit(0.0)))).first()[0] or 0.0)
                 done = before[n].with_df(df.drop(*[f"__old_{c}" for c in cols]))

@@ -32,6 +32,7 @@ def counts(stream: DataFrame, key: str, time: str | None = None, width: str = "1
     """Counts by key, within windows of event time where a time column is given (an extension)."""
     if time is None:
         return stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
 
 
