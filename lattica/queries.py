@@ -344,7 +344,7 @@ def _tabulate(spark: SparkSession, d: str) -> DataFrame:
 # --- recalculation -----------------------------------------------------------------
 
 
-@query("recalc_levels", f"SELECT o_orderkey, {R('o_totalprice * 0.1', 6)} AS tax, {R('o_totalprice * 1.1', 6)} AS gross, {R('sum(o_totalprice * 1.1) OVER (ORDER BY o_orderkey)', 0)} AS balance FROM orders")
+@query("recalc_levels", f"SELECT o_orderkey, {R('o_totalprice * 0.1', 6)} AS tax, {R('o_totalprice * 1.1', 6)} AS gross, {R('sum(o_totalprice * 1.1) OVER (ORDER BY o_orderkey)', 4)} AS balance FROM orders")
 def _recalc(spark: SparkSession, d: str) -> DataFrame:
     """Three templates in dependency order; the last is a recurrence that becomes a running window."""
     wb = book(spark, d, "orders")
@@ -356,7 +356,7 @@ def _recalc(spark: SparkSession, d: str) -> DataFrame:
     wb.sheet("orders").df = wb.sheet("orders").df.withColumn("x", F.lit(None).cast("double"))
     m.set("orders", "tax", "=D2*rate")
     m.recalculate()
-    return wb.sheet("orders").df.select("o_orderkey", F.round("tax", 6).alias("tax"), F.round("gross", 6).alias("gross"), F.round("balance", 0).alias("balance"))
+    return wb.sheet("orders").df.select("o_orderkey", F.round("tax", 6).alias("tax"), F.round("gross", 6).alias("gross"), F.round("balance", 4).alias("balance"))
 
 
 @query("what_if_table", f"SELECT p.x AS \"B1\", q.x AS \"B2\", {R('(SELECT sum(o_totalprice) FROM orders) * p.x + q.x', 2)} AS value FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) p(x), (VALUES (1::DOUBLE), (1000::DOUBLE)) q(x)")
