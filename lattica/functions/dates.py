@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.registry import function, scalar
 from lattica.parser import FormulaError
-from lattica.values import HOST, Val, first_error, to_date, to_int
+from lattica.values import HOST, Val, bound, first_error, to_date, to_int
 
 
 def date(col: Column, err: Column | None = None) -> Val:
@@ -53,11 +53,13 @@ def whole_months(a: Column, b: Column) -> Column:
 @scalar("DATEDIF", "ddt")
 def _datedif(a, b, unit):
     u = F.upper(unit.col)
-    months = whole_months(a.col, b.col)
-    years = F.when(months >= 0, F.floor(months / 12)).otherwise(F.ceil(months / 12))
-    anchor = F.add_months(a.col, months.cast("int"))
-    year_on = F.add_months(a.col, (years * 12).cast("int"))
-    out = F.when(u == "Y", years).when(u == "M", months).when(u == "D", F.datediff(b.col, a.col)).when(u == "MD", F.datediff(b.col, anchor)).when(u == "YM", months - years * 12).when(u == "YD", F.datediff(b.col, year_on))
+
+    def units(x: Column, z: Column, months: Column) -> Column:
+        years = F.when(months >= 0, F.floor(months / 12)).otherwise(F.ceil(months / 12))
+        out = F.when(u == "Y", years).when(u == "M", months).when(u == "D", F.datediff(z, x)).when(u == "YM", months - years * 12)
+        return out.when(u == "MD", F.datediff(z, F.add_months(x, months.cast("int")))).when(u == "YD", F.datediff(z, F.add_months(x, (years * 12).cast("int"))))
+
+    out = bound(a.col, lambda x: bound(b.col, lambda z: bound(whole_months(x, z), lambda m: units(x, z, m))))
     return num(out, F.when(~u.isin("Y", "M", "D", "MD", "YM", "YD"), F.lit(HOST)))
 
 
@@ -70,8 +72,6 @@ def weekdays_upto(d: Column) -> Column:
 def with_holidays(b, args, build) -> Column:
     """build(array of distinct weekday holidays), which a range or a value gives."""
     none = b.sheet.df.sparkSession.range(1)
-    if len(args) < 3:
-        return build(F.array().cast("array<date>"))
     rng = b.as_range(args[2])
     if rng is None:
         return b.over_one(none.select(F.array(to_date(b.value(args[2])).col).alias("d")), lambda d: [build(d)])[0]
@@ -83,9 +83,15 @@ def with_holidays(b, args, build) -> Column:
 @function("NETWORKDAYS", 2, 3)
 def _networkdays(b, args):
     a, z = to_date(b.value(args[0])), to_date(b.value(args[1]))
-    lo, hi = F.least(a.col, z.col), F.greatest(a.col, z.col)
-    n = weekdays_upto(hi) - weekdays_upto(F.date_sub(lo, 1))
-    n = n - with_holidays(b, args, lambda days: F.size(F.filter(days, lambda d: d.between(lo, hi))))
+
+    def counted(days: Column | None) -> Column:
+        def between(lo: Column, hi: Column) -> Column:
+            n = weekdays_upto(hi) - weekdays_upto(F.date_sub(lo, 1))
+            return n if days is None else n - F.size(F.filter(days, lambda d: d.between(lo, hi)))
+
+        return bound(F.least(a.col, z.col), lambda lo: bound(F.greatest(a.col, z.col), lambda hi: between(lo, hi)))
+
+    n = counted(None) if len(args) < 3 else with_holidays(b, args, counted)
     return num(F.when(a.col > z.col, -n).otherwise(n), first_error(a.err, z.err))
 
 
@@ -94,25 +100,30 @@ def _workday(b, args):
     """The n-th working day after (before) a date: the first candidate by weekdays alone, moved on by the holidays passed until none is new."""
     a, n = to_date(b.value(args[0])), to_int(b.value(args[1]))
 
-    def plain(steps: Column) -> Column:
+    def plain(a: Column, steps: Column) -> Column:
         """The date that many weekdays on; a start on a weekend counts from the nearest weekday behind it."""
-        wd = F.weekday(a.col)
-        ahead = F.when(wd > 4, F.date_sub(a.col, (wd - 4).cast("int"))).otherwise(a.col)
-        behind = F.when(wd > 4, F.date_add(a.col, (7 - wd).cast("int"))).otherwise(a.col)
-        start = F.when(steps >= 0, ahead).otherwise(behind)
-        w = F.weekday(start)
-        k = F.abs(steps)
-        fwd = F.date_add(start, (F.floor(k / 5) * 7 + k % 5 + F.when(w + k % 5 > 4, 2).otherwise(0)).cast("int"))
-        back = F.date_sub(start, (F.floor(k / 5) * 7 + k % 5 + F.when(w - k % 5 < 0, 2).otherwise(0)).cast("int"))
-        return F.when(steps == 0, a.col).when(steps > 0, fwd).otherwise(back)
 
-    def met(days: Column, to: Column) -> Column:
-        return F.size(F.filter(days, lambda d: ((n.col > 0) & (d > a.col) & (d <= to)) | ((n.col < 0) & (d < a.col) & (d >= to))))
+        def walked(start: Column) -> Column:
+            w, k = F.weekday(start), F.abs(steps)
+            fwd = F.date_add(start, (F.floor(k / 5) * 7 + k % 5 + F.when(w + k % 5 > 4, 2).otherwise(0)).cast("int"))
+            back = F.date_sub(start, (F.floor(k / 5) * 7 + k % 5 + F.when(w - k % 5 < 0, 2).otherwise(0)).cast("int"))
+            return F.when(steps == 0, a).when(steps > 0, fwd).otherwise(back)
+
+        wd = F.weekday(a)
+        return bound(F.when(wd <= 4, a).when(steps >= 0, F.date_sub(a, (wd - 4).cast("int"))).otherwise(F.date_add(a, (7 - wd).cast("int"))), walked)
 
-    sign = F.signum(n.col).cast("bigint")
-    # Every round adds the holidays that the last candidate passes; it stands once none is new, after one round per holiday at most.
-    out = with_holidays(b, args, lambda days: plain(F.aggregate(F.sequence(F.lit(0), F.size(days)), n.col, lambda s, _: n.col + sign * met(days, plain(s)))))
-    return date(out, first_error(a.err, n.err))
+    def met(days: Column, a: Column, n: Column, to: Column) -> Column:
+        return F.size(F.filter(days, lambda d: ((n > 0) & (d > a) & (d <= to)) | ((n < 0) & (d < a) & (d >= to))))
+
+    def moved(days: Column, a: Column, n: Column) -> Column:
+        # Every round adds the holidays that the last candidate passes; it stands once none is new, after one round per holiday at most.
+        steps = F.aggregate(F.sequence(F.lit(0), F.size(days)), n, lambda s, _: n + F.signum(n).cast("bigint") * bound(plain(a, s), lambda to: met(days, a, n, to)))
+        return bound(steps, lambda s: plain(a, s))
+
+    err = first_error(a.err, n.err)
+    if len(args) < 3:
+        return date(bound(a.col, lambda x: bound(n.col, lambda k: plain(x, k))), err)
+    return date(with_holidays(b, args, lambda days: bound(a.col, lambda x: bound(n.col, lambda k: moved(days, x, k)))), err)
 
 
 def days360(a: Column, b: Column, us: bool) -> Column:
@@ -139,18 +150,21 @@ def _yearfrac(b, args):
     basis = 0 if len(args) < 3 else b.constant(args[2])
     if basis is None or int(basis) not in range(5):
         raise FormulaError("YEARFRAC's basis is a constant from 0 to 4")
+    err = first_error(x.err, z.err)
     lo, hi = F.least(x.col, z.col), F.greatest(x.col, z.col)
+    return num(bound(lo, lambda a: bound(hi, lambda c: year_share(a, c, int(basis)))), err)
+
+
+def year_share(lo: Column, hi: Column, basis: int) -> Column:
     actual = F.datediff(hi, lo)
-    err = first_error(x.err, z.err)
-    if int(basis) in (0, 4):
-        return num(days360(lo, hi, int(basis) == 0) / 360, err)
-    if int(basis) == 2:
-        return num(actual / 360, err)
-    if int(basis) == 3:
-        return num(actual / 365, err)
+    if basis in (0, 4):
+        return days360(lo, hi, basis == 0) / 360
+    if basis in (2, 3):
+        return actual / F.lit(360.0 if basis == 2 else 365.0)
     y1, y2 = F.year(lo), F.year(hi)
+    feb29 = lambda y: F.make_date(y, F.lit(2), F.when(leap(y), 29).otherwise(28))
     within = (y1 == y2) | ((y2 == y1 + 1) & ((F.month(lo) > F.month(hi)) | ((F.month(lo) == F.month(hi)) & (F.dayofmonth(lo) >= F.dayofmonth(hi)))))
-    feb29 = (leap(y1) & (lo <= F.make_date(y1, F.lit(2), F.when(leap(y1), 29).otherwise(28))) & (hi >= F.make_date(y1, F.lit(2), F.when(leap(y1), 29).otherwise(28)))) | (leap(y2) & (hi >= F.make_date(y2, F.lit(2), F.when(leap(y2), 29).otherwise(28))) & (lo <= F.make_date(y2, F.lit(2), F.when(leap(y2), 29).otherwise(28))))
-    year = F.when((y1 == y2) & leap(y1), 366).when(feb29 & (y1 != y2), 366).otherwise(365)
+    holds = (leap(y1) & feb29(y1).between(lo, hi)) | (leap(y2) & feb29(y2).between(lo, hi))
+    year = F.when((y1 == y2) & leap(y1), 366).when(holds & (y1 != y2), 366).otherwise(365)
     span = F.datediff(F.make_date(y2 + 1, F.lit(1), F.lit(1)), F.make_date(y1, F.lit(1), F.lit(1))) / (y2 - y1 + 1)
-    return num(F.when(within, actual / year).otherwise(actual / span), err)
+    return F.when(within, actual / year).otherwise(actual / span)

@@ -178,5 +178,10 @@ def aligned(vals: list[Val]) -> tuple[list[Column], str]:
     return [F.lit(None).cast(cast) if v.kind == "blank" else v.col.cast(cast) for v in vals], kind
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once; an expression that names x often would otherwise hold as many copies of it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def conjunction(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, cols)
