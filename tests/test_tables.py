@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.operators import table
+from lattica.operators import batch, table
 from lattica.parser import FormulaError
 from lattica.plans import ordered
 from lattica.recalc import Model, data_table, with_overrides
@@ -175,3 +175,13 @@ def test_streams(spark, sf):
     assert stream.drain(stream.filtered(src(), "value > 50"), "t_filter").count() == events.where("value > 50").count()
     got = {r["column"]: r["count"] for r in stream.drain(stream.stats(src(), "E"), "t_stats", "complete").collect()}
     assert got == {"value": events.count()}
+
+
+def test_batch(spark):
+    wb = Workbook()
+    wb.add(Sheet("S", spark.createDataFrame([(1, 2.0), (2, 3.0)], "_row bigint, a double"), row="_row"))
+    batch.run(wb, '[{"op": "put", "sheet": "S", "ref": "A1", "value": 5}, {"op": "put", "sheet": "S", "ref": "A3", "value": 1}, {"op": "define_name", "name": "rate", "text": "=2"}, {"op": "fill", "sheet": "S", "column": "b", "formula": "=A1*rate"}, {"op": "add_sheet", "from": "S", "sheet": "T"}, {"op": "delete_rows", "sheet": "T", "at": 1}, {"op": "rename_sheet", "sheet": "T", "to": "U"}]')
+    assert [tuple(r) for r in wb.sheet("S").df.select("_row", "a", "b").orderBy("_row").collect()] == [(1, 5.0, 10.0), (2, 3.0, 6.0), (3, 1.0, 2.0)]
+    assert [r._row for r in wb.sheet("u").df.orderBy("_row").collect()] == [1, 2]
+    with pytest.raises(FormulaError):
+        batch.run(wb, [{"op": "nothing"}])
