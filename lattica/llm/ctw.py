@@ -2,26 +2,29 @@
 
 Texts (UTF-8, A-Z lowered, a zero byte as the end) are coded byte by byte, each byte as eight binary decisions, first bit first. For each decision there is a context tree over the bytes before: a node for every context of up to `depth` bytes, with counts of zeros and ones and the Krichevsky-Trofimov block probability of them. A node's weighted probability is half its own plus half the product of its children's, so a node stops with the posterior weight of its own half; the probability of a bit mixes the Krichevsky-Trofimov estimates of all depths along the context by these weights. A node whose longer context was never seen in training is a leaf. The code length is minus the sum of the logarithms.
 
-Counts come from all training documents: a table of (context, byte) strings, summed in each task, then by key. The strings of all other documents are in it with a count of zero, so every byte that is to be scored has its logarithm computed once, and scoring is one table lookup a byte. The table is broadcast, so its size is checked: `depth` is the largest, up to DEPTH, at which it has no more than MAX_STRINGS rows (depth 1 has 65,536 at most).
+Counts come from all training documents: a table of (context, byte) strings, summed in each task, then by key. The strings of all other documents are in it with a count of zero, so every byte that is to be scored has its logarithm computed once, and scoring is one table lookup a byte. `depth` is the same at every size. The table stays distributed, dealt by the LOW nearest context bytes: all nodes of that depth and deeper are worked out beside their strings, and only the nodes before them, 65,280 at most, meet on the driver. The strings that occur most, MAX_STRINGS at most, are broadcast; all others are joined in a shuffle, once for each document they are in.
 
-Base score: token counts over all training documents by add-one. The HEAVY most frequent tokens are broadcast; all others join the counts in a shuffle, so no frequent token is a hot key and nothing unbounded is broadcast.
+Base score: token counts over all training documents by add-one. The most frequent tokens, HEAVY at most, are broadcast; all others join the counts in a shuffle, so no frequent token is a hot key and nothing unbounded is broadcast.
 
 Defined results: a null text is empty and has one token, its end; a null id counts as the empty text for the split; repeated rows count and are scored each by itself; without training documents the estimates are those of empty counts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import ASCII_LOWER, arrow_map, column, materialize, read
 
 DEPTH, MAX_STRINGS, HEAVY = 4, 3_000_000, 100_000
+#: Context bytes by which strings are dealt, and strings of whole contexts that are worked out at once.
+LOW, MANY = 2, 1 << 19
 FOLDS, HELD_OUT = 7, 2
 #: Bytes whose strings are sorted at once, and tokens that a task counts before it emits them.
 CHUNK, MAX_TOKENS = 1 << 22, 500_000
@@ -65,10 +68,13 @@ def pieces(texts: list[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
 
 
 def string_counts(rows: DataFrame, depth: int) -> DataFrame:
-    """key, n: how often each string occurs in training texts; 0 for those of other texts alone."""
+    """key, n, m: how often each string occurs in training texts (0 for those of other texts alone), and in all texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[0]), pa.array(counts[1])], ["key", "n", "m"])
+
+        keys, counts = np.empty(0, np.int64), np.empty((2, 0), np.int64)
         for b in batches:
             held = b.column(0).to_pylist()
             texts = [t.as_py().translate(ASCII_LOWER) for t in b.column(1)]
@@ -76,13 +82,14 @@ def string_counts(rows: DataFrame, depth: int) -> DataFrame:
                 for some in pieces([t for t, h in zip(texts, held, strict=True) if h == out]):
                     k, n = np.unique(strings(some, depth), return_counts=True)
                     keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
-                    counts = np.bincount(where, np.concatenate((counts, n * (not out))), len(keys)).astype(np.int64)
+                    more = np.concatenate((counts, [n * (not out), n]), axis=1)
+                    counts = np.array([np.bincount(where, x, len(keys)) for x in more]).astype(np.int64)
             if len(keys) > 2 * MAX_STRINGS:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-                keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+                yield done()
+                keys, counts = np.empty(0, np.int64), np.empty((2, 0), np.int64)
+        yield done()
 
-    return arrow_map(rows.select("held_out", "text"), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return arrow_map(rows.select("held_out", "text"), work, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -97,46 +104,95 @@ def block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - np.log(np.pi)
 
 
-def string_logs(keys: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
-    """Log probability of the last byte of each string (keys sorted) after its context."""
-    total = np.zeros(len(keys))
-    levels = []  # strings of each depth: where the full strings are among them
-    for d in range(depth + 1):
+def levels(keys: np.ndarray, counts: np.ndarray, depth: int, low: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strings of each depth from `low` on: themselves, where the full strings are among them, their counts."""
+    out = []
+    for d in range(low, depth + 1):
         short, where = np.unique(keys & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
-        levels.append((short, where, np.bincount(where, counts, len(short))))
+        out.append((short, where, np.bincount(where, counts, len(short))))
+    return out
+
+
+def nodes(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bit: int) -> tuple[list[tuple], list[np.ndarray], np.ndarray]:
+    """The nodes of one decision: for each level (node, zeros, ones, where the full strings are among them) and the posterior weight of stopping there; the first level's weighted log probabilities."""
+    path = []
+    for short, where, n in found:  # a node is the context and the bits of the byte before the decision
+        node = short >> (8 - bit)
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, np.int64)
+        one = (short >> (7 - bit) & 1).astype(np.float64)
+        ones = np.add.reduceat(n * one, first) if len(first) else np.empty(0)
+        both = np.add.reduceat(n, first) if len(first) else np.empty(0)
+        of = (np.cumsum(np.r_[True, node[1:] != node[:-1]]) - 1)[where] if len(node) else where
+        path.append((node[first], both - ones, ones, of))
+    stop: list[np.ndarray] = [np.empty(0)] * len(path)
+    weighted = None
+    for d in range(len(path) - 1, -1, -1):
+        node, zeros, ones, of = path[d]
+        own = block(zeros, ones)
+        if weighted is None:
+            stop[d], weighted = np.ones(len(node)), own
+            continue
+        parent = np.empty(len(path[d + 1][0]), np.int64)
+        parent[path[d + 1][3]] = of
+        stop[d], weighted = stopping(own, np.bincount(parent, weighted, len(node)))
+    return path, stop, weighted
+
+
+def stopping(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A node's posterior weight of its own half and its weighted log probability."""
+    mixed = np.logaddexp(own, below) + np.log(0.5)
+    return np.exp(np.log(0.5) + own - mixed), mixed
+
+
+#: For each decision, the nodes of each depth before `low`, by number: zeros, ones, posterior weight of stopping.
+Above = list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def parts_above(keys: np.ndarray, counts: np.ndarray, depth: int, low: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each decision: its bit, the nodes of depth `low` - 1 and what these strings add to their zeros, ones and children's weighted log probabilities. The strings of a context of `low` bytes must be together."""
+    found = levels(keys, counts, depth, low)
+    for bit in range(8):
+        path, _, weighted = nodes(found, bit)
+        node, zeros, ones, _ = path[0]
+        up, where = np.unique(node & ((1 << (8 * (low - 1) + bit)) - 1), return_inverse=True)
+        yield bit, up, *(np.bincount(where, x, len(up)) for x in (zeros, ones, weighted))
+
+
+def joined_above(bit: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, low: int) -> Above:
+    """The levels before `low` from the sums of `parts_above`, as arrays with a place for every node there can be."""
+    out = []
+    for k in range(8):
+        of = bit == k
+        place = lambda x, of=of, k=k: np.bincount(node[of], x[of], 1 << (8 * (low - 1) + k))
+        z, o, w = place(zeros), place(ones), place(below)
+        rows = []
+        for d in range(low - 1, -1, -1):
+            stop, mixed = stopping(block(z, o), w)
+            rows.append((z, o, stop))
+            if d:  # contexts stand above the bits, the farthest byte on top
+                z, o, w = (x.reshape(256, -1).sum(axis=0) for x in (z, o, np.where(z + o > 0, mixed, 0.0)))
+        out.append(rows[::-1])
+    return out
+
+
+def string_logs(keys: np.ndarray, counts: np.ndarray, depth: int, above: Above | None = None) -> np.ndarray:
+    """Log probability of the last byte of each string after its context. With `above`, the strings are those of some contexts of as many bytes as it has levels."""
+    total = np.zeros(len(keys))
+    low = len(above[0]) if above else 0
+    found = levels(keys, counts, depth, low)
     for bit in range(8):
-        path = []
-        for short, where, n in levels:  # the nodes of this decision: context and the bits of the byte before it
-            node = short >> (8 - bit)
-            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, np.int64)
-            one = (short >> (7 - bit) & 1).astype(np.float64)
-            ones = np.add.reduceat(n * one, first) if len(first) else np.empty(0)
-            both = np.add.reduceat(n, first) if len(first) else np.empty(0)
-            of = (np.cumsum(np.r_[True, node[1:] != node[:-1]]) - 1)[where] if len(node) else where
-            path.append((node[first], both - ones, ones, of))
-        stop: list[np.ndarray] = [np.empty(0)] * (depth + 1)
-        weighted = None
-        for d in range(depth, -1, -1):
-            node, zeros, ones, of = path[d]
-            own = block(zeros, ones)
-            if weighted is None:
-                stop[d], weighted = np.ones(len(node)), own
-                continue
-            parent = np.empty(len(path[d + 1][0]), np.int64)
-            parent[path[d + 1][3]] = of
-            below = np.bincount(parent, weighted, len(node))
-            mixed = np.logaddexp(own, below) + np.log(0.5)
-            stop[d], weighted = np.exp(np.log(0.5) + own - mixed), mixed
+        path, stop, _ = nodes(found, bit)
+        chain = [(zeros, ones, s, (keys & ((1 << (8 * (d + 1))) - 1)) >> (8 - bit)) for d, (zeros, ones, s) in enumerate(above[bit] if above else [])]
+        chain += [(zeros, ones, s, of) for (_, zeros, ones, of), s in zip(path, stop, strict=True)]
         p = None
         bits = keys >> (7 - bit) & 1
-        for d in range(depth, -1, -1):
-            _, zeros, ones, of = path[d]
+        for zeros, ones, s, of in reversed(chain):
             seen = (zeros + ones)[of]
             kt = (np.where(bits == 1, ones[of], zeros[of]) + 0.5) / (seen + 1)
             if p is None:
                 p, deeper = kt, seen
             else:
-                w = np.where(deeper > 0, stop[d][of], 1.0)
+                w = np.where(deeper > 0, s[of], 1.0)
                 p, deeper = w * kt + (1 - w) * p, seen
         total += np.log(p)
     return total
@@ -161,31 +217,79 @@ class Table:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Every key must be in the table."""
+        """NaN for keys that are not in the table."""
         at = self.slot(keys)
         out = self.values[at]
         miss = np.flatnonzero(self.keys[at] != keys)
         at = at[miss]
         while len(miss):
-            at = (at + 1) & ((1 << self.bits) - 1)
+            none = self.keys[at] == -1
+            out[miss[none]] = np.nan
+            miss, at = miss[~none], (at[~none] + 1) & ((1 << self.bits) - 1)
             met = self.keys[at] == keys[miss]
             out[miss[met]] = self.values[at[met]]
-            if np.any(self.keys[at[~met]] == -1):
-                raise KeyError("a string that was never counted")
             miss, at = miss[~met], at[~met]
         return out
 
 
-def fit(rows: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Strings, their logs and the depth."""
-    while True:
-        table = materialize(string_counts(rows, depth), "strings")
-        if depth == 1 or table.count() <= most:
+def commonest(df: DataFrame, times: str, most: int) -> Column:
+    """Whether a row is among the commonest, `most` at most, by steps of an eighth of a power of two; a few hundred steps, whatever the corpus."""
+    step = F.floor(F.log2(times) * 8)
+    least, left = math.inf, most
+    for r in df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        if (left := left - r.n) < 0:
             break
-        depth -= 1
-    got = table.toPandas().sort_values("key")
-    keys = got["key"].to_numpy(np.int64)
-    return keys, string_logs(keys, got["n"].to_numpy(np.float64), depth), depth
+        least = r.step
+    return step >= F.lit(float(least))
+
+
+def fit(rows: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """The strings that occur most, `most` at most, and their logs; the others (key, log) as a table, None where there are none."""
+    low = min(LOW, depth)
+    table = materialize(string_counts(rows, depth), "strings")
+    n = table.count()
+    group = F.expr(f"shiftright(key, 8) & {(1 << (8 * low)) - 1}")
+    tasks = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // MANY))
+    dealt = table.repartition(tasks, group).sortWithinPartitions(group)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """key, n, m of whole contexts, about MANY strings or one context at once."""
+        have: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            have.append(np.array([b.column(i).to_numpy() for i in range(3)]))
+            size += b.num_rows
+            if size >= MANY:
+                got = np.concatenate(have, axis=1)
+                of = got[0] >> 8 & ((1 << (8 * low)) - 1)
+                cut = int(np.flatnonzero(of != of[-1])[-1]) + 1 if of[0] != of[-1] else 0
+                if cut:
+                    yield tuple(got[:, :cut])
+                have, size = [got[:, cut:]], len(of) - cut
+        if size:
+            yield tuple(np.concatenate(have, axis=1))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts, _ in whole(batches):
+            for bit, node, *sums in parts_above(keys, counts.astype(float), depth, low):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), bit)), *map(pa.array, (node, *sums))], ["bit", "node", "zeros", "ones", "below"])
+
+    sums = arrow_map(dealt, parts, "bit long, node long, zeros double, ones double, below double").groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    got = sums.toArrow()  # 256 * 255 rows at most
+    above = joined_above(*(got[c].to_numpy() for c in ("bit", "node", "zeros", "ones", "below")), low)
+    model = rows.sparkSession.sparkContext.broadcast(above)
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts, times in whole(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times), pa.array(string_logs(keys, counts.astype(float), depth, model.value))], ["key", "m", "log"])
+
+    scores = materialize(arrow_map(dealt, logs, "key long, m long, log double"), "string-logs")
+    hot, cold = scores, None
+    if n > most:
+        often = commonest(scores, "m", most)
+        hot, cold = scores.where(often), scores.where(~often).select("key", "log")
+    kept = hot.select("key", "log").toArrow()
+    return kept["key"].to_numpy(), kept["log"].to_numpy(), cold
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -207,6 +311,16 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.where("NOT held_out").select("text"), work, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def grouped(owner: np.ndarray, keys: np.ndarray, n: int) -> pa.Array:
+    """For each of n texts, its keys and how often it has them."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]) if len(keys) else np.empty(0, np.int64)
+    tf = np.diff(np.r_[first, len(keys)])
+    pairs = pa.StructArray.from_arrays([pa.array(keys[first]), pa.array(tf.astype(np.int64))], ["key", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(n + 1)), pa.int32()), pairs)
+
+
 def scored(docs: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS, heavy: int = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row."""
     spark = docs.sparkSession
@@ -215,8 +329,9 @@ def scored(docs: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS, heavy:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = rows.where("NOT held_out").count()
     n, v = sums[0] + ends, sums[1] + (ends > 0)
-    top = {bytes(r.token): r.c for r in counts.orderBy(F.desc("c"), "token").limit(heavy).collect()}  # `heavy` rows at most
-    keys, logs, depth = fit(rows, depth, most)
+    first = (counts if sums[1] <= heavy else counts.where(commonest(counts, "c", heavy))).toArrow()  # `heavy` rows at most
+    top = dict(zip(first["token"].to_pylist(), first["c"].to_pylist(), strict=True))
+    keys, logs, others = fit(rows, depth, most)
     model = spark.sparkContext.broadcast((keys, logs, top))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +339,22 @@ def scored(docs: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS, heavy:
         lookup = Table(keys, logs)
         known = {t: float(np.log10(c + 1)) for t, c in top.items()}
         end = float(np.log10(ends + 1))
+        kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
         for b in batches:
             ids, held = b.column(0), b.column(1)
             texts = [t.as_py().translate(ASCII_LOWER) for t in b.column(2)]
             score, tokens, n_known, base, rest = [], [], [], [], []
+            owner, missed, done = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
             for some in pieces(texts):
                 sizes = np.array([len(t) + 1 for t in some])
-                score.append(np.add.reduceat(lookup(strings(some, depth)), np.cumsum(sizes) - sizes))
+                grams = strings(some, depth)
+                found = lookup(grams)
+                miss = np.flatnonzero(np.isnan(found))
+                found[miss] = 0
+                score.append(np.add.reduceat(found, np.cumsum(sizes) - sizes))
+                owner.append(np.searchsorted(np.cumsum(sizes), miss, "right") + done)
+                missed.append(grams[miss])
+                done += len(some)
             for t in texts:
                 words = t.split()
                 found = [x for x in map(known.get, words) if x is not None]
@@ -239,21 +363,26 @@ def scored(docs: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS, heavy:
                 base.append(sum(found) + end)
                 left = Counter(w for w in words if w not in known) if len(found) < len(words) else {}
                 rest.append([{"token": w, "tf": c} for w, c in left.items()])
-            kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
-            cols = [ids, held, pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(score) / np.log(10) if score else np.empty(0)), pa.array([len(t) for t in texts], pa.int64()), pa.array(rest, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rest"])
+            cols = [ids, held, pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(score) / np.log(10) if score else np.empty(0)), pa.array([len(t) for t in texts], pa.int64()), pa.array(rest, kind), grouped(np.concatenate(owner), np.concatenate(missed), len(texts))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rest", "cold"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    first = arrow_map(rows, work, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rest array<struct<token:binary,tf:bigint>>")
+    first = arrow_map(rows, work, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rest array<struct<token:binary,tf:bigint>>, cold array<struct<key:bigint,tf:bigint>>")
     first = materialize(first.withColumn("rid", F.monotonically_increasing_id()), "scores")
     rare = first.select("rid", F.explode("rest").alias("r")).select("rid", "r.token", "r.tf")
     tail = rare.join(counts, "token").groupBy("rid").agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail"))
-    whole = first.drop("rest").join(tail, "rid", "left")
+    whole = first.drop("rest", "cold").join(tail, "rid", "left")
+    score = F.col("score")
+    if others is not None:
+        missed = first.select("rid", F.explode("cold").alias("r")).select("rid", "r.key", "r.tf")
+        log = F.coalesce("log", F.raise_error(F.lit("a string that was never counted")).cast("double"))
+        whole = whole.join(missed.join(others, "key", "left").groupBy("rid").agg(F.sum(F.col("tf") * log / float(np.log(10))).alias("cold")), "rid", "left")
+        score = score + F.coalesce("cold", F.lit(0.0))
     # c is 0 for tokens that no training text has, so they add nothing but the denominator.
     base = F.col("base") + F.coalesce("tail", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return whole.select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), "score", "n_bytes", (-F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        base.alias("base_score"), score.alias("score"), "n_bytes", (-score * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

@@ -197,6 +197,30 @@ def test_lm_odd(odd, none):
     assert ctw.scored(none).count() == 0
 
 
+def test_context_tree_dealt_by_context():
+    """Levels before LOW, joined from parts, give the logs of the tree as a whole."""
+    texts = [b"hello world, hello words" * 5, "ein wörtchen".encode(), b""]
+    keys, counts = np.unique(ctw.strings(texts, 4), return_counts=True)
+    counts = counts * (keys % 5 > 0).astype(float)
+    for low in (1, 2, 3):
+        group = keys >> 8 & ((1 << (8 * low)) - 1)
+        halves = [np.flatnonzero(group % 3 == i) for i in range(3)]
+        sums = [[np.full(len(x[1]), x[0]), *x[1:]] for h in halves for x in ctw.parts_above(keys[h], counts[h], 4, low)]
+        above = ctw.joined_above(*(np.concatenate(x) for x in zip(*sums, strict=True)), low)
+        whole = ctw.string_logs(keys, counts, 4)
+        for h in halves:
+            assert np.allclose(ctw.string_logs(keys[h], counts[h], 4, above), whole[h], atol=1e-9)
+
+
+def test_lm_depth_is_the_same_at_every_size(spark, documents, odd):
+    """Scores do not hang on how many strings fit a broadcast."""
+    for docs in (documents, odd):
+        want = sorted((r.doc_id or -1, r.n_bytes, r.score) for r in ctw.scored(docs).collect())
+        for most in (0, 500):
+            got = sorted((r.doc_id or -1, r.n_bytes, r.score) for r in ctw.scored(docs, most=most).collect())
+            assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * (1 + abs(b[2])) for a, b in zip(got, want, strict=True))
+
+
 def test_language(spark, sf, odd, none):
     rows = language.op9(spark, sf).collect()
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
