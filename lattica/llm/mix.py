@@ -4,13 +4,13 @@ Each source is cut into blocks of BLOCK_ROWS rows, in the order of a keyed conte
 
 Weights are rounded to shares of a PERIOD (largest remainder, one at least), so the schedule repeats after PERIOD slots and only one period is ever simulated, on the driver, whatever the corpus' size. Block i of a source with share a stands at slot (i div a) * PERIOD + table[source][i mod a]. Past a source's last block its slots stay idle and the others go on in their proportions.
 
-The mixture ends at the horizon: the slot at which the sources that have run out hold more than TOLERANCE of the target weight. Documents beyond it have a slot and are marked as not in the mixture; mixing as a stage leaves them out, since that is what gives the sources their weights. Nothing is repeated.
+The mixture ends at the horizon: the slot at which the sources that have run out hold more than TOLERANCE of the target weight. Documents beyond it have a slot and are marked as not in the mixture; `mixed` leaves them out. Mixing as a stage of the pipeline (`in_order`) returns every document in the order of the slots, the weights' part being the order alone. Nothing is repeated.
 
 Without given weights a source's target is its number of rows to the power EXPONENT (tempered sampling).
 
 Defined results: null is a source of its own; a source without a given weight is not in the mixture (slot null); equal rows are interchangeable; an empty table gives no rows; null texts and ids count as any row; other columns pass through, packed, under any name. The driver holds one number per source; MAX_SOURCES bounds them, and more are an error, since target weights are a list that someone declares.
 
-Plan: one grouped count, ranks by `common.ranked` (no source meets in one task); as a stage, only the hash at which each source is cut is looked up, and texts are filtered in place without a shuffle.
+Plan: one grouped count, ranks by `common.ranked` (no source meets in one task); `mixed` only looks up the hash at which each source is cut, and filters texts in place without a shuffle; `in_order` joins the slots by content hash and sorts by them, two shuffles of the texts.
 """
 
 from __future__ import annotations
@@ -126,6 +126,17 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source: str
     return whole.join(F.broadcast(cuts), (F.col("__k") == F.col("__s")) & (F.col("__h") <= F.col("cut"))).select("row.*")  # a row per source, MAX_SOURCES at most
 
 
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", **settings) -> DataFrame:
+    """Every document, sorted by its slot; those of sources without a weight stand last. Columns as before."""
+    key = lambda text: F.xxhash64(F.lit(SEED + 1), text)
+    light = materialize(docs.select(source_key(source).alias("s"), order_hash(docs).alias("h")), "mix-rows")
+    # Rows of one source and one hash are interchangeable and stand together, at the first slot of any.
+    slots = scheduled(light, weights, **settings).groupBy("s", "h").agg(F.min("slot").alias("slot"))
+    slots = slots.select(F.col("s").alias("__s"), F.col("h").alias("__h"), F.coalesce("slot", F.lit(2**63 - 1)).alias("__slot"))
+    whole = packed(docs).withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col("row")[source]), F.lit("null"))).withColumn("__o", F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.col("row.text")))
+    return whole.join(slots, (F.col("__k") == F.col("__s")) & (F.col("__o") == F.col("__h"))).orderBy("__slot", key("__s"), "__o").select("row.*")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, rank, block, release, deadline, slot, in_mix for every document."""
     docs = read(spark, sf_dir, "documents")

@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage on its own input, against plain versions."""
 
 import corpus_pipeline as cp
-from lattica.llm import decontaminate, near_copies, quality, shard
+from lattica.llm import decontaminate, mix, near_copies, quality, shard
 from lattica.llm.common import materialize
 
 
@@ -35,3 +35,17 @@ def test_stages(spark, sf, documents):
 def test_run(spark, sf):
     out = cp.run(spark, sf)
     assert out.count() > 0 and {"shard", "slot", "text"} <= set(out.columns) and len(cp.STAGES) == 5
+
+
+def test_mixing_stage_keeps_every_document(spark, odd, none):
+    """A source with a third of all rows beside small ones: nothing is left out, and rows come by slot."""
+    rows = [(i, f"t{i}", "en", "hot" if i % 3 == 0 else None if i % 3 == 1 else f"s{i % 19}", 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, odd.schema)
+    assert mix.mixed(df).count() < 6000
+    out = cp.source_mixing(spark, df, "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(6000)) and out.columns == df.columns
+    light = df.select("doc_id", mix.source_key().alias("s"), mix.order_hash(df).alias("h"))
+    slot = {r.doc_id: r.slot for r in mix.scheduled(light).collect()}
+    got = [slot[r.doc_id] for r in out.collect()]
+    assert got == sorted(got)
+    assert cp.source_mixing(spark, odd, "").count() == odd.count() and cp.source_mixing(spark, none, "").count() == 0
