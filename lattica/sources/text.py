@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.sheet import Sheet
@@ -14,21 +14,23 @@ DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
 def typed(df: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """Text columns given types by the majority of their first cells that are not empty. A cell that does not fit stays as text in <column>__text."""
+    """Text columns given types by the majority of their first cells that are not empty. A cell that does not fit, wherever it stands, stays as text in <column>__text; a column all of whose cells fit has none."""
     rows = df.limit(sample).collect()
-    out = []
+    out: list[tuple[Column, Column | None]] = []  # column, and whether it is there
     for c in df.columns:
         seen = [r[c].strip() for r in rows if r[c] is not None and r[c].strip()]
         kinds = {"double": [bool(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", x)) for x in seen], "boolean": [x.lower() in ("true", "false") for x in seen], "date": [bool(re.fullmatch(DATE[1:-1], x)) for x in seen]}
         kind = next((k for k, ok in kinds.items() if seen and sum(ok) / len(seen) >= MAJORITY), None)
         if kind is None:
-            out.append(F.col(f"`{c}`"))
+            out.append((F.col(f"`{c}`"), None))
             continue
         value = F.trim(F.col(f"`{c}`")).try_cast(kind)
-        out.append(value.alias(c))
-        if not all(kinds[kind]):
-            out.append(F.when(value.isNull() & (F.trim(F.col(f"`{c}`")) != ""), F.col(f"`{c}`")).alias(f"{c}__text"))
-    return df.select(*out)
+        out.append((value.alias(c), None))
+        misfit = F.when(value.isNull() & (F.trim(F.col(f"`{c}`")) != ""), F.col(f"`{c}`"))
+        out.append((misfit.alias(f"{c}__text"), F.count(misfit) > 0))
+    asked = [there for _, there in out if there is not None]
+    found = iter(df.agg(*[there.alias(str(i)) for i, there in enumerate(asked)]).first() if asked else ())  # one scan over all rows
+    return df.select(*[col for col, there in out if there is None or next(found)])
 
 
 def read_csv(spark: SparkSession, path: str, name: str = "Sheet1", delimiter: str = ",", encoding: str = "UTF-8", header: bool = True, infer: bool = True) -> Sheet:

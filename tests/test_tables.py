@@ -135,6 +135,15 @@ def test_csv_types(spark, tmp_path):
     assert [r.m__text for r in df.orderBy("n").collect()][-1] == "oops"
 
 
+def test_csv_misfit_after_the_sample(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,d,k\n" + "".join(f"{i},2024-01-02,{i}\n" for i in range(50)) + "n/a,soon,50\n,2024-01-03,51\n")
+    df = text.read_csv(spark, str(tmp_path / "a.csv")).df
+    assert df.columns == ["n", "n__text", "d", "d__text", "k"]
+    assert [(r.n, r.n__text, r.d, r.d__text) for r in df.where("n__text IS NOT NULL OR d__text IS NOT NULL").collect()] == [(None, "n/a", None, "soon")]
+    assert df.where("n IS NULL").count() == 2
+
+
+
 def test_markdown(spark):
     sheet = text.read_markdown(spark, "| a | b |\n|---|:-:|\n| 1 | x\\|y |\n| 2 |  |")
     assert [tuple(r) for r in sheet.df.collect()] == [(1, "1", "x|y"), (2, "2", None)]
