@@ -1,6 +1,7 @@
 """Every registered query against its SQL at the smallest scale."""
 
 import math
+from datetime import date
 
 import duckdb
 import pandas as pd
@@ -47,6 +48,31 @@ def test_irr(spark, sf):
     assert -1 < row.irr < 2 and row.xirr is not None
 
 
+def test_irr_over_all_orders(spark, sf):
+    """Bisection over the monthly totals of the whole table."""
+    totals, outlay = {}, 0.0
+    for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderdate", "o_totalprice").collect():
+        month = str(r.o_orderdate)[:7]
+        totals[month] = totals.get(month, 0.0) + r.o_totalprice
+        outlay -= 0.8 * r.o_totalprice
+    first = [int(x) for x in min(totals).split("-")]
+    begin = date(first[0] - (first[1] == 1), (first[1] - 2) % 12 + 1, 1)
+    flows = [(begin, outlay)] + [(date(int(m[:4]), int(m[5:]), 1), v) for m, v in sorted(totals.items())]
+
+    def root(f):
+        low, high = -0.9, 2.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) > 0 else (low, mid)
+        return low
+
+    worth = lambda r: sum(v / (1 + r) ** ((d - begin).days / 365) for d, v in flows)
+    row = core.QUERIES["irr_xirr"](spark, sf).first()
+    assert abs(row.irr - root(lambda r: sum(v / (1 + r) ** i for i, (_, v) in enumerate(flows)))) < 6e-5  # four places are given
+    assert abs(row.xirr - root(worth)) < 6e-5 and abs(row.xnpv - worth(0.1)) < 1e-6 * abs(outlay)
+
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
