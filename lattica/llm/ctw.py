@@ -12,82 +12,110 @@ Defined results: a null text is empty and has one token, its end; a null id coun
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ASCII_LOWER, arrow_map, column, materialize, read
+from lattica.llm.common import arrow_map, column, materialize, read
 
-DEPTH, MAX_STRINGS, HEAVY = 4, 3_000_000, 100_000
+DEPTH, MAX_STRINGS, HEAVY = 4, 1_000_000, 100_000
 #: Context bytes by which strings are dealt, and strings of whole contexts that are worked out at once.
 LOW, MANY = 2, 1 << 19
 FOLDS, HELD_OUT = 7, 2
-#: Bytes whose strings are sorted at once, and tokens that a task counts before it emits them.
-CHUNK, MAX_TOKENS = 1 << 22, 500_000
+#: Bytes whose strings are sorted at once, and different strings that a task holds before it emits them.
+CHUNK, RUNS = 1 << 21, 1 << 22
 
 
 def split(docs: DataFrame) -> DataFrame:
-    """id, held_out, text (bytes, null as empty)."""
+    """id, held_out, text (null as empty)."""
     name = F.coalesce(column(docs, "doc_id").cast("string"), F.lit(""))
     held = F.crc32(name.cast("binary")) % FOLDS == HELD_OUT
-    return docs.select(column(docs, "doc_id").alias("id"), held.alias("held_out"), F.coalesce(column(docs, "text"), F.lit("")).cast("binary").alias("text"))
+    return docs.select(column(docs, "doc_id").alias("id"), held.alias("held_out"), F.coalesce(column(docs, "text"), F.lit("")).alias("text"))
 
 
-def strings(texts: list[bytes], depth: int) -> np.ndarray:
-    """(context, byte) of each byte and end, as numbers: the nearest context byte above the byte itself, the farthest on top. Each text begins in a context of zeros."""
-    pad = b"\0" * depth
-    raw = np.frombuffer(pad + (b"\0" + pad).join(texts) + b"\0", np.uint8).astype(np.int64)
-    out = raw[depth:].copy()
+def strings(texts: list[bytes], depth: int, before: list[bytes] | None = None) -> np.ndarray:
+    """(context, byte) of each byte, as numbers: the nearest context byte above the byte itself, the farthest on top. `before`: the `depth` bytes that precede each text; without it, texts are whole: each begins in a context of zeros and ends with a zero."""
+    if before is None:
+        texts, before = [t + b"\0" for t in texts], [b"\0" * depth] * len(texts)
+    raw = np.frombuffer(b"".join(x for pair in zip(before, texts, strict=True) for x in pair), np.uint8).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    at = np.arange(sizes.sum()) + np.repeat((np.arange(len(texts)) + 1) * depth, sizes)
+    out = raw[at]
     for d in range(1, depth + 1):
-        out |= raw[depth - d : len(raw) - d] << (8 * d)
-    return out[kept(texts, depth)]
+        out |= raw[at - d] << (8 * d)
+    return out
+
+
+def pieces(texts: list[bytes], depth: int, most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For about `most` bytes at once: the text that each string is of, the strings. Longer texts are cut, each cut with the bytes before it."""
+    of: list[int] = []
+    some: list[bytes] = []
+    before: list[bytes] = []
+    size, few = 0, 1 << (63 - 8 * (depth + 1))
+
+    def done() -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(of, [len(x) for x in some]), strings(some, depth, before)
+
+    for i, t in enumerate(texts):
+        body = t + b"\0"
+        for at in range(0, len(body), most):
+            of.append(i)
+            some.append(body[at : at + most])
+            before.append((b"\0" * depth + body[max(0, at - depth) : at])[-depth:] if depth else b"")
+            size += len(some[-1])
+            if size >= most or len(of) == few:
+                yield done()
+                of, some, before, size = [], [], [], 0
+    if of:
+        yield done()
 
 
-def kept(texts: list[bytes], depth: int) -> np.ndarray:
-    """Which places are bytes or ends of a text, not padding before the next."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    starts = np.cumsum(sizes + depth) - sizes - depth
-    return np.arange(sizes.sum()) + np.repeat(np.arange(len(texts)) * depth, sizes) if len(starts) else np.empty(0, np.int64)
+def lowered(texts: pa.Array) -> list[bytes]:
+    return pc.ascii_lower(texts).cast(pa.binary()).to_pylist()
 
 
-def pieces(texts: list[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
-    """Runs of whole texts of about `most` bytes."""
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of keys with columns of counts, added up by key."""
+    k, n = np.concatenate(keys), np.concatenate(counts, axis=1)
+    order = np.argsort(k, kind="stable")  # merges the runs
+    k = k[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[first], np.add.reduceat(n[:, order], first, axis=1)
 
 
 def string_counts(rows: DataFrame, depth: int) -> DataFrame:
-    """key, n, m: how often each string occurs in training texts (0 for those of other texts alone), and in all texts."""
+    """key, n, m: how often each string occurs in training texts (0 for those of other texts alone, which are there to have their logarithm computed), and in all texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        size = 0
+
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[0]), pa.array(counts[1])], ["key", "n", "m"])
+            k, n = summed(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[0]), pa.array(n[1])], ["key", "n", "m"])
 
-        keys, counts = np.empty(0, np.int64), np.empty((2, 0), np.int64)
         for b in batches:
-            held = b.column(0).to_pylist()
-            texts = [t.as_py().translate(ASCII_LOWER) for t in b.column(1)]
+            held = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            texts = lowered(b.column(1))
             for out in (False, True):
-                for some in pieces([t for t, h in zip(texts, held, strict=True) if h == out]):
-                    k, n = np.unique(strings(some, depth), return_counts=True)
-                    keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
-                    more = np.concatenate((counts, [n * (not out), n]), axis=1)
-                    counts = np.array([np.bincount(where, x, len(keys)) for x in more]).astype(np.int64)
-            if len(keys) > 2 * MAX_STRINGS:
-                yield done()
-                keys, counts = np.empty(0, np.int64), np.empty((2, 0), np.int64)
-        yield done()
+                for _, grams in pieces([t for t, h in zip(texts, held, strict=True) if h == out], depth):
+                    k, n = np.unique(grams, return_counts=True)
+                    keys.append(k)
+                    counts.append(np.array([n * (not out), n]))
+                    size += len(k)
+                    if size > RUNS:
+                        k, n = summed(keys, counts)
+                        keys, counts, size = [k], [n], len(k)
+                        if size > RUNS // 2:
+                            yield done()
+                            keys, counts, size = [], [], 0
+        if size:
+            yield done()
 
     return arrow_map(rows.select("held_out", "text"), work, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -198,40 +226,6 @@ def string_logs(keys: np.ndarray, counts: np.ndarray, depth: int, above: Above |
     return total
 
 
-class Table:
-    """key -> value by open addressing in arrays, for many keys at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits)
-        left, at = np.arange(len(keys)), self.slot(keys)
-        while len(left):
-            free = self.keys[at] == -1
-            self.keys[at[free]] = keys[left[free]]
-            put = self.keys[at] == keys[left]
-            self.values[at[put]] = values[left[put]]
-            left, at = left[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """NaN for keys that are not in the table."""
-        at = self.slot(keys)
-        out = self.values[at]
-        miss = np.flatnonzero(self.keys[at] != keys)
-        at = at[miss]
-        while len(miss):
-            none = self.keys[at] == -1
-            out[miss[none]] = np.nan
-            miss, at = miss[~none], (at[~none] + 1) & ((1 << self.bits) - 1)
-            met = self.keys[at] == keys[miss]
-            out[miss[met]] = self.values[at[met]]
-            miss, at = miss[~met], at[~met]
-        return out
-
-
 def commonest(df: DataFrame, times: str, most: int) -> Column:
     """Whether a row is among the commonest, `most` at most, by steps of an eighth of a power of two; a few hundred steps, whatever the corpus."""
     step = F.floor(F.log2(times) * 8)
@@ -244,7 +238,7 @@ def commonest(df: DataFrame, times: str, most: int) -> Column:
 
 
 def fit(rows: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
-    """The strings that occur most, `most` at most, and their logs; the others (key, log) as a table, None where there are none."""
+    """The strings that occur most, `most` at most, sorted, and their logs; the others (key, log) as a table, None where there are none."""
     low = min(LOW, depth)
     table = materialize(string_counts(rows, depth), "strings")
     n = table.count()
@@ -289,36 +283,63 @@ def fit(rows: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS) -> tuple[n
         often = commonest(scores, "m", most)
         hot, cold = scores.where(often), scores.where(~often).select("key", "log")
     kept = hot.select("key", "log").toArrow()
-    return kept["key"].to_numpy(), kept["log"].to_numpy(), cold
+    keys, logs = kept["key"].to_numpy(), kept["log"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], logs[order], cold
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The text that each word is of, the words (A-Z lowered)."""
+    split_ = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at \x20 and \x09-\x0D; empty ends are not words
+    flat = split_.flatten()
+    full = pc.not_equal(flat, "")
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(split_).to_numpy(zero_copy_only=False))
+    return of[full.to_numpy(zero_copy_only=False)], flat.filter(full)
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """token (bytes), c: counts of words in training texts; the end is not among them."""
+    """token, c: counts of words in training texts; the end is not among them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(c: Counter[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["token", "c"])
-
-        seen: Counter[bytes] = Counter()
         for b in batches:
-            for t in b.column(0):
-                seen.update(t.as_py().translate(ASCII_LOWER).split())
-                if len(seen) > MAX_TOKENS:
-                    yield done(seen)
-                    seen = Counter()
-        yield done(seen)
-
-    return arrow_map(rows.where("NOT held_out").select("text"), work, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def grouped(owner: np.ndarray, keys: np.ndarray, n: int) -> pa.Array:
-    """For each of n texts, its keys and how often it has them."""
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]) if len(keys) else np.empty(0, np.int64)
-    tf = np.diff(np.r_[first, len(keys)])
-    pairs = pa.StructArray.from_arrays([pa.array(keys[first]), pa.array(tf.astype(np.int64))], ["key", "tf"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(n + 1)), pa.int32()), pairs)
+            found = words(b.column(0))[1].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts").cast(pa.int64())], ["token", "c"])
+
+    return arrow_map(rows.where("NOT held_out").select("text"), work, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def lists(owner: np.ndarray, tf: np.ndarray, values: pa.Array, name: str, n: int) -> pa.Array:
+    """For each of n texts, structs of its values and how often it has them; owner is sorted."""
+    pairs = pa.StructArray.from_arrays([values, pa.array(tf.astype(np.int64))], [name, "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pairs)
+
+
+def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and its length."""
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
+    return first, np.diff(np.r_[first, len(sorted_)])
+
+
+def byte_scores(texts: list[bytes], keys: np.ndarray, logs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the logs of each text's strings; text, string and times of the strings that are not among `keys` (sorted)."""
+    total = np.zeros(len(texts))
+    missed = [np.empty((3, 0), np.int64)]
+    for of, grams in pieces(texts, depth):
+        base = int(of[0])
+        bits = max(1, int(of[-1] - base).bit_length())
+        both = grams << bits | (of - base)
+        both.sort()  # by string, then by text: each string is looked up once
+        gram, of = both >> bits, (both & ((1 << bits) - 1)) + base
+        first, n = runs(gram)
+        at = np.minimum(np.searchsorted(keys, gram[first]), max(len(keys) - 1, 0))
+        found = keys[at] == gram[first] if len(keys) else np.zeros(len(first), bool)
+        value = np.where(found, logs[at], 0.0) if len(keys) else np.zeros(len(first))
+        total += np.bincount(of, np.repeat(value, n), len(texts))
+        miss = np.flatnonzero(np.repeat(~found, n))
+        start, tf = runs(both[miss])
+        missed.append(np.array([of[miss][start], gram[miss][start], tf]))
+    got = np.concatenate(missed, axis=1)
+    return total, *got[:, np.argsort(got[0], kind="stable")]
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS, heavy: int = HEAVY) -> DataFrame:
@@ -329,45 +350,37 @@ def scored(docs: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS, heavy:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = rows.where("NOT held_out").count()
     n, v = sums[0] + ends, sums[1] + (ends > 0)
-    first = (counts if sums[1] <= heavy else counts.where(commonest(counts, "c", heavy))).toArrow()  # `heavy` rows at most
-    top = dict(zip(first["token"].to_pylist(), first["c"].to_pylist(), strict=True))
+    top = (counts if sums[1] <= heavy else counts.where(commonest(counts, "c", heavy))).toArrow().combine_chunks()  # `heavy` rows at most
     keys, logs, others = fit(rows, depth, most)
-    model = spark.sparkContext.broadcast((keys, logs, top))
+    tokens = pa.concat_arrays(top["token"].chunks) if top.num_rows else pa.array([], pa.string())
+    model = spark.sparkContext.broadcast((keys, logs, tokens, np.log10(top["c"].to_numpy() + 1.0)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, top = model.value
-        lookup = Table(keys, logs)
-        known = {t: float(np.log10(c + 1)) for t, c in top.items()}
+        keys, logs, tokens, token_logs = model.value
         end = float(np.log10(ends + 1))
-        kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
         for b in batches:
-            ids, held = b.column(0), b.column(1)
-            texts = [t.as_py().translate(ASCII_LOWER) for t in b.column(2)]
-            score, tokens, n_known, base, rest = [], [], [], [], []
-            owner, missed, done = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
-            for some in pieces(texts):
-                sizes = np.array([len(t) + 1 for t in some])
-                grams = strings(some, depth)
-                found = lookup(grams)
-                miss = np.flatnonzero(np.isnan(found))
-                found[miss] = 0
-                score.append(np.add.reduceat(found, np.cumsum(sizes) - sizes))
-                owner.append(np.searchsorted(np.cumsum(sizes), miss, "right") + done)
-                missed.append(grams[miss])
-                done += len(some)
-            for t in texts:
-                words = t.split()
-                found = [x for x in map(known.get, words) if x is not None]
-                tokens.append(len(words) + 1)
-                n_known.append(len(found) + (ends > 0))
-                base.append(sum(found) + end)
-                left = Counter(w for w in words if w not in known) if len(found) < len(words) else {}
-                rest.append([{"token": w, "tf": c} for w, c in left.items()])
-            cols = [ids, held, pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(score) / np.log(10) if score else np.empty(0)), pa.array([len(t) for t in texts], pa.int64()), pa.array(rest, kind), grouped(np.concatenate(owner), np.concatenate(missed), len(texts))]
+            size = b.num_rows
+            texts = lowered(b.column(2))
+            score, owner, missed, tf = byte_scores(texts, keys, logs, depth)
+            cold = lists(owner, tf, pa.array(missed), "key", size)
+            of, found = words(b.column(2))
+            coded = found.dictionary_encode()
+            index, here = coded.indices.to_numpy(), coded.dictionary
+            place = pc.fill_null(pc.index_in(here, value_set=tokens), -1).to_numpy()
+            known = place >= 0
+            value = np.where(known, token_logs[place], 0.0) if len(tokens) else np.zeros(len(here))
+            base = np.bincount(of, value[index], size) + end
+            n_known = np.bincount(of, known[index], size).astype(np.int64) + (ends > 0)
+            left = np.flatnonzero(~known[index])
+            pair = np.sort(of[left] * max(len(here), 1) + index[left])
+            first, times = runs(pair)
+            rest = lists(pair[first] // max(len(here), 1), times, here.take(pa.array(pair[first] % max(len(here), 1))), "token", size)
+            n_bytes = np.array([len(t) for t in texts], np.int64)
+            cols = [b.column(0), b.column(1), pa.array(np.bincount(of, minlength=size).astype(np.int64) + 1), pa.array(n_known), pa.array(base), pa.array(score / np.log(10)), pa.array(n_bytes), rest, cold]
             yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rest", "cold"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    first = arrow_map(rows, work, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rest array<struct<token:binary,tf:bigint>>, cold array<struct<key:bigint,tf:bigint>>")
+    first = arrow_map(rows, work, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rest array<struct<token:string,tf:bigint>>, cold array<struct<key:bigint,tf:bigint>>")
     first = materialize(first.withColumn("rid", F.monotonically_increasing_id()), "scores")
     rare = first.select("rid", F.explode("rest").alias("r")).select("rid", "r.token", "r.tf")
     tail = rare.join(counts, "token").groupBy("rid").agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail"))
