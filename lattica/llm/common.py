@@ -50,6 +50,12 @@ def packed(df: DataFrame, row: str = "row") -> DataFrame:
     return df.select(F.struct(*[column(df, c).alias(c) for c in df.columns]).alias(row))
 
 
+def content_key(*parts: Column) -> Column:
+    """128 bits of a row's content; NULL counts as a value of its own, and each part's length is its own."""
+    each = [F.when(p.isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), F.unhex(F.md5(p.cast("string").cast("binary"))))) for p in parts]
+    return F.unhex(F.md5(F.concat(*each)))
+
+
 def fields(given: dict[str, T.DataType], ddl: str) -> T.StructType:
     """A schema of given types, under any names, and what the DDL text adds."""
     return T.StructType([*(T.StructField(n, t) for n, t in given.items()), *T.StructType.fromDDL(ddl).fields])

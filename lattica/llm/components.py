@@ -9,7 +9,7 @@ from lattica.llm.common import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b: long, a != b) -> node, root: the least node that each node reaches; nodes that are the least themselves are left out.
+    """links (a, b: of any type that has an order, a != b) -> node, root: the least node that each node reaches; nodes that are the least themselves are left out.
 
     Rounds grow with the logarithm of the longest chain. A star's centre is grouped by min alone, so no neighbourhood meets in one task's memory; the join of a node with its least neighbour is left to adaptive skew handling. Only counts come to the driver. No links give no rows.
     """
