@@ -1,140 +1,139 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of BLOCK_ROWS rows, in the order of a keyed content hash. A source of weight w has block i (from 0) released at floor(i / w), due at ceil((i + 1) / w); at every slot the released block of the earliest deadline goes next. As the weights sum to one, every block meets its deadline, so at any time t a source has had less than one block more or less than w * t.
+Each source is cut into blocks of BLOCK_ROWS rows, in the order of a keyed content hash. Of a source of weight w (weights sum to one), block i (from 0) is released at floor(i / w) and due at ceil((i + 1) / w); at every slot the released block of the earliest deadline goes next. Every block then meets its deadline, so at any slot t before its last block a source has had less than one block more or less than w * t. Weights are exact fractions of the given numbers: release times and deadlines are whole-number arithmetic without rounding, at every size and for any number of sources. Past a source's last block its slots stay idle and the others go on in their proportions.
 
-Weights are rounded to shares of a PERIOD (largest remainder, one at least), so the schedule repeats after PERIOD slots and only one period is ever simulated, on the driver, whatever the corpus' size. Block i of a source with share a stands at slot (i div a) * PERIOD + table[source][i mod a]. Past a source's last block its slots stay idle and the others go on in their proportions.
-
-The mixture ends at the horizon: the slot at which the sources that have run out hold more than TOLERANCE of the target weight. Documents beyond it have a slot and are marked as not in the mixture; `mixed` leaves them out. Mixing as a stage of the pipeline (`in_order`) returns every document in the order of the slots, the weights' part being the order alone. Nothing is repeated.
+The mixture ends at the horizon: the slot at which the sources that have run out hold more than `tolerance` of the target weight (None: never). Documents beyond it have a slot and are marked as not in the mixture; `mixed` leaves them out. Mixing as a stage of the pipeline (`in_order`) returns every document in the order of the slots, the weights' part being the order alone. Nothing is repeated.
 
 Without given weights a source's target is its number of rows to the power EXPONENT (tempered sampling).
 
-Defined results: null is a source of its own; a source without a given weight is not in the mixture (slot null); equal rows are interchangeable; an empty table gives no rows; null texts and ids count as any row; other columns pass through, packed, under any name. The driver holds one number per source; MAX_SOURCES bounds them, and more are an error, since target weights are a list that someone declares.
+Defined results: null is a source of its own; a source without a given positive weight is not in the mixture (slot null); equal rows are interchangeable; an empty table gives no rows; null texts and ids count as any row; other columns pass through, packed, under any name.
 
-Plan: one grouped count, ranks by `common.ranked` (no source meets in one task); `mixed` only looks up the hash at which each source is cut, and filters texts in place without a shuffle; `in_order` joins the slots by content hash and sorts by them, two shuffles of the texts.
+Plan: one grouped count; its rows, one a source, go to a single task that simulates the schedule in a heap of one entry a source and streams one row a block, BLOCK_ROWS times fewer than documents (earliest deadline first has no parallel form). Ranks come from `common.ranked` (no source meets in one task) and meet the blocks in an equi-join on source and block. The driver holds nothing. `mixed` looks up the hash at which each source is cut; `in_order` joins the slots by content hash and sorts by them, two shuffles of the texts.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import column, json_table, materialize, packed, ranked, read
+from lattica.llm.common import arrow_map, column, materialize, packed, ranked, read
 
-BLOCK_ROWS, PERIOD, EXPONENT, TOLERANCE, SEED = 64, 4096, 0.7, 0.1, 6
-MAX_SOURCES = 10_000
+BLOCK_ROWS, EXPONENT, TOLERANCE, SEED = 64, 0.7, 0.1, 6
+#: Rows of the schedule that its task hands over at once, and the last time that a table can hold.
+BATCH, LAST = 1 << 16, (1 << 63) - 1
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of the period, one at least for each source, by largest remainder."""
-    total = sum(weights.values())
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources need a period of as many slots")
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    i = 0
-    while (short := period - sum(out.values())) != 0:
-        s = order[i % len(order)] if short > 0 else max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -math.inf, s))
-        out[s] += 1 if short > 0 else -1
-        i += 1
-    return out
+def wholes(weights: dict[str, float]) -> dict[str, int]:
+    """The same proportions as whole numbers, exactly."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[p.denominator for p in parts.values()])
+    return {s: int(p * unit) for s, p in parts.items()}
 
 
-def timetable(share: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slot of each of a source's blocks within one period: earliest deadline first among the released."""
-    coming = [(0, -(-period // a), s, 0) for s, a in share.items()]  # release, deadline, source, block
+def timetable(part: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block: earliest deadline first among the released; of equal deadlines, the source of the lesser name."""
+    total = sum(part.values())
+    times = lambda s, i: (i * total // part[s], -(-(i + 1) * total // part[s]))
+    coming = [(*times(s, 0), s, 0) for s in part if blocks.get(s)]
     heapq.heapify(coming)
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(period):
+    ready: list[tuple[int, str, int, int]] = []
+    slot = 0
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])  # idle slots
         while coming and coming[0][0] <= slot:
-            _, due, s, i = heapq.heappop(coming)
-            heapq.heappush(ready, (due, s, i))
-        due, s, i = heapq.heappop(ready)
+            release, due, s, i = heapq.heappop(coming)
+            heapq.heappush(ready, (due, s, i, release))
+        due, s, i, release = heapq.heappop(ready)
         if slot >= due:
             raise AssertionError("a deadline was missed")
-        out[s].append(slot)
-        if (j := i + 1) < share[s]:
-            heapq.heappush(coming, (j * period // share[s], -(-(j + 1) * period // share[s]), s, j))
-    return out
-
-
-def horizon(rows: dict[str, int], share: dict[str, int], period: int, block_rows: int, tolerance: float) -> int:
-    """First slot beyond the mixture."""
-    ends = sorted((-(-rows.get(s, 0) // block_rows) * period // a, a) for s, a in share.items())
-    gone = 0
-    for end, a in ends:
-        gone += a
-        if gone > tolerance * period:
+        yield s, i, release, due, slot
+        if i + 1 < blocks[s]:
+            heapq.heappush(coming, (*times(s, i + 1), s, i + 1))
+        slot += 1
+
+
+def horizon(part: dict[str, int], blocks: dict[str, int], tolerance: float | None) -> int | None:
+    """First slot beyond the mixture; None without an end."""
+    if tolerance is None:
+        return None
+    total, gone = sum(part.values()), 0
+    for end, s in sorted((-(-blocks.get(s, 0) * total // a), s) for s, a in part.items()):
+        gone += part[s]
+        if gone > tolerance * total:
             return end
-    return ends[-1][0] if ends else 0
+    return None
 
 
-def plan(rows: dict[str, int], weights: dict[str, float] | None, period: int, block_rows: int, tolerance: float, exponent: float) -> list[dict]:
-    """For each source: its key, share, the slots of one period, and the horizon."""
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"{len(rows)} sources; at most {MAX_SOURCES} can have target weights")
-    target = {s: n**exponent for s, n in rows.items()} if weights is None else {s: w for s, w in weights.items() if w > 0}
-    if not target:
-        return []
-    period = max(period, 4 * len(target))
-    share = shares(target, period)
-    table = timetable(share, period)
-    end = horizon(rows, share, period, block_rows, tolerance)
-    return [{"s": s, "a": a, "slots": table[s], "period": period, "horizon": end} for s, a in share.items()]
+def blocks_of(counts: DataFrame, weights: dict[str, float] | None, block_rows: int, tolerance: float | None, exponent: float) -> DataFrame:
+    """counts (s, n: rows of each source) -> s, block, release, deadline, slot, in_mix."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {s: n for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        part = wholes({s: n**exponent for s, n in rows.items()} if weights is None else {s: w for s, w in weights.items() if w > 0})
+        blocks = {s: -(-n // block_rows) for s, n in rows.items() if s in part}
+        end = horizon(part, blocks, tolerance)
+        some: list[tuple] = []
+        for row in timetable(part, blocks):
+            some.append((*row[:2], *(min(x, LAST) for x in row[2:]), end is None or row[-1] < end))
+            if len(some) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some, strict=True)], NAMES)
+                some = []
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some, strict=True)], NAMES)
 
-def source_key(source: str = "source"):
-    """Null is a source of its own, apart from any text."""
-    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
+    return arrow_map(counts.select("s", "n").coalesce(1), work, "s string, block long, release long, deadline long, slot long, in_mix boolean")
 
 
-def source_rows(rows: DataFrame) -> dict[str, int]:
-    return {r.s: r.n for r in rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
+NAMES = ["s", "block", "release", "deadline", "slot", "in_mix"]
 
 
-DDL = "s:string,a:bigint,slots:array<bigint>,period:bigint,horizon:bigint"
+def source_key(source: str = "source"):
+    """Null is a source of its own, apart from any text."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
 
 
-def scheduled(rows: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, tolerance: float = TOLERANCE, exponent: float = EXPONENT) -> DataFrame:
+def scheduled(rows: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, tolerance: float | None = TOLERANCE, exponent: float = EXPONENT) -> DataFrame:
     """rows (s: source key, h: order hash; materialized) with rank, block, release, deadline, slot, in_mix. weights: by source key."""
-    found = plan(source_rows(rows), weights, period, block_rows, tolerance, exponent)
-    known = json_table(rows.sparkSession, json.dumps(found), DDL).withColumnRenamed("s", "__s")  # one row per source, MAX_SOURCES at most
-    placed = ranked(rows, ["s"], "h", "rank").join(F.broadcast(known), F.col("s") == F.col("__s"), "left")
-    block = F.expr(f"rank div {block_rows}")
-    turn = F.expr(f"(rank div {block_rows}) div a * period")
-    slot = turn + F.get("slots", (F.expr(f"(rank div {block_rows}) % a")).cast("int"))
-    placed = placed.withColumn("block", block).withColumn("release", F.expr("block * period div a")).withColumn("deadline", F.expr("((block + 1) * period + a - 1) div a")).withColumn("slot", slot)
-    return placed.withColumn("in_mix", F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False))).drop("__s", "a", "slots", "period", "horizon")
+    plan = materialize(blocks_of(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")), weights, block_rows, tolerance, exponent), "mix-blocks")
+    plan = plan.withColumnRenamed("s", "__s").withColumnRenamed("block", "__block")
+    placed = ranked(rows, ["s"], "h", "rank").withColumn("block", F.expr(f"rank div {block_rows}"))
+    met = placed.join(plan, (F.col("s") == F.col("__s")) & (F.col("block") == F.col("__block")), "left").drop("__s", "__block")  # block_rows rows meet in a key
+    return met.withColumn("in_mix", F.coalesce("in_mix", F.lit(False)))
 
 
 def order_hash(docs: DataFrame):
     return F.xxhash64(F.lit(SEED), column(docs, "doc_id"), column(docs, "text"))
 
 
+def whole_rows(docs: DataFrame, source: str) -> DataFrame:
+    """row, __k (source key) and __h (order hash)."""
+    return packed(docs).withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col("row")[source]), F.lit("null"))).withColumn("__h", F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.col("row.text")))
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", **settings) -> DataFrame:
     """The documents of the mixture. Columns as before."""
     light = materialize(docs.select(source_key(source).alias("s"), order_hash(docs).alias("h")), "mix-rows")
     # The mixture holds each source's blocks up to the horizon, and a later block of a source never has an earlier slot, so one hash value cuts each source.
-    cuts = scheduled(light, weights, **settings).where("in_mix").groupBy("s").agg(F.max("h").alias("cut"))
-    cuts = materialize(cuts, "mix-cuts").withColumnRenamed("s", "__s")
-    whole = packed(docs).withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col("row")[source]), F.lit("null"))).withColumn("__h", F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.col("row.text")))
-    return whole.join(F.broadcast(cuts), (F.col("__k") == F.col("__s")) & (F.col("__h") <= F.col("cut"))).select("row.*")  # a row per source, MAX_SOURCES at most
+    cuts = materialize(scheduled(light, weights, **settings).where("in_mix").groupBy("s").agg(F.max("h").alias("cut")), "mix-cuts").withColumnRenamed("s", "__s")
+    # A row per source: Spark broadcasts it while the written table is small, and splits skewed sources beyond that.
+    return whole_rows(docs, source).join(cuts, (F.col("__k") == F.col("__s")) & (F.col("__h") <= F.col("cut"))).select("row.*")
 
 
 def in_order(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", **settings) -> DataFrame:
     """Every document, sorted by its slot; those of sources without a weight stand last. Columns as before."""
-    key = lambda text: F.xxhash64(F.lit(SEED + 1), text)
     light = materialize(docs.select(source_key(source).alias("s"), order_hash(docs).alias("h")), "mix-rows")
     # Rows of one source and one hash are interchangeable and stand together, at the first slot of any.
     slots = scheduled(light, weights, **settings).groupBy("s", "h").agg(F.min("slot").alias("slot"))
-    slots = slots.select(F.col("s").alias("__s"), F.col("h").alias("__h"), F.coalesce("slot", F.lit(2**63 - 1)).alias("__slot"))
-    whole = packed(docs).withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col("row")[source]), F.lit("null"))).withColumn("__o", F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.col("row.text")))
-    return whole.join(slots, (F.col("__k") == F.col("__s")) & (F.col("__o") == F.col("__h"))).orderBy("__slot", key("__s"), "__o").select("row.*")
+    slots = slots.select(F.col("s").alias("__s"), F.col("h").alias("__o"), F.coalesce("slot", F.lit(2**63 - 1)).alias("__slot"))
+    met = whole_rows(docs, source).join(slots, (F.col("__k") == F.col("__s")) & (F.col("__h") == F.col("__o")))
+    return met.orderBy("__slot", F.xxhash64(F.lit(SEED + 1), F.col("__s")), "__h").select("row.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
