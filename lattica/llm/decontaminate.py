@@ -4,7 +4,7 @@ Words are the runs of characters other than ASCII non-alphanumerics, A-Z lowered
 
 Defined results: a null text has no words; a null item text has no windows; repeated rows are judged each by itself; empty tables give no rows or no hits; a null item_id counts as an item under the empty name; other columns of either table pass through untouched and may bear any name.
 
-Plan: one scan of the documents, split into words once. A first membership test takes the hash of a window's first two words, a second the hash of the whole window; both sets are constants in the plan. Only windows that pass both leave the row, are joined with the broadcast windows by their text (the verification), and one small row per document is grouped; texts are never shuffled. The sets and the broadcast are bounded by MAX_BROADCAST windows; beyond it, the windows of all documents meet the benchmark in an ordinary shuffled join with the same result.
+Plan: one scan of the documents, split into words once. The hash sets are bit maps of MAX_BITS bits at most, constants in the plan: the first holds the hash of each window's first two words, the second that of the whole window. They serve a benchmark of any size; a fuller map only lets more windows through. Windows that pass both leave the row with its key, meet the benchmark's windows by their text (the verification; Spark broadcasts that table only where its written size is small), and one small row per document is grouped. As a stage, hit rows are known by a 128-bit key of their content, written, and taken out of a second scan by an anti join: texts are not grouped, and not shuffled as long as Spark finds the keys small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, packed, read
+from lattica.llm.common import ascii_lower, content_key, materialize, packed, read
 
 WINDOW = 10
-#: Windows that may be broadcast and held as a hash set: about 20 MB.
-MAX_BROADCAST = 200_000
+#: Bits of a map: 4 MB at most; below that, BITS_EACH for each window.
+MAX_BITS, BITS_EACH = 1 << 25, 64
+#: Bits of one row of a map under construction, as the bitmap functions have it.
+PAGE = 1 << 15
 #: Fixed: what stands between words, for Java's regular expressions.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed: a word and a gap in a text whose A-Z are not lowered.
@@ -35,32 +37,42 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.select("item", "n", F.array_join("g", " ").alias("gram"), F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1))).alias("head"), F.xxhash64("g").alias("hash")).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row per document: row (the whole document row without its text, unless the caller keeps it), n_words, covered (sorted positions of hit words, 0-based), items (sorted distinct item names)."""
-    grams = windows_of(benchmark, window)
-    known = grams.select("n", "head", "hash").limit(max_broadcast + 1).collect()
-    small = len(known) <= max_broadcast
-    by_size: dict[int, tuple[set[int], set[int]]] = {}
-    for r in known:
-        heads, hashes = by_size.setdefault(r.n, (set(), set()))
-        heads.add(r.head)
-        hashes.add(r.hash)
-    sizes = sorted(by_size) if small else [r.n for r in grams.select("n").distinct().collect()]  # window sizes: at most `window` numbers
+def bit_map(hashes: DataFrame, name: str, bits: int) -> bytes:
+    """Bit h mod `bits` (a power of two) set for every long h of the column."""
+    slot = F.col(name).bitwiseAND(max(bits, PAGE) - 1)
+    pages = hashes.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(PAGE - 1)).alias("bits"))
+    whole = bytearray(max(bits, PAGE) // 8)
+    for r in pages.collect():  # bits / PAGE rows
+        whole[r.page * PAGE // 8 : (r.page + 1) * PAGE // 8] = r.bits
+    return bytes(whole)
+
+
+def is_set(whole: bytes, h: Column) -> Column:
+    slot = h.bitwiseAND(len(whole) * 8 - 1)
+    byte = F.ascii(F.decode(F.substring(F.lit(whole), (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    return F.bit_get(byte, slot.bitwiseAND(7).cast("int")) == 1
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs: row (any small thing), __text. One row per document: row, n_words, covered (sorted positions of hit words, 0-based), items (sorted distinct item names)."""
+    grams = materialize(windows_of(benchmark, window), "windows")
+    sizes = {r.n: r["count"] for r in grams.groupBy("n").count().collect()}  # `window` rows at most
+    bits = min(max_bits, max(PAGE, 1 << (BITS_EACH * max(1, sum(sizes.values()))).bit_length()))
+    heads, hashes = (bit_map(grams, c, bits) for c in ("head", "hash")) if sizes else (b"", b"")
 
     split = docs.withColumn("__id", F.monotonically_increasing_id()).withColumn("__w", words_of(F.col("__text"))).drop("__text")
-    found = []
-    for n in sizes:
-        starts = f"IF(size(__w) >= {n}, sequence(0, size(__w) - {n}), CAST(array() AS array<int>))"
-        if small:
-            heads, hashes = (", ".join(f"{h}L" if h > -(2**63) else f"({h + 1}L - 1L)" for h in sorted(x)) for x in by_size[n])
-            if n > 1:
-                starts = f"filter({starts}, i -> xxhash64(get(__w, i), get(__w, i + 1)) IN ({heads}))"
-            starts = f"filter({starts}, i -> xxhash64(slice(__w, i + 1, {n})) IN ({hashes}))"
-        found.append(F.expr(f"transform({starts}, i -> struct(i AS at, {n} AS n, array_join(slice(__w, i + 1, {n}), ' ') AS gram))"))
+    def found(n: int) -> Column:
+        starts = F.when(F.size("__w") >= n, F.sequence(F.lit(0), F.size("__w") - n)).otherwise(F.array().cast("array<int>"))
+        if n > 1:
+            starts = F.filter(starts, lambda i: is_set(heads, F.xxhash64(F.get("__w", i), F.get("__w", i + 1))))
+        starts = F.filter(starts, lambda i: is_set(hashes, F.xxhash64(F.slice("__w", i + 1, F.lit(n)))))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("__w", i + 1, F.lit(n)), " ").alias("gram")))
+
     none = F.array().cast("array<struct<at:int,n:int,gram:string>>")
-    rows = split.select("__id", "row", F.size("__w").cast("long").alias("n_words"), F.explode_outer(F.concat(*found) if found else none).alias("c"))
-    items = grams.groupBy("n", "gram").agg(F.collect_set("item").alias("in_items")).select(F.col("n").alias("__n"), F.col("gram").alias("__gram"), "in_items")
-    met = rows.join(F.broadcast(items) if small else items, (F.col("c.n") == F.col("__n")) & (F.col("c.gram") == F.col("__gram")), "left")
+    rows = split.select("__id", "row", F.size("__w").cast("long").alias("n_words"), F.explode_outer(F.concat(*map(found, sorted(sizes))) if sizes else none).alias("c"))
+    items = grams.groupBy("n", "gram").agg(F.collect_set("item").alias("in_items"))
+    items = materialize(items.select(F.col("n").alias("__n"), F.col("gram").alias("__gram"), "in_items"), "window-items")
+    met = rows.join(items, (F.col("c.n") == F.col("__n")) & (F.col("c.gram") == F.col("__gram")), "left")
     hit = F.when(F.col("in_items").isNotNull(), F.sequence(F.col("c.at"), F.col("c.at") + F.col("c.n") - 1))
     return met.select("__id", "row", "n_words", hit.alias("at"), "in_items").groupBy("__id").agg(
         F.first("row").alias("row"), F.first("n_words").alias("n_words"),
@@ -69,18 +81,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def without(pieces: Column, covered: Column) -> Column:
+    """The pieces whose places are not covered (sorted), as runs between covered places."""
+    before = F.concat(F.array(F.lit(-1)), covered)
+    after = F.concat(covered, F.array(F.size(pieces)))
+    gaps = F.filter(F.arrays_zip(before.alias("a"), after.alias("b")), lambda g: g["b"] > g["a"] + 1)
+    return F.flatten(F.transform(gaps, lambda g: F.slice(pieces, g["a"] + 2, g["b"] - g["a"] - 1)))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without its contaminated documents (mode "documents"), or with the hit words and what follows each of them cut from the texts (mode "spans"). Columns as before."""
-    names, kept = docs.columns, packed(docs).withColumn("__text", F.col("row.text"))
-    seen = hits(kept, benchmark, window, max_broadcast)
-    if mode == "documents":
-        return seen.where(F.size("covered") == 0).select("row.*")
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
+    names, whole = docs.columns, packed(docs).withColumn("__key", content_key(F.col("row.doc_id"), F.col("row.text")))
+    seen = hits(whole.select(F.col("__key").alias("row"), F.col("row.text").alias("__text")), benchmark, window, max_bits).where(F.size("covered") > 0)
+    hit = seen.select(F.col("row").alias("__hit"), *(["covered"] if mode == "spans" else [])).dropDuplicates(["__hit"])
+    hit = materialize(hit, "hit-rows")
+    if mode == "documents":
+        return whole.join(hit, F.col("__key") == F.col("__hit"), "left_anti").select("row.*")
+    met = whole.join(hit, F.col("__key") == F.col("__hit"), "left")
     text = F.col("row.text")
-    pieces = F.filter(F.regexp_extract_all(text, F.lit(WORD + GAP), F.lit(0)), lambda p, i: ~F.array_contains("covered", i))
-    cut = F.when(F.size("covered") == 0, text).otherwise(F.concat(F.regexp_extract(text, "^" + GAP, 0), F.array_join(pieces, "")))
-    return seen.select(*[cut.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names])
+    rest = without(F.regexp_extract_all(text, F.lit(WORD + GAP), F.lit(0)), F.col("covered"))
+    cut = F.when(F.col("covered").isNull(), text).otherwise(F.concat(F.regexp_extract(text, "^" + GAP, 0), F.array_join(rest, "")))
+    return met.select(*[cut.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
