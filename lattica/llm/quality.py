@@ -1,12 +1,12 @@
 """Quality rules: the log-likelihood ratio of hashed n-grams between a trusted-target and a raw-corpus multinomial, length-normalised, with a deterministic threshold for every document.
 
-Features are the bigrams of words and the trigrams of bytes (A-Z kept), each hashed into BUCKETS buckets of its own. The raw multinomial counts every document of the corpus; the target multinomial counts those of a bounded set of trusted documents: the up to TARGET_ROWS ids of quality 1 with the least keyed hash, and as many of quality 0 for calibration. A document's score is the sum of log(target / raw) over its n-grams divided by their number. The threshold is fixed before any document is judged: trusted documents' scores put it at their KEEP_TRUSTED quantile, and rejected labelled ones, where they lie lower, move it halfway towards themselves.
+Features are the bigrams of words and the trigrams of bytes (A-Z kept), each hashed into BUCKETS buckets of its own. The raw multinomial counts every document of the corpus; the target multinomial counts those of a bounded set of trusted documents: the up to TARGET_ROWS ids of quality 1 with the least keyed hash, but for every HOLD_OUT-th by another hash, which calibrate; as many ids of quality 0 calibrate too. A document's score is the sum of log(target / raw) over its n-grams divided by their number. The threshold is fixed before any document is judged: held-out trusted documents' scores put it at their KEEP_TRUSTED quantile, and rejected labelled ones, where they lie lower, move it halfway towards themselves.
 
 Base rule: a text of fewer than MIN_WORDS words, or with more than half of its words in repeated windows of three words, fails.
 
 Defined results: a null or empty text has no words (and fails the base rule); without labels of quality 1 every score is 0 and the base rule alone decides; an id that labels name twice is trusted if every label says so; repeated rows are judged each by itself; an empty table gives no rows; other columns pass through, packed, under any name.
 
-Plan: one scan counts (each task adds into fixed arrays and emits at most 4 x BUCKETS rows), one scan scores; texts are never shuffled. The driver holds the bounded id sets and the BUCKETS-sized tables.
+Plan: a JVM scan copies the labelled documents' texts, TARGET_ROWS ids of either kind at most, into a small table; one Python scan of all documents counts (each task adds into fixed arrays and emits at most 2 x BUCKETS rows); the small table is scored; one Python scan scores all documents. Texts are never shuffled. The driver holds the BUCKETS-sized tables and the calibration scores.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, column, fields, packed, read
+from lattica.llm.common import arrow_map, column, fields, materialize, packed, read
 
 #: For each kind of n-gram.
 BUCKETS = 1 << 15
-TARGET_ROWS = 20_000
+TARGET_ROWS, HOLD_OUT = 20_000, 5
 KEEP_TRUSTED = 0.002
 MIN_WORDS = 50
 #: Fixed: white space of the word rule, and the symbols that are counted.
@@ -62,42 +62,43 @@ def features(text: bytes, words: list[bytes], memo: dict[bytes, int], buckets: i
         yield (mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) & mask).astype(np.int64) + buckets
 
 
-def labelled(labels: DataFrame, rows: int = TARGET_ROWS) -> tuple[set[int], set[int]]:
-    """Ids of trusted and of rejected documents, `rows` of each at most, by the least keyed hash."""
+def labelled(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
+    """doc_id, part (target, trusted, rejected): `rows` ids of quality 1 and 0 each at most, by the least keyed hash; trusted and rejected ones calibrate."""
     each = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    pick = lambda q: {r.doc_id for r in each.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id").collect()}
-    return pick(1), pick(0)
+    pick = lambda q: each.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    held = F.pmod(F.xxhash64(F.lit(HOLD_OUT), F.col("doc_id")), F.lit(HOLD_OUT)) == 0
+    good = pick(1).select("doc_id", F.when(held, "trusted").otherwise("target").alias("part"))
+    return good.unionByName(pick(0).select("doc_id", F.lit("rejected").alias("part")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TARGET_ROWS) -> tuple[np.ndarray, float]:
     """log(target / raw) by bucket, and the threshold."""
-    spark = docs.sparkSession
-    trusted, rejected = labelled(labels, rows)
-    if not trusted:
-        return np.zeros(2 * buckets), -np.inf
-    known = spark.sparkContext.broadcast((trusted, rejected))
-    light = docs.select(column(docs, "doc_id").cast("long").alias("id"), column(docs, "text").cast("binary").alias("text"))
+    parts = materialize(labelled(labels, rows), "labelled").select(F.col("doc_id").alias("__id"), "part")
+    light = docs.select(column(docs, "doc_id").alias("id"), column(docs, "text").cast("binary").alias("text"))
+    known = materialize(light.join(F.broadcast(parts), F.col("id") == F.col("__id")).select("part", "text"), "labelled-texts")  # 2 x `rows` ids at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
-        total = np.zeros((2, 2 * buckets), np.int64)
-        good, _ = known.value
+        total = np.zeros(2 * buckets, np.int64)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for t in b.column(0):
                 text = t.as_py() or b""
                 for f in features(text, text.split(), memo, buckets):
-                    n = np.bincount(f, minlength=2 * buckets)
-                    total[0] += n
-                    if i in good:
-                        total[1] += n
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, total[0][at], total[1][at])], ["bucket", "raw", "target"])
-
-    table = arrow_map(light, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    counts = np.zeros((2, 2 * buckets))
-    counts[0][table.bucket], counts[1][table.bucket] = table.raw, table.target
-    ratio = log_ratio(counts)
-    scores = scored(docs, ratio, buckets, ids=known).toPandas()
+                    total += np.bincount(f, minlength=2 * buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    def counted(texts: DataFrame) -> np.ndarray:
+        table = arrow_map(texts.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        out = np.zeros(2 * buckets)
+        out[table.bucket.to_numpy(np.int64)] = table.n
+        return out
+
+    target = counted(known.where("part = 'target'"))
+    if not target.any():
+        return np.zeros(2 * buckets), -np.inf
+    ratio = log_ratio(np.array([counted(light), target]))
+    scores = scored(known.where("part != 'target'"), ratio, buckets).toPandas()
     return ratio, threshold(scores[scores.trusted].score.to_numpy(), scores[~scores.trusted].score.to_numpy())
 
 
@@ -125,18 +126,20 @@ def score(text: bytes, words: list[bytes], memo: dict[bytes, int], ratio: np.nda
     return total / n if n else 0.0
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, buckets: int, ids) -> DataFrame:
-    """Score of the labelled documents."""
-    light = docs.select(column(docs, "doc_id").cast("long").alias("id"), column(docs, "text").cast("binary").alias("text"))
+def scored(known: DataFrame, ratio: np.ndarray, buckets: int) -> DataFrame:
+    """known (part, text) -> trusted, score of texts that are long enough for the base rule."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
-        good, bad = ids.value
         for b in batches:
-            got = [(i in good, score(x := t.as_py() or b"", w, memo, ratio, buckets)) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if (i in good or i in bad) and len(w := (t.as_py() or b"").split()) >= MIN_WORDS]
+            got = []
+            for part, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = t.as_py() or b""
+                if len(words := text.split()) >= MIN_WORDS:
+                    got.append((part == "trusted", score(text, words, memo, ratio, buckets)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.bool_()), pa.array([x[1] for x in got], pa.float64())], ["trusted", "score"])
 
-    return arrow_map(light, work, "trusted boolean, score double")
+    return arrow_map(known, work, "trusted boolean, score double")
 
 
 def repeated_words(words: list[bytes]) -> int:
