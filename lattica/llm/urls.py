@@ -1,6 +1,6 @@
 """URL filters: rules by host and path, and for what no rule fits a ratio of two character language models.
 
-Two variable-order Markov models over the bytes of a URL, one of accepted and one of rejected URLs, give each byte a probability that interpolates the orders 0 to ORDER by Witten-Bell: an order's maximum-likelihood estimate weighs as its context's count against the number of different bytes seen there. Counts stand in hashed tables of SLOTS entries for each order. The score is (log p_accepted - log p_rejected) / number of bytes, and the verdict is allow at or above a threshold that held-out labelled URLs fix.
+Two variable-order Markov models over the bytes of a URL, one of accepted and one of rejected URLs, give each byte a probability that interpolates the orders 0 to ORDER by Witten-Bell: an order's maximum-likelihood estimate weighs as its context's count against the number of different bytes seen there. Contexts are known exactly, by number. The score is (log p_accepted - log p_rejected) / number of bytes, and the verdict is allow at or above a threshold that held-out labelled URLs fix.
 
 Labels are the rules themselves: URLs that an allow rule fits are accepted, those that a block rule fits rejected. The models are fitted on up to TRAIN_ROWS of either, the distinct URLs of least hash; every HOLD_OUT-th of them, by hash, only calibrates.
 
@@ -24,9 +24,9 @@ from lattica.llm.common import LOWER, UPPER, arrow_map, column, read
 
 #: Verdict and rule.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-ORDER, SLOTS, TRAIN_ROWS, HOLD_OUT = 5, 1 << 16, 20_000, 5
-#: URLs that are scored at once.
-CHUNK = 4096
+ORDER, TRAIN_ROWS, HOLD_OUT = 5, 20_000, 5
+#: Bytes that are scored at once.
+CHUNK = 1 << 18
 
 
 def host_of(url: Column) -> Column:
@@ -47,57 +47,77 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return out
 
 
-def contexts(urls: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot of the context and of (context, byte) for each byte and order, and the start of each URL. A URL begins in a context of zeros and ends with a zero."""
+def strings(urls: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, byte) of each byte as a number, the byte lowest and the farthest context byte highest, and the start of each URL. A URL begins in a context of zeros and ends with a zero."""
     pad = b"\0" * order
-    raw = np.frombuffer(b"".join(pad + u + b"\0" for u in urls), np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join(pad + u + b"\0" for u in urls), np.uint8).astype(np.int64)
     sizes = np.array([len(u) + 1 for u in urls])
-    starts = np.cumsum(sizes) - sizes
     at = np.arange(sizes.sum()) + np.repeat((np.arange(len(urls)) + 1) * order, sizes)
-    ctx, seen = np.empty((order + 1, len(at)), np.int64), np.empty((order + 1, len(at)), np.int64)
-    h = np.zeros(len(at), np.uint64)
-    for d in range(order + 1):
-        if d:
-            h = (h + raw[at - d] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        ctx[d] = slot(h)
-        seen[d] = slot((h ^ (raw[at] + np.uint64(d * 257 + 1))) * np.uint64(0xD6E8FEB86659FD93))
-    return ctx, seen, starts
-
-
-def slot(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64) & (SLOTS - 1)
+    out = raw[at]
+    for d in range(1, order + 1):
+        out |= raw[at - d] << (8 * d)
+    return out, np.cumsum(sizes) - sizes
+
+
+def chunks(urls: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of URLs of about CHUNK bytes."""
+    some: list[bytes] = []
+    size = 0
+    for u in urls:
+        some.append(u)
+        size += len(u) + 1
+        if size >= CHUNK:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 class Markov:
-    """Counts of contexts, of different bytes after them and of bytes, by order."""
+    """For each order: contexts with their counts and how many different bytes follow them; (context, byte) strings with their counts. All sorted by number, so that a lookup is a binary search."""
 
     def __init__(self, urls: list[bytes], order: int = ORDER) -> None:
         self.order = order
-        self.total, self.kinds, self.count = (np.zeros((order + 1, SLOTS)) for _ in range(3))
-        for at in range(0, len(urls), CHUNK):
-            ctx, seen, _ = contexts(urls[at : at + CHUNK], order)
-            for d in range(order + 1):
-                first = np.unique(seen[d], return_index=True)[1]
-                fresh = first[self.count[d][seen[d][first]] == 0]
-                self.kinds[d] += np.bincount(ctx[d][fresh], minlength=SLOTS)
-                self.total[d] += np.bincount(ctx[d], minlength=SLOTS)
-                self.count[d] += np.bincount(seen[d], minlength=SLOTS)
-
-    def log(self, ctx: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        p = np.full(ctx.shape[1], 1 / 256)
-        for d in range(self.order + 1):
-            n, k = self.total[d][ctx[d]], np.maximum(self.kinds[d][ctx[d]], 1)  # slots that collide may have counted no new byte
-            p = np.where(n > 0, (np.minimum(self.count[d][seen[d]], n) + k * p) / np.maximum(n + k, 1), p)
+        keys, counts = np.empty(0, np.int64), np.empty(0)
+        for some in chunks(urls):
+            k, n = np.unique(strings(some, order)[0], return_counts=True)
+            keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
+            counts = np.bincount(where, np.concatenate((counts, n)), len(keys))
+        self.seen, self.contexts = [], []
+        for d in range(order + 1):
+            short, where = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            n = np.bincount(where, counts, len(short))
+            ctx, of = np.unique(short >> 8, return_inverse=True)
+            self.seen.append((short, n))
+            self.contexts.append((ctx, np.bincount(of, n, len(ctx)), np.bincount(of, minlength=len(ctx)).astype(float)))
+
+    def log(self, grams: np.ndarray) -> np.ndarray:
+        p = np.full(len(grams), 1 / 256)
+        for d, ((short, count), (ctx, total, kinds)) in enumerate(zip(self.seen, self.contexts, strict=True)):
+            own = grams & ((1 << 8 * (d + 1)) - 1)
+            at, c = place(short, own), place(ctx, own >> 8)
+            n = np.where(c >= 0, total[c], 0)
+            p = np.where(n > 0, (np.where(at >= 0, count[at], 0) + kinds[c] * p) / np.maximum(n + kinds[c], 1), p)
         return np.log(p)
 
 
+def place(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands; -1 if it does not."""
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return np.where(sorted_[at] == keys, at, -1)
+
+
 def scores(urls: list[bytes], good: Markov | None, bad: Markov | None) -> np.ndarray:
     if not urls or good is None or bad is None:
         return np.zeros(len(urls))
-    ctx, seen, starts = contexts(urls, good.order)
-    total = np.add.reduceat(good.log(ctx, seen) - bad.log(ctx, seen), starts)
-    sizes = np.array([len(u) for u in urls])
-    return np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0)
+    out = []
+    for some in chunks(urls):
+        grams, starts = strings(some, good.order)
+        each, where = np.unique(grams, return_inverse=True)
+        total = np.add.reduceat((good.log(each) - bad.log(each))[where], starts)
+        sizes = np.array([len(u) for u in some])
+        out.append(np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0))
+    return np.concatenate(out)
 
 
 def calibrated(good: np.ndarray, bad: np.ndarray) -> float:
@@ -137,8 +157,7 @@ def filtered(pages: DataFrame, id_: str = "page_id", rules: tuple[tuple[str, str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             urls = [(u or "").encode() for u in b.column(1).to_pylist()]
-            got = [scores(urls[at : at + CHUNK], *model.value) for at in range(0, len(urls), CHUNK)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got) if got else np.empty(0))], ["id", "url", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(urls, *model.value))], ["id", "url", "score"])
 
     judged = arrow_map(light, work, f"id {light.schema['id'].dataType.simpleString()}, url string, score double")
     judged = judged.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
