@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.parser import Binary, Call, ErrorLit, FormulaError, Logical, Name, Node, Num, Text, Unary, parse, rewrite
+from lattica.parser import Binary, Call, ErrorLit, FormulaError, Logical, Name, Node, Num, Text, Unary, Unsupported, parse, rewrite
 from lattica.plans import ordered
 from lattica.refs import Range, Ref, parse_ref
 from lattica.sheet import Sheet, Workbook
@@ -34,7 +34,8 @@ class Binder:
     def __init__(self, wb: Workbook, sheet: Sheet, base_row: int | None = None) -> None:
         self.wb, self.sheet, self.base_row = wb, sheet, base_row
         self.df = sheet.df
-        self.arrays = False
+        self.arrays: bool | dict[Range, Val] = False
+        self.numbers = False  # of branches of several kinds, only numbers count
         self.depth = 0
 
     # --- references -------------------------------------------------------
@@ -74,6 +75,7 @@ class Binder:
 
     def region(self, rng: Range) -> Region:
         """The whole range as a DataFrame, for anchors that do not move."""
+        self.fixed(rng)
         sheet = self.sheet_of(rng)
         df = sheet.df
         cols = range(rng.start.col or 1, (rng.end.col or len(sheet.columns)) + 1)
@@ -84,13 +86,18 @@ class Binder:
         return Region(df, [sheet.val(c) for c in used], sheet, rng)
 
     def moving(self, rng: Range) -> tuple[int | None, int | None] | None:
-        """Row offsets of a range that a fill moves; None at an end that stays; None altogether if neither moves."""
-        if self.base_row is None or not rng.start.row or not self.own(rng):
+        """Row offsets of a range that a fill moves, in its own sheet or another; None at an end that stays; None altogether if neither moves."""
+        if self.base_row is None or not rng.start.row:
             return None
         lo = None if rng.start.abs_row else rng.start.row - self.base_row
         hi = None if rng.end.abs_row else rng.end.row - self.base_row
         return None if lo is None and hi is None else (lo, hi)
 
+    def fixed(self, rng: Range) -> None:
+        """A moving range where only one that stays can be read is an error, never the range as it stands."""
+        if self.moving(rng) is not None:
+            raise Unsupported(f"no form for a range that a fill moves like this: {rng}")
+
     def cell(self, ref: Ref) -> Val:
         sheet = self.sheet_of(ref)
         v = sheet.val(ref.col)
@@ -123,6 +130,8 @@ class Binder:
     # --- expressions ------------------------------------------------------
 
     def value(self, node: Node) -> Val:
+        if isinstance(self.arrays, dict) and node in self.arrays:
+            return self.arrays[node]
         match node:
             case Num(x) | Text(x) | Logical(x):
                 return literal(x)
@@ -131,7 +140,8 @@ class Binder:
             case Ref():
                 return self.cell(node)
             case Range():
-                if self.arrays and node.width == 1:
+                if self.arrays is True and node.width == 1:
+                    self.fixed(node)
                     return self.sheet_of(node).val(node.start.col)
                 if node.width == 1 and node.start.row and node.start.row == node.end.row:
                     return self.cell(node.start)
@@ -192,13 +202,14 @@ class Binder:
         made = one.select(*[c.alias(f"r{i}") for i, c in enumerate(build(F.col(name)))])
         return [made.select(c).scalar() for c in made.columns]
 
-    def in_array(self, node: Node) -> Val:
-        """The expression with ranges as columns."""
-        before, self.arrays = self.arrays, True
+    def in_array(self, node: Node, cells: dict[Range, Val] | None = None, numbers: bool = False) -> Val:
+        """The expression with ranges as columns, or as the given cells."""
+        before = self.arrays, self.numbers
+        self.arrays, self.numbers = True if cells is None else cells, numbers
         try:
             return self.value(node)
         finally:
-            self.arrays = before
+            self.arrays, self.numbers = before
 
 
 def substitute(node: Node, name: str, by: Node) -> Node:
@@ -206,12 +217,14 @@ def substitute(node: Node, name: str, by: Node) -> Node:
 
 
 def evaluate(wb: Workbook, formula: str, sheet: str) -> DataFrame:
-    from lattica.functions import arrays
+    from lattica.functions import arrays, elementwise
 
     node = parse(formula)
     b = Binder(wb, wb.sheet(sheet))
     if isinstance(node, Call) and node.name in arrays.ARRAYS:
         return arrays.ARRAYS[node.name](b, node.args)
+    if elementwise.ranges(b, node):
+        return elementwise.spilled(b, node)
     v = b.value(node)
     err = F.lit(None).cast("string") if v.err is None else v.err
     shown = v.col if v.err is None else F.when(v.err.isNull(), v.col)
@@ -221,7 +234,8 @@ def evaluate(wb: Workbook, formula: str, sheet: str) -> DataFrame:
 def fill_down(wb: Workbook, sheet: Sheet, formulas: dict[str, str], base_row: int, errors: bool) -> Sheet:
     b = Binder(wb, sheet, base_row)
     done = {name: b.value(parse(text)) for name, text in formulas.items()}
-    keep = [c for c in sheet.df.columns if c not in done]
+    stale = {sheet.errors[n] for n in done if n in sheet.errors}
+    keep = [c for c in sheet.df.columns if c not in done and c not in stale]
     row = [] if sheet.row is None or sheet.row in keep else [sheet.row]
     out, err_names = [], {k: v for k, v in sheet.errors.items() if k not in done}
     for name, v in done.items():
@@ -237,7 +251,3 @@ def fill_down(wb: Workbook, sheet: Sheet, formulas: dict[str, str], base_row: in
 def lit_range(text: str) -> Range:
     r = parse_ref(text)
     return r if isinstance(r, Range) else Range(r, r)
-
-
-def column_or_null(v: Val) -> Column:
-    return v.col if v.err is None else F.when(v.err.isNull(), v.col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.conditional import one_region
 from lattica.functions.registry import FUNCTIONS, FunctionSpec
 from lattica.parser import Call, FormulaError, Node, references
 from lattica.plans import ordered
@@ -47,24 +48,22 @@ def sort_rows(b, args) -> DataFrame:
     if not 1 <= index <= len(names):
         raise FormulaError("SORT's index is outside the array")
     name = names[index - 1]
-    keys = [k.desc() if down else k.asc() for k in (*sort_keys(df, name), F.col(row))]
-    number = F.col(name).cast("double") if dict(df.dtypes)[name] not in ("string", "timestamp", "date", "timestamp_ntz") else F.ascii(F.lower(name)).cast("double") if dict(df.dtypes)[name] == "string" else F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    cut = df.withColumn("__k", number)
-    bucket = F.when(F.col("__k").isNull(), 1 << 20).otherwise(ordered.quantile_bucket(cut, "__k"))
-    cut = cut.withColumn("__b", bucket)
+    ascending = [*sort_keys(df, name), F.col(row)]
+    keys = [k.desc() if down else k.asc() for k in ascending]
+    cut = df.withColumn("__b", ordered.cut_by(df, ascending))
     before = Window.orderBy(F.desc("__b") if down else F.asc("__b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     carry = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    placed = cut.withColumn("__i", F.row_number().over(Window.partitionBy("__b").orderBy(*keys))).join(carry, F.col("__b") == F.col("__c"))
+    placed = cut.withColumn("__i", F.row_number().over(Window.partitionBy("__b").orderBy(*keys))).join(F.broadcast(carry), F.col("__b") == F.col("__c"))
     return placed.select(*names, (F.col("__i") + F.col("__before")).cast("bigint").alias("_row"))
 
 
 def unique_rows(b, args) -> DataFrame:
     """UNIQUE: the first row of each distinct row, text without case; exactly_once keeps singletons. _row is the row's own."""
     df, names, row = table(b, args[0])
-    if len(args) > 1 and b.constant(args[1]):
-        raise FormulaError("UNIQUE by column needs a transposed array")
     once = len(args) > 2 and bool(b.constant(args[2]))
     kinds = dict(df.dtypes)
+    if len(args) > 1 and b.constant(args[1]):
+        return unique_columns(df, names, row, once)
     keys = [(F.lower(n) if kinds[n] == "string" else F.col(n)).alias(f"__k{i}") for i, n in enumerate(names)]
     each = df.groupBy(*keys).agg(F.min_by(F.struct(*names), F.col(row)).alias("__r"), F.min(row).alias("_row"), F.count(F.lit(1)).alias("__n"))
     if once:
@@ -72,18 +71,34 @@ def unique_rows(b, args) -> DataFrame:
     return each.select(*[F.col("__r")[n].alias(n) for n in names], "_row")
 
 
+def unique_columns(df: DataFrame, names: list[str], row: str, once: bool) -> DataFrame:
+    """The first of each group of equal columns. Columns are told apart by two hashes of all their cells; a row of them comes to the driver."""
+    kinds = dict(df.dtypes)
+    cell = lambda n: F.lower(n) if kinds[n] == "string" else F.col(n)
+    prints = [F.struct(F.bit_xor(F.xxhash64(F.lit(k), F.col(row), F.lit(kinds[n]), cell(n), F.col(n).isNull()))).alias(f"h{i}_{k}") for i, n in enumerate(names) for k in range(2)]
+    got = df.agg(*prints).first()
+    of = [(got[2 * i][0], got[2 * i + 1][0], kinds[n]) for i, n in enumerate(names)]
+    kept = [n for i, n in enumerate(names) if of.index(of[i]) == i and (not once or of.count(of[i]) == 1)]
+    return renumbered(df, kept, row)
+
+
 def filter_rows(b, args) -> DataFrame:
     """FILTER: rows whose include is TRUE or not zero; without any, if_empty or #N/A."""
     df, names, row = table(b, args[0])
-    inside = [r for r in references(args[1]) if isinstance(r, Range)]
-    if isinstance(args[0], Call) or any(b.sheet_of(r) is not b.sheet_of(b.as_range(args[0])) for r in inside):
-        own = inside[0]
-        other = b.region(own)
-        other.sheet.numbered()
-        include = to_bool(b.in_array(args[1])).col
-        first = b.as_range(args[0]).start.row or 1 if not isinstance(args[0], Call) else 1
-        right = other.df.select((F.col(other.sheet.row) - (own.start.row or 1) + first).alias("__at"), include.alias("__in"))
-        kept = df.join(right, F.col(row) == F.col("__at")).where("__in")
+    inside = list(dict.fromkeys(r for r in references(args[1]) if isinstance(r, Range)))
+    rng = None if isinstance(args[0], Call) else b.as_range(args[0])
+    if not inside:
+        raise FormulaError("FILTER's include takes ranges")
+    if rng is None or any(b.sheet_of(r) is not b.sheet_of(rng) or r.start.row != rng.start.row for r in inside):
+        # Rows meet by their place in their ranges.
+        for r in inside:
+            b.sheet_of(r).numbered()
+        other, vals = one_region(b, inside)
+        place = F.col("__at") if "__at" in other.columns else F.col(b.sheet_of(inside[0]).row) - (inside[0].start.row or 1)
+        include = to_bool(b.in_array(args[1], dict(zip(inside, vals, strict=True)))).col
+        first = 1 if rng is None else rng.start.row or 1
+        right = other.select((place + first).alias("__place"), include.alias("__in"))
+        kept = df.join(right, F.col(row) == F.col("__place")).where("__in")
     else:
         kept = df.where(to_bool(b.in_array(args[1])).col)
     out = renumbered(kept, names, row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions.registry import FUNCTIONS, FunctionSpec, function
-from lattica.parser import FormulaError
+from lattica.parser import FormulaError, Unsupported
 from lattica.values import HOST, Val, aligned, error, to_num
 
 
@@ -14,7 +14,7 @@ def attempted(b, node) -> Val:
     try:
         return b.value(node)
     except FormulaError as e:
-        if "unknown function" in str(e) or "takes" in str(e):
+        if isinstance(e, Unsupported) or "unknown function" in str(e) or "takes" in str(e):
             raise
         return error(HOST)
 

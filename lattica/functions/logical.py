@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from lattica.functions import elementwise, moving
 from lattica.functions.registry import function
 from lattica.parser import FormulaError, Name
 from lattica.values import Val, aligned, compare, first_error, to_bool, to_int
@@ -27,16 +28,24 @@ def chosen(tests: list[Val], results: list[Val], code: str) -> Val:
     return Val(col, kind, err if can else None)
 
 
+def branches(b, nodes) -> list[Val]:
+    """Values of branches; where only numbers count, text beside numbers is empty."""
+    vals = [b.value(n) for n in nodes]
+    if b.numbers and {"num", "date"} & {v.kind for v in vals}:
+        vals = [Val(F.lit(None).cast("double"), "num", v.err) if v.kind in ("text", "bool") else v for v in vals]
+    return vals
+
+
 @function("IF", 3)
 def _if(b, args):
-    return chosen([to_bool(b.value(args[0]))], [b.value(args[1]), b.value(args[2])], "")
+    return chosen([to_bool(b.value(args[0]))], branches(b, args[1:]), "")
 
 
 @function("IFS", 2, None)
 def _ifs(b, args):
     if len(args) % 2:
         raise FormulaError("IFS takes pairs")
-    return chosen([to_bool(b.value(a)) for a in args[::2]], [b.value(a) for a in args[1::2]], "#N/A")
+    return chosen([to_bool(b.value(a)) for a in args[::2]], branches(b, args[1::2]), "#N/A")
 
 
 @function("SWITCH", 3, None)
@@ -55,18 +64,34 @@ def _choose(b, args):
     return chosen(tests, [b.value(a) for a in args[1:]], "#VALUE!")
 
 
+def _flags(w):
+    """Truth of the cells that are not empty."""
+    return F.filter(w.each(lambda x, j: F.when(w.val(x, 0, j).col.isNotNull(), to_bool(w.val(x, 0, j)).col)), lambda x: x.isNotNull())
+
+
 def every(name: str, join):
     @function(name, 1, None)
     def _(b, args):
         cols, errs = [], []
         for a in args:
+            if not b.arrays and elementwise.ranges(b, a):
+                df, vals = elementwise.region(b, a)
+                fold = F.bool_and if name == "AND" else F.bool_or
+                cols += [F.coalesce(df.agg(fold(to_bool(v).col)).scalar(), F.lit(name == "AND")) for v in vals]
+                errs += [df.agg(F.first(v.err, ignorenulls=True)).scalar() for v in vals if v.err is not None]
+                continue
             rng = b.as_range(a) if not (b.arrays and not isinstance(a, Name)) else None
             if rng is not None and (rng.height > 1 or rng.width > 1):
-                if b.moving(rng) == (0, 0):
+                if b.moving(rng) == (0, 0) and b.own(rng):
                     vals = [to_bool(b.sheet.val(c)) for c in range(rng.start.col, rng.end.col + 1)]
                     cols += [v.col for v in vals]
                     errs += [v.err for v in vals]
                     continue
+                if moving.slides(b, [rng]):
+                    w = moving.window(b, [rng])
+                    flags = _flags(w)
+                    cols.append(F.forall(flags, lambda x: x) if name == "AND" else F.exists(flags, lambda x: x))
+                    continue
                 region = b.region(rng)
                 fold = F.bool_and if name == "AND" else F.bool_or
                 cols += [F.coalesce(region.df.agg(fold(F.when(v.col.isNotNull(), to_bool(v).col))).scalar(), F.lit(name == "AND")) for v in region.vals]

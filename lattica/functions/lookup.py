@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lattica.criteria import has_wildcard, wild
+from lattica.functions import moving
 from lattica.functions.registry import function
-from lattica.parser import FormulaError
+from lattica.parser import FormulaError, Unsupported
 from lattica.plans import ordered
 from lattica.refs import Range, Ref
-from lattica.values import HOST, Val, aligned, first_error, numeric, parsed_number, plain, serial, to_num
+from lattica.values import HOST, Val, aligned, first_error, literal, numeric, parsed_number, plain, serial, to_num
 
 
 def strict_key(v: Val) -> Column:
@@ -36,6 +39,7 @@ def loose_key(v: Val) -> Column:
 
 def table_side(b, rng: Range, columns: list[int]):
     """Rows of a vertical range: place (0-based) and the asked columns' values."""
+    b.fixed(rng)
     sheet = b.sheet_of(rng).numbered()
     first = rng.start.row or 1
     df = sheet.df if not rng.start.row else sheet.df.where(F.col(sheet.row).between(rng.start.row, rng.end.row))
@@ -44,7 +48,14 @@ def table_side(b, rng: Range, columns: list[int]):
 
 def found(b, key: Val, rng_key: Range, col: int, result: Range | None, how: str, tie_last: bool, code: str, strict: bool = True) -> Val:
     """The value of column `col` (or the 1-based place, if result is None) at the matching row."""
+    if b.moving(rng_key) is not None:
+        return found_moving(b, key, rng_key, col, result, how, tie_last, code, strict)
     df, at, (k, v) = table_side(b, rng_key, [rng_key.start.col, col])
+    if result is not None and (b.sheet_of(result) is not b.sheet_of(rng_key) or result.start.row != rng_key.start.row):
+        other, there, (v,) = table_side(b, result, [col])
+        right = other.select(there.alias("__there"), v.col.alias("__rv"), *([v.err.alias("__re")] if v.err is not None else []))
+        df = df.select(at, k.col.alias("__rk")).join(right, F.col("__at") == F.col("__there"), "left")
+        at, k, v = F.col("__at"), Val(F.col("__rk"), k.kind), Val(F.col("__rv"), v.kind, F.col("__re") if v.err is not None else None)
     value = v.col.alias("__v") if result is not None else F.lit(0).alias("__v")
     err = v.err if result is not None else None
     kind = v.kind if result is not None else "num"
@@ -79,6 +90,49 @@ def found(b, key: Val, rng_key: Range, col: int, result: Range | None, how: str,
     return Val(got, kind, first_error(key.err, F.when(F.col(name).isNull(), F.lit(code)), None if err is None else F.col(name)["__e"]))
 
 
+def found_moving(b, key: Val, rng: Range, col: int, result: Range | None, how: str, tie_last: bool, code: str, strict: bool) -> Val:
+    """The same in a range that a fill moves: each row searches its own window. Where one end stays, an exact first (or last) match of the whole column counts if the row's range holds it."""
+    make = strict_key if strict else loose_key
+    keys = Range(replace(rng.start, col=rng.start.col), replace(rng.end, col=rng.start.col))
+    values = Range(replace(rng.start, col=col), replace(rng.end, col=col))
+    if moving.slides(b, [rng]):
+        w = moving.window(b, [keys, values])
+        name = b.new()
+        b.df = b.df.withColumn(name, w.col)
+        cells = F.col(name)
+        if how == "exact":
+            fit = F.filter(cells, lambda x: make(w.val(x, 0)) == make(key))
+            hit = F.element_at(F.when(F.size(fit) > 0, fit), -1 if tie_last else 1)
+        else:
+            number = to_num(key) if key.kind != "text" else Val(parsed_number(key.col), "num", key.err)
+            ahead = (lambda k: k >= number.col) if how == "larger" else (lambda k: k <= number.col)
+            fit = F.filter(cells, lambda x: ahead(numeric(w.val(x, 0))))
+            nums = F.transform(fit, lambda x: numeric(w.val(x, 0)))
+            best = F.array_min(nums) if how == "larger" else F.array_max(nums)
+            fit = F.filter(fit, lambda x: numeric(w.val(x, 0)) == best)
+            hit = F.element_at(F.when(F.size(fit) > 0, fit), -1 if tie_last else 1)
+        v = w.val(hit, 1)
+        got = (hit["at"] + 1).cast("double") if result is None else v.col
+        return Val(got, "num" if result is None else v.kind, first_error(key.err, F.when(hit["at"].isNull(), F.lit(code)), None if result is None else v.err))
+    move = b.moving(rng)
+    if how != "exact" or not b.own(rng) or move not in ((None, 0), (0, None)) or tie_last != (move[0] is not None):
+        raise Unsupported(f"no form for a lookup in a range that a fill moves like this: {rng}")
+    row = b.sheet.numbered_row(b)
+    k, v = b.sheet.val(rng.start.col), b.sheet.val(col)
+    name, flag = b.new(), b.new()
+    here = F.col(row) >= rng.start.row if move[0] is None else F.col(row) <= rng.end.row
+    err = F.lit(None).cast("string") if v.err is None else v.err
+    table = b.sheet.df.where(here).select(make(k).alias(flag), F.struct(F.col(row).alias("r"), v.col.alias("v"), err.alias("e")).alias("s")).where(F.col(flag).isNotNull())
+    each = table.groupBy(flag).agg((F.max_by if tie_last else F.min_by)("s", F.col("s.r")).alias(name))
+    b.df = b.df.join(each, make(key) == F.col(flag), "left").drop(flag)
+    s = F.col(name)
+    held = s["r"] <= F.col(row) if move[0] is None else s["r"] >= F.col(row)
+    first = F.lit(rng.start.row) if move[0] is None else F.col(row)
+    got = F.when(held, (s["r"] - first + 1).cast("double") if result is None else s["v"])
+    miss = F.when(~F.coalesce(held, F.lit(False)), F.lit(code))
+    return Val(got, "num" if result is None else v.kind, first_error(key.err, miss, None if result is None else s["e"]))
+
+
 def _correlated(b, table, key: Val, make):
     """A scalar key that is itself a subquery joins as a one-row table."""
     one = b.sheet.df.sparkSession.range(1).select(make(key).alias("__want"))
@@ -96,6 +150,51 @@ def _vlookup(b, args):
     return found(b, key, rng, rng.start.col + int(col) - 1, rng, "smaller" if approx else "exact", bool(approx), HOST, strict=False)
 
 
+def across(b, keys: Range, values: Range | None, make):
+    """Two rows of cells as an array of (k, v, at): a one-row table of it, or (for rows that a fill moves) a function that builds over the column; and the values' kind. Without values, v is the 1-based place."""
+    place = lambda n: [F.lit(float(i + 1)) for i in range(n)]
+
+    def zipped(ks: list[Column], vs: list[Column]) -> Column:
+        return F.array(*[F.struct(k.alias("k"), v.alias("v"), F.lit(i).alias("at")) for i, (k, v) in enumerate(zip(ks, vs, strict=True))])
+
+    ranges = [keys] if values is None else [keys, values]
+    if moving.slides(b, ranges):
+        w = [moving.window(b, [r], padded=True) for r in ranges]
+        lines = [[x.val(F.get(x.col, F.lit(0)), 0, j) for j in range(len(x.cells[0]))] for x in w]
+        vs, kind = (place(len(lines[0])), "num") if values is None else aligned(lines[1])
+        name = b.new()
+        b.df = b.df.withColumn(name, zipped([make(v) for v in lines[0]], vs))
+        return None, lambda f: f(F.col(name)), kind
+    parts, lines = [], []
+    for n, r in zip("kv", ranges, strict=False):
+        b.fixed(r)
+        sheet = b.sheet_of(r).numbered()
+        vals = [sheet.val(c) for c in range(r.start.col or 1, (r.end.col or len(sheet.columns)) + 1)]
+        cols, kind = ([make(v) for v in vals], "num") if n == "k" else aligned(vals)
+        lines.append([f"{n}{i}" for i in range(len(vals))])
+        parts.append(sheet.df.where(F.col(sheet.row) == (r.start.row or 1)).agg(*[F.first(c).alias(x) for c, x in zip(cols, lines[-1], strict=True)]))
+    one = parts[0] if values is None else parts[0].crossJoin(parts[1])  # one row each
+    return one.select(zipped([F.col(x) for x in lines[0]], place(len(lines[0])) if values is None else [F.col(x) for x in lines[1]]).alias("p")), None, "num" if values is None else kind
+
+
+def found_across(b, key: Val, keys: Range, values: Range | None, how: str, tie_last: bool, code: str) -> Val:
+    """`found` in a row instead of a column."""
+    pairs, build, kind = across(b, keys, values, strict_key if how == "exact" else numeric)
+    want = strict_key(key) if how == "exact" else to_num(key).col
+
+    def hit(cells: Column) -> list[Column]:
+        fit = F.filter(cells, lambda p: p["k"] == want if how == "exact" else p["k"] >= want if how == "larger" else p["k"] <= want)
+        if how != "exact":
+            nums = F.transform(fit, lambda p: p["k"])
+            best = F.array_min(nums) if how == "larger" else F.array_max(nums)
+            fit = F.filter(fit, lambda p: p["k"] == best)
+        got = F.element_at(F.when(F.size(fit) > 0, fit), -1 if tie_last else 1)
+        return [got["v"], got["at"].isNull()]
+
+    value, miss = build(hit) if pairs is None else b.over_one(pairs, hit)
+    return Val(value, kind, first_error(key.err, F.when(miss, F.lit(code))))
+
+
 @function("HLOOKUP", 3, 4)
 def _hlookup(b, args):
     """Two rows of a bounded width, turned into key and value pairs."""
@@ -105,13 +204,8 @@ def _hlookup(b, args):
         raise FormulaError("HLOOKUP's table, row and range_lookup must be constants")
     if not 1 <= int(row) <= rng.height:
         return Val(F.lit(None).cast("double"), "blank", F.lit(HOST))
-    sheet = b.sheet_of(rng).numbered()
-    first = rng.start.row or 1
-    vals = [sheet.val(c) for c in range(rng.start.col or 1, (rng.end.col or len(sheet.columns)) + 1)]
-    cols, kind = aligned(vals)
-    keys = [(numeric(v) if approx else loose_key(v)) for v in vals]
-    pick = lambda at, cs: sheet.df.where(F.col(sheet.row) == at).agg(*[F.first(c).alias(f"c{i}") for i, c in enumerate(cs)])
-    both = pick(first, keys).select(F.array(*[f"c{i}" for i in range(len(vals))]).alias("k")).crossJoin(pick(first + int(row) - 1, cols).select(F.array(*[f"c{i}" for i in range(len(vals))]).alias("v")))  # one row each
+    line = Range(replace(rng.start, row=(rng.start.row or 1) + int(row) - 1), replace(rng.end, row=(rng.start.row or 1) + int(row) - 1))
+    pairs, build, kind = across(b, Range(rng.start, replace(rng.end, row=rng.start.row)), line, numeric if approx else loose_key)
     want = to_num(key).col if approx else loose_key(key)
 
     def hit(pairs: Column) -> list[Column]:
@@ -122,7 +216,7 @@ def _hlookup(b, args):
         got = F.element_at(F.when(F.size(fit) > 0, fit), -1 if approx else 1)
         return [got["v"], got.isNull()]
 
-    value, miss = b.over_one(both.select(F.arrays_zip("k", "v").alias("p")), hit)
+    value, miss = build(hit) if pairs is None else b.over_one(pairs, hit)
     return Val(value, kind, first_error(key.err, F.when(miss, F.lit(HOST))))
 
 
@@ -131,12 +225,15 @@ def _xlookup(b, args):
     key, keys, results = b.value(args[0]), b.as_range(args[1]), b.as_range(args[2])
     mode = int(b.constant(args[4]) or 0) if len(args) > 4 else 0
     search = int(b.constant(args[5]) or 1) if len(args) > 5 else 1
-    if keys is None or results is None or keys.width != results.width or keys.height != results.height or keys.width != 1:
-        raise FormulaError("XLOOKUP takes two columns of one shape")
-    if b.sheet_of(keys) is not b.sheet_of(results) or keys.start.row != results.start.row:
-        raise FormulaError("XLOOKUP's columns must lie side by side")
+    if keys is None or results is None or (keys.width, keys.height) != (results.width, results.height) or 1 not in (keys.width, keys.height):
+        raise FormulaError("XLOOKUP takes two columns or two rows of one shape")
     backwards = search < 0
+    row = keys.width > 1
+    if mode == 2 and row:
+        raise FormulaError("a wildcard lookup takes columns")
     if mode == 2:
+        if b.sheet_of(keys) is not b.sheet_of(results) or keys.start.row != results.start.row:
+            raise FormulaError("a wildcard lookup's columns lie side by side")
         if not isinstance(key.const, str):
             raise FormulaError("a wildcard lookup needs a constant pattern")
         df, at, (k, v) = table_side(b, keys, [keys.start.col, results.start.col])
@@ -144,11 +241,10 @@ def _xlookup(b, args):
         hit = df.select(at, v.col.alias("__v"), text.alias("__k")).where(wild(F.col("__k"), key.const) if has_wildcard(key.const) else F.lower("__k") == key.const.lower())
         one = hit.agg((F.max_by if backwards else F.min_by)(F.struct("__v"), "__at").alias("r"))
         out = Val(one.select("r.__v").scalar(), v.kind, F.when(one.select(F.col("r").isNull()).scalar(), F.lit("#N/A")))
-    elif mode == 0:
-        out = found(b, key, keys, results.start.col, results, "exact", backwards, "#N/A")
     else:
+        how = "exact" if mode == 0 else "smaller" if mode == -1 else "larger"
         last = not backwards if mode == -1 else backwards
-        out = found(b, key, keys, results.start.col, results, "smaller" if mode == -1 else "larger", last, "#N/A")
+        out = found_across(b, key, keys, results, how, last, "#N/A") if row else found(b, key, keys, results.start.col, results, how, last, "#N/A")
     if len(args) > 3:
         alt = b.value(args[3])
         cols, kind = aligned([out, alt])
@@ -164,9 +260,11 @@ def _match(b, args):
     mode = 1 if len(args) < 3 else b.constant(args[2])
     if rng is None or mode is None:
         raise FormulaError("MATCH's range and type must be constants")
-    if rng.width != 1:
-        raise FormulaError("MATCH takes one column")
     how = "exact" if mode == 0 else "smaller" if mode > 0 else "larger"
+    if rng.width != 1:
+        if rng.height != 1:
+            raise FormulaError("MATCH takes one column or one row")
+        return found_across(b, key, rng, None, how, False, HOST)
     out = found(b, key, rng, rng.start.col, None, how, False, HOST)
     return Val(out.col.cast("double"), "num", out.err)
 
@@ -176,7 +274,7 @@ def _index(b, args):
     rng = b.as_range(args[0])
     if rng is None:
         raise FormulaError("INDEX takes a range")
-    one_row = rng.start.row and rng.height == 1
+    one_row = rng.start.row and rng.height == 1 and None not in (b.moving(rng) or ())  # as it stands; not the first of a growing range
     row, col = (args[1], args[2]) if len(args) == 3 else (None, args[1]) if one_row else (args[1], None)
     c = 1 if col is None else b.constant(col)
     if c is None:
@@ -185,10 +283,14 @@ def _index(b, args):
     wide = rng.end.col - rng.start.col + 1
     if not 1 <= int(c) <= wide or (r is not None and not 1 <= int(r) <= rng.height):
         return Val(F.lit(None).cast("double"), "blank", F.lit(HOST))
-    if r is not None:
+    if r is not None and b.moving(rng) is None:
         return b.cell(Ref(rng.start.col + int(c) - 1, (rng.start.row or 1) + int(r) - 1, True, True, rng.sheet))
+    if r is not None and None not in b.moving(rng):  # the place moves with the range
+        return b.cell(Ref(rng.start.col + int(c) - 1, rng.start.row + int(r) - 1, True, False, rng.sheet))
+    place = to_num(b.value(row) if r is None else literal(float(r)))
+    if b.moving(rng) is not None:
+        return at_moving(b, rng, rng.start.col + int(c) - 1, place)
     # A row per row: the place is a key into the table.
-    place = to_num(b.value(row))
     df, at, (v,) = table_side(b, rng, [rng.start.col + int(c) - 1])
     if b.base_row is None:
         one = b.sheet.df.sparkSession.range(1).select((F.floor(place.col) - 1).alias("__want"))
@@ -197,3 +299,25 @@ def _index(b, args):
     name, key = b.new(), b.new()
     b.df = b.df.join(df.select(at, v.col.alias(name)).withColumnRenamed("__at", key), F.floor(place.col) - 1 == F.col(key), "left").drop(key)
     return Val(F.col(name), v.kind, first_error(place.err, F.when(place.col < 1, F.lit(HOST))))
+
+
+def at_moving(b, rng: Range, col: int, place: Val) -> Val:
+    """The cell at a place of a range that a fill moves."""
+    at = F.floor(place.col) - 1
+    if moving.slides(b, [rng]):
+        one = Range(replace(rng.start, col=col), replace(rng.end, col=col))
+        w = moving.window(b, [one], padded=True)
+        hit = F.get(w.col, at.cast("int"))
+        v = w.val(hit)
+        return Val(v.col, v.kind, first_error(place.err, F.when((at < 0) | (at >= rng.height), F.lit(HOST)), v.err))
+    move = b.moving(rng)
+    if move != (None, 0) or not b.own(rng):
+        raise Unsupported(f"no form for INDEX in a range that a fill moves like this: {rng}")
+    row, name, key = b.sheet.numbered_row(b), b.new(), b.new()
+    v = b.sheet.val(col)
+    wanted = at + rng.start.row
+    found_ = b.sheet.df.select(F.col(row).alias(key), v.col.alias(name), *([v.err.alias(name + "e")] if v.err is not None else []))
+    asked = b.new()
+    b.df = b.df.withColumn(asked, wanted).join(found_, F.col(asked) == F.col(key), "left").drop(key, asked)
+    out = F.when((at < 0) | (wanted > F.col(row)), F.lit(HOST))
+    return Val(F.col(name), v.kind, first_error(place.err, out, F.col(name + "e") if v.err is not None else None))

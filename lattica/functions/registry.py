@@ -17,6 +17,7 @@ class FunctionSpec:
     least: int
     most: int | None
     compile: Callable
+    elementwise: bool = False  # of values alone, so that a range as an argument means one result for each cell
 
 
 FUNCTIONS: dict[str, FunctionSpec] = {}
@@ -43,7 +44,7 @@ def scalar(name: str, kinds: str, least: int | None = None):
             out = f(*vals)
             return Val(out.col, out.kind, first_error(*[v.err for v in vals], out.err))
 
-        FUNCTIONS[name] = FunctionSpec(name, len(kinds) if least is None else least, None if repeat else len(kinds), compile_)
+        FUNCTIONS[name] = FunctionSpec(name, len(kinds) if least is None else least, None if repeat else len(kinds), compile_, True)
         return f
 
     return put

@@ -219,9 +219,18 @@ ORACLE_SQL["financial_functions"] = ORACLE_SQL["financial_functions"].replace("
 scalars("npv", ["orders"], {"npv": "=NPV(0.1,D1:D20)", "npv2": "=NPV(0.01,D1:D200)"}, f"SELECT (SELECT {R('sum(o_totalprice / pow(1.1, o_orderkey + 1))', 2)} FROM orders WHERE o_orderkey < 20) AS npv, (SELECT {R('sum(o_totalprice / pow(1.01, o_orderkey + 1))', 2)} FROM orders WHERE o_orderkey < 200) AS npv2", 2)
 
 
-@query("irr_xirr")
+@query("irr_xirr", """
+WITH RECURSIVE months AS (SELECT date_trunc('month', o_orderdate) AS d, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v FROM orders GROUP BY 1
+), flows AS (SELECT min(d) - INTERVAL 1 MONTH AS d, CAST(-0.8 * sum(v) AS DOUBLE) AS v FROM months UNION ALL SELECT d, CAST(v AS DOUBLE) FROM months
+), placed AS (SELECT v, row_number() OVER (ORDER BY d) - 1 AS i, date_diff('day', min(d) OVER (), d) / 365.0 AS t FROM flows
+), whole AS (SELECT list({'v': v, 'i': i, 't': t}) AS p FROM placed
+), halved(n, lo, hi, xlo, xhi) AS (
+  SELECT 0, CAST(-0.9 AS DOUBLE), CAST(2 AS DOUBLE), CAST(-0.9 AS DOUBLE), CAST(2 AS DOUBLE)
+  UNION ALL SELECT n + 1, CASE WHEN f > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f > 0 THEN hi ELSE (lo + hi) / 2 END, CASE WHEN x > 0 THEN (xlo + xhi) / 2 ELSE xlo END, CASE WHEN x > 0 THEN xhi ELSE (xlo + xhi) / 2 END
+  FROM (SELECT h.*, list_sum(list_transform(p, lambda y: y.v / pow(1 + (lo + hi) / 2, y.i))) AS f, list_sum(list_transform(p, lambda y: y.v / pow(1 + (xlo + xhi) / 2, y.t))) AS x FROM halved h, whole WHERE n < 60)
+) SELECT round((lo + hi) / 2, 4) AS irr, round((xlo + xhi) / 2, 4) AS xirr, (SELECT round(sum(v / pow(1.1, t)), 4) FROM placed) AS xnpv FROM halved WHERE n = 60""")
 def _irr(spark: SparkSession, d: str) -> DataFrame:
-    """All orders as monthly totals, after an outlay of four fifths of their sum a month before the first. Newton's method is no SQL; tests hold its results against bisection."""
+    """All orders as monthly totals, after an outlay of four fifths of their sum a month before the first. The SQL halves an interval."""
     wb = Workbook()
     months = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.trunc("o_orderdate", "month").alias("d")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
     outlay = months.agg(F.add_months(F.min("d"), -1).alias("d"), (F.sum("v") * F.lit(-0.8).cast("decimal(3,1)")).alias("v"))
@@ -259,6 +268,85 @@ rows_of("nested_arrays", ["part"], "=SORT(UNIQUE(D:D),1)", "SELECT p_type, row_n
 rows_of("sequence_function", ["region"], "=SEQUENCE(1000,3,10,5)", "SELECT CAST(10 + r * 15 AS DOUBLE) AS c1, CAST(15 + r * 15 AS DOUBLE) AS c2, CAST(20 + r * 15 AS DOUBLE) AS c3, r + 1 AS place FROM range(1000) t(r)")
 rows_of("transpose_function", ["nation"], "=TRANSPOSE(A1:C4)", "SELECT * FROM (VALUES ('0', '1', '2', '3', 1), ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3', 2), ('0', '1', '2', '3', 3)) t(c1, c2, c3, c4, place)")
 
+# --- ranges that a fill moves ------------------------------------------------------
+
+AHEAD = "OVER (ORDER BY c_custkey ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)"
+SIX = f"list_sort(list(c_acctbal) {AHEAD})"
+
+fills("countif_running", "orders", {"n": "=COUNTIF($C$1:C1,C1)", "spent": "=SUMIF($B$1:B1,B1,$D$1:D1)", "big": '=COUNTIF($D$1:D1,">100000")', "most": '=MAXIFS($D$1:D1,$C$1:C1,"F")', "mean": "=AVERAGEIFS($D$1:D1,$B$1:B1,B1,$C$1:C1,C1)", "left": "=COUNTIF(C1:C$15000,C1)"}, ["o_orderkey"], f"""
+SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n, {R('sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)', 6)} AS spent,
+  count(*) FILTER (WHERE o_totalprice > 100000) OVER (ORDER BY o_orderkey) AS big, {R("coalesce(max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (ORDER BY o_orderkey), 0)", 6)} AS most,
+  {R('avg(o_totalprice) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey)', 6)} AS mean, count(*) FILTER (WHERE o_orderkey < 15000) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey DESC) AS "left" FROM orders""", (), 6)
+
+fills("sumif_sliding", "customer", {"b": '=SUMIF(E1:E6,"building",D1:D6)', "same": "=COUNTIF(C1:C6,C1)", "more": '=COUNTIF(D1:D6,">"&D1)', "least": '=MINIFS(D1:D6,E1:E6,"<>BUILDING")', "next": '=SUMIFS(D2:D7,E1:E6,E1)'}, ["c_custkey"], f"""
+SELECT c_custkey, {R(f"coalesce(sum(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') {AHEAD}, 0)", 2)} AS b, len(list_filter(list(c_nationkey) {AHEAD}, lambda x: x = c_nationkey)) AS same, len(list_filter(list(c_acctbal) {AHEAD}, lambda x: x > c_acctbal)) AS more,
+  {R(f"coalesce(min(c_acctbal) FILTER (WHERE c_mktsegment <> 'BUILDING') {AHEAD}, 0)", 2)} AS least,
+  {R(f"list_sum(list_transform(list_filter(list({{'s': c_mktsegment, 'v': after}}) {AHEAD}, lambda x: x.s = c_mktsegment), lambda x: x.v))", 2)} AS "next" FROM (SELECT *, coalesce(lead(c_acctbal) OVER (ORDER BY c_custkey), 0) AS after FROM customer)""", (), 2)
+
+fills("large_sliding", "customer", {"second": "=LARGE(D1:D6,2)", "low": "=SMALL(D1:D6,1)", "kth": "=LARGE(D1:D6,MOD(A1,3)+1)", "quarter": "=PERCENTILE(D1:D6,0.25)", "q3": "=QUARTILE(D1:D6,3)", "mid": "=MEDIAN(D1:D6)", "place": "=RANK(D1,D1:D6)", "up": "=RANK(D1,D1:D6,1)"}, ["c_custkey"], f"""
+SELECT c_custkey, {R('s[len(s) - 1]', 4)} AS second, {R('s[1]', 4)} AS low, CASE WHEN c_custkey % 3 + 1 <= len(s) THEN {R('s[len(s) - c_custkey % 3]', 4)} END AS kth, {R('list_aggregate(s, $$quantile_cont$$, 0.25)', 4)} AS quarter, {R('list_aggregate(s, $$quantile_cont$$, 0.75)', 4)} AS q3, {R('list_aggregate(s, $$median$$)', 4)} AS mid,
+  {R('1 + len(list_filter(s, lambda x: x > c_acctbal))', 4)} AS place, {R('1 + len(list_filter(s, lambda x: x < c_acctbal))', 4)} AS up FROM (SELECT *, {SIX} AS s FROM customer)""".replace("s[len(s) - 1]", "CASE WHEN len(s) > 1 THEN s[len(s) - 1] END"), (), 4)
+
+fills("stdev_sliding_columns", "part", {"sd": "=STDEV(E1:F3)", "va": "=VARP(E1:F3)", "md": "=MEDIAN(E1:F3)", "one": "=STDEVP(F1:F3)"}, ["p_partkey"], f"""
+SELECT p_partkey, {R('list_aggregate(v, $$stddev_samp$$)', 3)} AS sd, {R('list_aggregate(v, $$var_pop$$)', 3)} AS va, {R('list_aggregate(v, $$median$$)', 3)} AS md, {R('list_aggregate(w, $$stddev_pop$$)', 3)} AS one
+FROM (SELECT p_partkey, flatten(list([CAST(p_size AS DOUBLE), p_retailprice]) OVER r) AS v, list(p_retailprice) OVER r AS w FROM part WINDOW r AS (ORDER BY p_partkey ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))""", (), 3)
+
+fills("match_moving", "customer", {"at": '=IFERROR(MATCH("BUILDING",E1:E6,0),0)', "got": '=XLOOKUP("BUILDING",E1:E6,D1:D6,0)', "v": '=IFERROR(VLOOKUP("building",E1:E6,1,FALSE),"none")', "first": "=MATCH(C1,$C$1:C1,0)", "below": "=IFERROR(MATCH(5000,D1:D6,1),0)"}, ["c_custkey"], f"""
+SELECT c_custkey, CAST(coalesce(nullif(list_position(s, 'BUILDING'), 0), 0) AS DOUBLE) AS "at", {R("CASE WHEN list_position(s, 'BUILDING') > 0 THEN d[list_position(s, 'BUILDING')] ELSE 0 END", 2)} AS got, CASE WHEN list_position(s, 'BUILDING') > 0 THEN 'BUILDING' ELSE 'none' END AS v,
+  CAST(min(c_custkey) OVER (PARTITION BY c_nationkey) + 1 AS DOUBLE) AS first, CAST(coalesce(list_position(d, list_max(list_filter(d, lambda x: x <= 5000))), 0) AS DOUBLE) AS below
+FROM (SELECT *, list(c_mktsegment) {AHEAD} AS s, list(c_acctbal) {AHEAD} AS d FROM customer)""", (), 2)
+
+fills("index_moving", "customer", {"third": "=INDEX(D1:D6,3)", "some": "=INDEX(D1:D6,MOD(A1,4)+1)", "up": "=IFERROR(INDEX($D$1:D1,MOD(A1,7)+1),-1)"}, ["c_custkey"], f"""
+SELECT c_custkey, {R('d[3]', 2)} AS third, {R('d[c_custkey % 4 + 1]', 2)} AS some, {R('(SELECT y.c_acctbal FROM customer y WHERE y.c_custkey = x.c_custkey % 7)', 2)} AS up FROM (SELECT *, list(c_acctbal) {AHEAD} AS d FROM customer) x""", (), 2)
+
+fills("sumproduct_sliding", "part", {"s": "=SUMPRODUCT(E1:E4,F1:F4)", "c": "=SUMPRODUCT((E1:E4>20)*F1:F4)", "r": "=SUMPRODUCT($E$1:E1,$F$1:F1)", "m": "=SUM(IF(E1:E4>20,F1:F4,0))"}, ["p_partkey"], f"""
+SELECT p_partkey, {R('sum(p_size * p_retailprice) OVER w', 2)} AS s, {R('coalesce(sum(p_retailprice) FILTER (WHERE p_size > 20) OVER w, 0)', 2)} AS c, {R('sum(p_size * p_retailprice) OVER (ORDER BY p_partkey)', 2)} AS r, {R('coalesce(sum(p_retailprice) FILTER (WHERE p_size > 20) OVER w, 0)', 2)} AS m
+FROM part WINDOW w AS (ORDER BY p_partkey ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)""", (), 2)
+
+fills("countif_compared", "customer", {"richer": '=COUNTIF($D:$D,">"&D1)', "upto": '=SUMIF($D:$D,"<="&D1,$D:$D)', "top": '=MAXIFS($D:$D,$D:$D,"<"&D1,$E:$E,"BUILDING")'}, ["c_custkey"], f"""
+SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) - 1 AS richer, {R('sum(c_acctbal) OVER (ORDER BY c_acctbal)', 2)} AS upto, {R("coalesce(max(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') OVER (ORDER BY c_acctbal RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0)", 2)} AS top FROM customer""", (), 2)
+
+fills("percentile_by_row", "customer", {"p": "=PERCENTILE($D:$D,C1/25)", "k": "=LARGE($D:$D,C1+1)"}, ["c_custkey"], f"""
+WITH s AS (SELECT list_sort(list(c_acctbal)) AS s FROM customer), q AS (SELECT s, len(s) AS n FROM s), p AS (SELECT range AS k, range / 25 * (n - 1) AS pos, s, n FROM range(0, 25), q)
+SELECT c_custkey, {R('s[CAST(floor(pos) AS BIGINT) + 1] + (s[CAST(ceil(pos) AS BIGINT) + 1] - s[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos))', 2)} AS p, {R('s[n - k]', 2)} AS k FROM customer JOIN p ON c_nationkey = p.k""", (), 2)
+
+fills("sliding_other_sheet", "nation", {"near": "=SUM(supplier!D1:D3)", "poor": '=COUNTIF(supplier!D1:D3,"<0")', "most": "=MAX(supplier!D1:D3)"}, ["n_nationkey"], f"""
+SELECT n_nationkey, {R('coalesce(sum(s_acctbal), 0)', 2)} AS near, count(*) FILTER (WHERE s_acctbal < 0) AS poor, {R('coalesce(max(s_acctbal), 0)', 2)} AS most FROM nation LEFT JOIN supplier ON s_suppkey BETWEEN n_nationkey AND n_nationkey + 2 GROUP BY 1""", ("supplier",), 2)
+
+fills("xlookup_across", "supplier", {"owner": "=XLOOKUP(A1,customer!A:A,customer!B:B)", "shifted": "=XLOOKUP(A1,customer!$A$1:$A$100,customer!$D$2:$D$101)", "wide": "=XLOOKUP(C1,A1:D1,A1:D1,-1)", "at": "=MATCH(D1,A1:D1,0)"}, ["s_suppkey"], f"""
+SELECT s_suppkey, c_name AS owner, {R('(SELECT y.c_acctbal FROM customer y WHERE y.c_custkey = s_suppkey + 1 AND s_suppkey < 100)', 2)} AS shifted, CAST(s_nationkey AS VARCHAR) AS wide, CASE WHEN s_acctbal = s_suppkey THEN 1.0 WHEN s_acctbal = s_nationkey THEN 3.0 ELSE 4.0 END AS "at" FROM supplier JOIN customer ON c_custkey = s_suppkey""", ("customer",), 2)
+
+
+@query("payments_in_rows", f"""SELECT c_custkey, {R('-1000 / 1.1 + (1500 + a) / 1.21 + (200 + b) / 1.331', 3)} AS npv, round(((1500 + a) + sqrt(pow(1500 + a, 2) + 4000 * (200 + b))) / 2000 - 1, 6) AS irr, round((1500 + a) / 1000 - 1, 6) AS year
+FROM (SELECT c_custkey, abs(c_acctbal) / 10 AS a, c_nationkey AS b FROM customer)""")
+def _payments(spark: SparkSession, d: str) -> DataFrame:
+    """A series of payments in every row: NPV, IRR and, over a year, XIRR. The SQL solves the quadratic equation."""
+    df = spark.read.parquet(f"{d}/customer.parquet")
+    df = df.select("c_custkey", F.lit(-1000.0).alias("a"), (F.abs("c_acctbal") / 10 + 1500).alias("b"), (F.col("c_nationkey") + 200.0).alias("c"), F.lit("2023-01-01").cast("date").alias("d1"), F.lit("2024-01-01").cast("date").alias("d2"), (F.col("c_custkey") + 1).alias("_row"))
+    wb = Workbook()
+    wb.add(Sheet("flows", df, row="_row"))
+    out = wb.fill_all("flows", {"npv": "=NPV(0.1,B1:D1)", "irr": "=IRR(B1:D1)", "year": "=XIRR(B1:C1,E1:F1)"})
+    return out.df.select("c_custkey", F.round("npv", 3).alias("npv"), F.round("irr", 6).alias("irr"), F.round("year", 6).alias("year"))
+
+
+# --- array formulas ----------------------------------------------------------------
+
+scalars("sum_if_array", ["part"], {"a": "=SUM(IF(E1:E2000>20,F1:F2000,0))", "b": "=SUM(E1:E2000*F1:F2000)", "c": '=COUNT(IF(D1:D2000="PROMO",1,"no"))', "d": "=MAX(IF(E1:E2000<10,F1:F2000,0))", "e": "=SUM((E1:E2000>AVERAGE(E1:E2000))*1)", "f": "=MEDIAN(IF(E1:E2000>20,F1:F2000,\"\"))", "g": "=SUM(IFERROR(100/(E1:E2000-10),0)*(F1:F2000>0))"}, f"""
+SELECT {R('coalesce(sum(p_retailprice) FILTER (WHERE p_size > 20), 0)', 2)} AS a, {R('sum(p_size * p_retailprice)', 2)} AS b, count(*) FILTER (WHERE upper(p_type) = 'PROMO') AS c, {R('coalesce(max(p_retailprice) FILTER (WHERE p_size < 10), 0)', 2)} AS d,
+  CAST(count(*) FILTER (WHERE p_size > (SELECT avg(p_size) FROM part WHERE p_partkey < 2000)) AS DOUBLE) AS e, {R('median(p_retailprice) FILTER (WHERE p_size > 20)', 2)} AS f, {R('coalesce(sum(100.0 / (p_size - 10)) FILTER (WHERE p_size <> 10), 0)', 2)} AS g FROM part WHERE p_partkey < 2000""", 2)
+rows_of("array_add", ["part"], "=E:E+F:F*2", f"SELECT {R('p_size + p_retailprice * 2')} AS c1, p_partkey + 1 AS place FROM part")
+rows_of("array_padding", ["customer"], "=A1:A8+D1:D5", f"SELECT {R('CASE WHEN c_custkey < 5 THEN c_custkey + c_acctbal END')} AS c1, CASE WHEN c_custkey >= 5 THEN '#N/A' END AS e1, c_custkey + 1 AS place FROM customer WHERE c_custkey < 8")
+rows_of("array_broadcast", ["supplier"], "=D1:D9*A2:C2", f"SELECT {R('s_acctbal * 1')} AS c1, place, CAST(NULL AS DOUBLE) AS c2, c3, e2 FROM (SELECT s_acctbal, s_suppkey + 1 AS place, {R('s_acctbal * (SELECT s_nationkey FROM supplier WHERE s_suppkey = 1)')} AS c3, '#VALUE!' AS e2, s_suppkey FROM supplier) WHERE s_suppkey < 9")
+rows_of("filter_shifted", ["customer"], "=FILTER(A1:B1000,D2:D1001>5000)", "SELECT a.c_custkey, a.c_name, a.c_custkey + 1 AS place FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE b.c_acctbal > 5000 AND a.c_custkey < 1000")
+
+
+@query("unique_columns", "SELECT c_custkey, c_name, c_mktsegment, c_custkey + 1 AS place FROM customer")
+def _unique_columns(spark: SparkSession, d: str) -> DataFrame:
+    df = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", F.lower("c_name").alias("again"), "c_mktsegment", F.col("c_custkey").alias("twice"), (F.col("c_custkey") + 1).alias("_row"))
+    wb = Workbook()
+    wb.add(Sheet("c", df, row="_row"))
+    return rounded(wb.eval("=UNIQUE(A:E,TRUE)").withColumnRenamed("_row", "place"))
+
 # --- table operators ---------------------------------------------------------------
 
 
@@ -433,6 +521,15 @@ def _csv(spark: SparkSession, d: str) -> DataFrame:
     return text.read_csv(spark, path).df
 
 
+@query("csv_misfits", "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CASE WHEN p_partkey % 50 <> 33 THEN CAST(p_size AS DOUBLE) END AS p_size, CASE WHEN p_partkey % 50 = 33 THEN p_size || ' kg' END AS p_size__text FROM part")
+def _csv_misfits(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that do not fit a column's type, none of them among its first."""
+    path = scratch(spark, "part")
+    size = F.when(F.col("p_partkey") % 50 == 33, F.concat(F.col("p_size").cast("string"), F.lit(" kg"))).otherwise(F.col("p_size").cast("string"))
+    text.write_csv(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", size.alias("p_size")).orderBy("p_partkey"), path)
+    return text.read_csv(spark, path).df
+
+
 @query("markdown_table", "SELECT * FROM (VALUES (1, 'North', '12'), (2, 'South', '7')) t(_row, Region, Units)")
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return text.read_markdown(spark, "| Region | Units |\n|---|--:|\n| North | 12 |\n| South | 7 |").df
