@@ -5,7 +5,6 @@ Tables are sheets; where a key counts rows from 0, _row is the key plus one. For
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from lattica.operators import table
 from lattica.plans import ordered
 from lattica.recalc import Model, data_table
+from lattica.shared import shared_folder
 from lattica.sheet import Sheet, Workbook
 from lattica.sources import text, xlsx
 from lattica.streaming import stream
@@ -495,9 +495,8 @@ def _targeted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='lattica-')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("xlsx_round_trip", "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation")
@@ -542,7 +541,7 @@ def _json(spark: SparkSession, d: str) -> DataFrame:
 
 def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
     path = f"{d}/{name}.parquet"
-    return stream.source(spark, f"{d}/*", spark.read.parquet(path).schema, pathGlobFilter=f"{name}.parquet") if not path.startswith("viewfs") else stream.source(spark, path, spark.read.parquet(path).schema)
+    return stream.source(spark, path + "*", spark.read.parquet(path).schema)  # a pattern, since a stream's own path must be a folder
 
 
 @query("stream_stats", f"SELECT 'event_id' AS \"column\", count(*) AS count, {R('sum(event_id)', 2)} AS sum, CAST(min(event_id) AS DOUBLE) AS min, CAST(max(event_id) AS DOUBLE) AS max, {R('avg(event_id)', 2)} AS mean FROM events UNION ALL SELECT 'value', count(value), {R('sum(value)', 2)}, min(value), max(value), {R('avg(value)', 2)} FROM events")
@@ -552,7 +551,8 @@ def _stream_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_filter", "SELECT event_id, event_type, value FROM events WHERE value > 50 AND event_type = 'click'")
 def _stream_filter(spark: SparkSession, d: str) -> DataFrame:
-    return stream.drain(stream.filtered(streamed(spark, d, "events"), "value > 50 AND event_type = 'CLICK'", "event_id,event_type,value"), f"f{uuid.uuid4().hex}")
+    out = stream.filtered(streamed(spark, d, "events"), "value > 50 AND event_type = 'CLICK'", "event_id,event_type,value")
+    return stream.to_files(out, scratch(spark, "clicks"), scratch(spark, "clicks-state"))
 
 
 @query("stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.binder import fill_down
-from lattica.parser import Binary, FormulaError, Name, Node, parse, references, rewrite, show
+from lattica.parser import Binary, FormulaError, Name, Node, Num, parse, references, rewrite, show
 from lattica.plans import interpret, ordered
 from lattica.refs import Range, Ref
+from lattica.shared import shared_folder
 from lattica.sheet import Sheet, Workbook
+from lattica.values import serial
 
 Key = tuple[str, str]
 ROW_EPSILON, MAX_ITERATIONS = 0.001, 100
@@ -138,7 +140,7 @@ class Model:
             by_sheet.setdefault(s, {})[c] = self.formulas[s, c]
         for s, formulas in by_sheet.items():
             sheet = self.wb.sheet(s)
-            self.wb.add(fill_down(self.wb, sheet, formulas, self.base_row, False))
+            self.wb.add(fill_down(self.wb, sheet, formulas, self.base_row, True))
             self.wb.sheet(s).columns = list(sheet.columns)
 
     def own_refs(self, group: list[Key], key: Key) -> list[Ref]:
@@ -168,33 +170,51 @@ class Model:
         sheet = self.wb.sheet(group[0][0]).numbered()
         if len(group) == 1 and self.running_sum(sheet, group[0]):
             return
-        trees = {k[1]: parse(self.formulas[k]) for k in group}
+        trees = {k[1]: self.expanded(parse(self.formulas[k]), sheet.name) for k in group}
+        for t in trees.values():
+            interpret.check(t)
         same = {k: {(k[0], sheet.columns[r.col - 1]) for r in self.own_refs(group, k) if r.row == self.base_row} for k in group}
         order = [g[0][1] for g in components(same)]
         columns, row, base = list(sheet.columns), sheet.row, self.base_row
-        first = {c: sheet.df for c in order}
-        types = ", ".join(f"`{c}` {'double' if c in first else t}" for c, t in sheet.df.dtypes)
+        reads = {columns[r.col - 1] for t in trees.values() for r in references(t) if 1 <= r.col <= len(columns)}
+        inputs = [c for c in columns if c in reads and c not in order]
+        kinds = {c: sheet.val(columns.index(c) + 1) for c in inputs}
+        cells = [(serial(v.col) if v.kind == "date" else v.col.cast("double") if v.kind == "num" else v.col).alias(f"v{i}") for i, v in enumerate(kinds.values())]
+        errs = [(F.lit(None).cast("string") if v.err is None else v.err).alias(f"e{i}") for i, v in enumerate(kinds.values())]
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(row).reset_index(drop=True)
-            data = {c: pdf[c].tolist() for c in pdf.columns}
-            place = {r: i for i, r in enumerate(data[row])}
-            for i, r in enumerate(data[row]):
+            """One ordered pass: a recurrence is sequential. Only the row numbers and the columns that it reads come here."""
+            pdf = pdf.sort_values("r", kind="stable").reset_index(drop=True)
+            rows = pdf["r"].tolist()
+            data: dict[str, list] = {c: [interpret.Error(e) if isinstance(e, str) else v for v, e in zip(pdf[f"v{i}"].tolist(), pdf[f"e{i}"].tolist(), strict=True)] for i, c in enumerate(inputs)}
+            data |= {c: [None] * len(rows) for c in order}
+            place = {r: i for i, r in enumerate(rows)}
+            for i, r in enumerate(rows):
                 def cell(ref: Ref, r: int = r) -> object:
                     at = place.get(ref.row if ref.abs_row else r + ref.row - base)
                     return None if at is None or not 1 <= ref.col <= len(columns) else data[columns[ref.col - 1]][at]
 
                 for c in order:
-                    data[c][i] = float(interpret.number(interpret.run(trees[c], cell)))
-            return pdf.assign(**{c: data[c] for c in order})
-
-        casts = sheet.df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in order else F.col(f"`{c}`") for c in sheet.df.columns])
-        done = casts.groupBy().applyInPandas(work, types)  # a recurrence is sequential: one ordered task
-        self.wb.add(sheet.with_df(done))
-        self.wb.sheet(group[0][0]).columns = columns
+                    got = interpret.run(trees[c], cell)
+                    data[c][i] = 0.0 if got is None else got
+            out = {"r": rows}
+            for i, c in enumerate(order):
+                bad = [x.code if isinstance(x, interpret.Error) else "#VALUE!" if isinstance(x, str) else None for x in data[c]]
+                out |= {f"o{i}": [None if b else float(x) for x, b in zip(data[c], bad, strict=True)], f"x{i}": bad}
+            return pd.DataFrame(out).astype({f"o{i}": "float64" for i in range(len(order))})
+
+        types = "r bigint, " + ", ".join(f"o{i} double, x{i} string" for i in range(len(order)))
+        light = sheet.df.select(F.col(f"`{row}`").cast("bigint").alias("r"), *cells, *errs)
+        done = light.groupBy().applyInPandas(work, types)
+        stale = {sheet.errors[c] for c in order if c in sheet.errors}
+        keep = sheet.df.select(*[F.col(f"`{c}`") for c in sheet.df.columns if c not in order and c not in stale])
+        made = [F.when(F.col(f"x{i}").isNull(), F.col(f"o{i}")).alias(c) for i, c in enumerate(order)] + [F.col(f"x{i}").alias(f"{c}__err") for i, c in enumerate(order)]
+        met = keep.join(done, F.col(f"`{row}`").cast("bigint") == F.col("r"), "left").select(*[F.col(f"`{c}`") for c in keep.columns], *made)
+        errors = {k: v for k, v in sheet.errors.items() if k not in order} | {c: f"{c}__err" for c in order}
+        self.wb.add(sheet.with_df(met, columns, errors))
 
     def running_sum(self, sheet: Sheet, key: Key) -> bool:
-        """`X above + expression` (or minus) as a running window."""
+        """`X above + expression` (or minus) as a running window. An error of the expression stays from its row on."""
         node = parse(self.formulas[key])
         col = sheet.columns.index(key[1]) + 1
         above = Ref(col, self.base_row - 1)
@@ -205,14 +225,23 @@ class Model:
         if any((r.start.col <= col <= r.end.col) if isinstance(r, Range) else r.col == col for r in references(node.right)):
             return False
         step = "__step"
-        step_sheet = fill_down(self.wb, sheet, {step: "=" + show(node.right)}, self.base_row, False)
-        sign = -1 if node.op == "-" else 1
-        df = ordered.running(step_sheet.df.drop(key[1]), sheet.row, {key[1]: ("sum", F.col(step) * sign)}).drop(step)
-        self.wb.add(sheet.with_df(df))
+        made = fill_down(self.wb, sheet, {step: "=" + show(Binary("+", Num(0.0), node.right))}, self.base_row, True)  # a number, or the error of what is none
+        sign, err = -1 if node.op == "-" else 1, made.errors.get(step)
+        wanted = {key[1]: ("sum", F.col(step) * sign)}
+        if err:
+            wanted["__first"] = ("min", F.when(F.col(err).isNotNull(), F.struct(F.col(sheet.row).alias("r"), F.col(err).alias("e"))))
+        stale = [sheet.errors[key[1]]] if key[1] in sheet.errors else []
+        df = ordered.running(made.df.drop(key[1], *stale), sheet.row, wanted).drop(step)
+        errors = {k: v for k, v in sheet.errors.items() if k != key[1]}
+        if err:
+            code = f"{key[1]}__err"
+            df = df.withColumn(code, F.col("__first")["e"]).withColumn(key[1], F.when(F.col(code).isNull(), F.col(f"`{key[1]}`"))).drop("__first", err)
+            errors[key[1]] = code
+        self.wb.add(sheet.with_df(df, list(sheet.columns), errors))
         return True
 
     def settle(self, group: list[Key], max_change: float, most: int) -> bool:
-        """Jacobi iteration of a cycle: all columns anew from the last values until none changes by max_change. Every fifth round goes to the checkpoint folder, so plans stay short."""
+        """Jacobi iteration of a cycle: all columns anew from the last values until none changes by max_change. Every round goes to the checkpoint folder, so that none is computed twice."""
         for name in {k[0] for k in group}:
             s = self.wb.sheet(name)
             s.df = s.df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) if (name, c) in group else F.col(f"`{c}`") for c in s.df.columns])
@@ -228,10 +257,9 @@ class Model:
             for n, s in fresh.items():
                 cols = [k[1] for k in group if k[0] == n]
                 df = s.df
-                if i % 5 == 4:
-                    df = cut(df)
+                df = cut(df)
                 change = max(change, df.agg(F.max(F.greatest(*[F.abs(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) - F.col(f"`__old_{c}`")) for c in cols], F.lit(0.0)))).first()[0] or 0.0)
-                done = before[n].with_df(df.drop(*[f"__old_{c}" for c in cols]))
+                done = before[n].with_df(df.drop(*[f"__old_{c}" for c in cols]), None, {k: v for k, v in before[n].errors.items() if k not in cols})
                 done.columns = list(before[n].columns)
                 self.wb.add(done)
             if change < max_change:
@@ -241,11 +269,9 @@ class Model:
 
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+    folder, sc = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

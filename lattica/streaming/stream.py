@@ -36,8 +36,15 @@ def counts(stream: DataFrame, key: str, time: str | None = None, width: str = "1
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> DataFrame:
+    """Runs an appending stream over what is there now into files, and reads them; a later call with the same checkpoint goes on where this one ended, and a lost run is resumed without doubled rows."""
+    writer = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
+
+
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now and gives the in-memory result table."""
+    """Runs a stream of few result rows (sums, windows) over what is there now and gives the in-memory result table, which the driver holds; `to_files` is for results that grow with the input."""
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)

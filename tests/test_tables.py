@@ -1,5 +1,6 @@
 """Filters, sorts, diffs, edits, recalculation, sources, streams."""
 
+import math
 import zipfile
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattica.operators import batch, table
-from lattica.parser import FormulaError
+from lattica.parser import FormulaError, parse
 from lattica.plans import ordered
 from lattica.recalc import Model, data_table, with_overrides
 from lattica.sheet import Sheet, Workbook
@@ -17,49 +18,50 @@ from lattica.streaming import stream
 
 
 @pytest.fixture(scope="module")
-def products(spark):
-    rows = [(1, "Widget", 150.0, True), (2, "Gadget", 50.0, False), (3, "Widget Pro", 250.0, True), (4, "Doohickey", 99.0, False), (5, None, None, None)]
-    return Sheet("P", spark.createDataFrame(rows, "_row bigint, Item string, Price double, Active boolean"), row="_row")
+def rivers(spark):
+    """Name, length in km, whether it reaches a sea; a last row without anything."""
+    rows = [(1, "Isar", 292.0, False), (2, "Elbe", 1094.0, True), (3, "Inn", 517.0, False), (4, "Weser", 451.0, True), (5, "Kleine Elbe", 24.5, False), (6, None, None, None)]
+    return Sheet("R", spark.createDataFrame(rows, "_row bigint, river string, km double, sea boolean"), row="_row")
 
 
 @pytest.mark.parametrize(("predicate", "want"), [
-    ("B > 100", [1, 3]), ("price > 100 AND NOT active = FALSE", [1, 3]), ("Item LIKE 'widget%'", [1, 3]), ("Item = 'GADGET'", [2]), ("B BETWEEN 50 AND 99", [2, 4]), ("B IN (50, 250)", [2, 3]), ("B IS EMPTY", [5]), ("A IS NOT EMPTY", [1, 2, 3, 4]), ("B != 50", [1, 3, 4]),
-    ("NOT B = 50", [1, 3, 4, 5]), ("B = 'x'", []), ("NOT B = 'x'", [1, 2, 3, 4, 5]), ("(B < 60 OR B > 200) AND A NOT LIKE 'G%'", [3]), ("A LIKE '_adget'", []),
+    ("B > 300", [2, 3, 4]), ("km < 500 AND NOT sea = TRUE", [1, 5]), ("river LIKE '%elbe'", [2, 5]), ("River = 'ISAR'", [1]), ("KM BETWEEN 292 AND 517", [1, 3, 4]), ("B IN (24.5, 451, 7)", [4, 5]), ("C IS EMPTY", [6]), ("A IS NOT EMPTY", [1, 2, 3, 4, 5]),
+    ("B != 517", [1, 2, 4, 5]), ("NOT B = 517", [1, 2, 4, 5, 6]), ("km = 'long'", []), ("NOT km = 'long'", [1, 2, 3, 4, 5, 6]), ("(km < 100 OR km > 1000) AND river NOT LIKE 'K%'", [2]), ("A LIKE 'In_'", []), ("A LIKE 'in%'", [3]),
 ])
-def test_filter(products, predicate, want):
-    assert sorted(r._row for r in table.filter_sheet(products, predicate).collect()) == want
+def test_filter(rivers, predicate, want):
+    assert sorted(r._row for r in table.filter_sheet(rivers, predicate).collect()) == want
 
 
 @pytest.mark.parametrize("predicate", ["Z > 1", "B BETWEEN 1 AND 'x'", "B >", "B > 1 extra", "NOT"])
-def test_bad_filters(products, predicate):
+def test_bad_filters(rivers, predicate):
     with pytest.raises(FormulaError):
-        table.filter_sheet(products, predicate)
+        table.filter_sheet(rivers, predicate)
 
 
-def test_columns_limit_sort(products):
-    assert table.filter_sheet(products, "B > 0", "C,A:B", 2).columns == ["_row", "Active", "Item", "Price"]
-    assert [r._row for r in table.sort_sheet(products, [("Price", False)]).collect()] == [2, 4, 1, 3, 5]
-    assert [r._row for r in table.sort_sheet(products, [("Price", True)]).collect()] == [5, 3, 1, 4, 2]
+def test_columns_limit_sort(rivers):
+    assert table.filter_sheet(rivers, "B > 0", "C,A:B", 2).columns == ["_row", "sea", "river", "km"]
+    assert [r._row for r in table.sort_sheet(rivers, [("km", False)]).collect()] == [5, 1, 4, 3, 2, 6]
+    assert [r._row for r in table.sort_sheet(rivers, [("km", True)]).collect()] == [6, 2, 3, 4, 1, 5]
 
 
-def test_stats_bounds_search_view(products):
-    s = table.stats(products).first()
-    assert (s["column"], s["count"], s["sum"], s["min"], s["max"]) == ("Price", 4, 549.0, 50.0, 250.0)
-    b = table.bounds(products).first()
-    assert (b.min_row, b.max_row, b.max_col, b.n_cells) == (1, 4, 3, 12)
+def test_stats_bounds_search_view(rivers):
+    s = table.stats(rivers).first()
+    assert (s["column"], s["count"], s["sum"], s["min"], s["max"]) == ("km", 5, 2378.5, 24.5, 1094.0)
+    b = table.bounds(rivers).first()
+    assert (b.min_row, b.max_row, b.max_col, b.n_cells) == (1, 5, 3, 15)
     wb = Workbook()
-    wb.add(products)
-    assert {(r._row, r._col) for r in table.search(wb, "^W|99").collect()} == {(1, 1), (3, 1), (4, 2)}
-    assert [tuple(r) for r in table.view(products, "A2:B3").orderBy("_row").collect()] == [(2, "Gadget", 50.0), (3, "Widget Pro", 250.0)]
+    wb.add(rivers)
+    assert {(r._row, r._col) for r in table.search(wb, "^E|51").collect()} == {(2, 1), (3, 2), (4, 2)}
+    assert [tuple(r) for r in table.view(rivers, "A2:B3").orderBy("_row").collect()] == [(2, "Elbe", 1094.0), (3, "Inn", 517.0)]
 
 
-def test_diff_put_clear_edit(products):
-    new = products.with_df(products.df.where("_row != 2").withColumn("Price", F.when(F.col("_row") == 1, 1.0).otherwise(F.col("Price"))))
-    got = {(r._row, r._col, r.status) for r in table.diff(products, new).collect()}
+def test_diff_put_clear_edit(rivers):
+    new = rivers.with_df(rivers.df.where("_row != 2").withColumn("km", F.when(F.col("_row") == 1, 1.0).otherwise(F.col("km"))))
+    got = {(r._row, r._col, r.status) for r in table.diff(rivers, new).collect()}
     assert got == {(1, 2, "changed"), (2, 1, "removed"), (2, 2, "removed"), (2, 3, "removed")}
-    assert table.clear(products, "B1:B9").df.where("Price IS NOT NULL").count() == 0
-    assert sorted(r._row for r in table.delete_rows(table.insert_rows(products, 2, 2), 1, 1).df.collect()) == [3, 4, 5, 6]
-    assert table.delete_column(table.insert_column(products, 2, "New"), 1).columns == ["New", "Price", "Active"]
+    assert table.clear(rivers, "B1:B9").df.where("km IS NOT NULL").count() == 0
+    assert sorted(r._row for r in table.delete_rows(table.insert_rows(rivers, 2, 2), 1, 1).df.collect()) == [3, 4, 5, 6, 7]
+    assert table.delete_column(table.insert_column(rivers, 2, "New"), 1).columns == ["New", "km", "sea"]
 
 
 @pytest.mark.parametrize(("formula", "at", "count", "want"), [("=A5+B2", 3, 2, "=(A7+B2)"), ("=A5", 5, -1, "=#REF!"), ("=SUM(A1:A9)", 3, -2, "=SUM(A1:A7)"), ("=SUM(A3:A4)", 3, -2, "=SUM(#REF!)"), ("=SUM($A$1:A4)", 4, -3, "=SUM($A$1:A3)")])
@@ -104,6 +106,50 @@ def test_iteration_and_recurrence(spark):
     assert [(r.bal, r.cap) for r in wb.sheet("T").df.orderBy("_row").collect()] == [(1, 1), (3, 3), (6, 6), (10, 6), (15, 6)]
 
 
+def test_errors_in_recurrences(spark):
+    """An error stays an error, in its own row and in all that it reaches."""
+    wb = Workbook()
+    wb.add(Sheet("T", spark.createDataFrame([(1, 2.0, "x"), (2, 4.0, "y"), (3, 0.0, "z"), (4, 5.0, "w")], "_row bigint, a double, t string"), row="_row"))
+    m = Model(wb, base_row=2)
+    m.set("T", "inverse", "=1/A2")
+    m.set("T", "sum", "=D1+C2")
+    m.set("T", "least", "=MIN(1/A2,99)+E1*2")
+    m.set("T", "safe", "=IFERROR(MIN(1/A2,99),0)+F1*2")
+    m.set("T", "grown", "=EXP(G1*0)+LN(2)")
+    m.set("T", "words", "=H1+B2")
+    assert not m.recalculate().errors
+    rows = [r.asDict() for r in wb.sheet("T").df.orderBy("_row").collect()]
+    assert [(r["inverse"], r["inverse__err"]) for r in rows] == [(0.5, None), (0.25, None), (None, "#DIV/0!"), (0.2, None)]
+    assert [(r["sum"], r["sum__err"]) for r in rows] == [(0.5, None), (0.75, None), (None, "#DIV/0!"), (None, "#DIV/0!")]
+    assert [(r["least"], r["least__err"]) for r in rows] == [(0.5, None), (1.25, None), (None, "#DIV/0!"), (None, "#DIV/0!")]
+    assert [r["safe"] for r in rows] == [0.5, 1.25, 2.5, 5.2] and all(abs(r["grown"] - 1 - math.log(2)) < 1e-12 for r in rows)
+    assert [(r["words"], r["words__err"]) for r in rows] == [(None, "#VALUE!")] * 4
+    m = Model(wb, base_row=2)
+    m.set("T", "odd", "=VLOOKUP(I1,A:A,1)+A2")
+    assert list(m.recalculate().errors) == [("t", "odd")]
+
+
+def test_recurrence_functions_agree_with_compiled_ones(spark):
+    """The row evaluator against the same formulas as Spark columns."""
+    from lattica.plans import interpret
+
+    formulas = ["ROUND(A1,1)", "ROUNDUP(A1,1)", "ROUNDDOWN(A1,1)", "MOD(A1,3)", "FLOOR(A1,0.5)", "CEILING(A1,0.5)", "MROUND(A1,0.5)", "TRUNC(A1)", "INT(A1)", "SIGN(A1)", "SQRT(A1)", "LN(A1)", "LOG(A1,2)", "POWER(A1,3)", "A1^0.5", "EXP(A1)", "PMT(0.1,10,A1)", "FV(0.1,10,A1)", "PV(0,10,A1,5,1)", "LEFT(B1,2)&RIGHT(B1,1)", "MID(B1,2,2)", "LEN(B1)", "UPPER(B1)", "IF(A1>1,A1,-A1)", "IFS(A1>5,1,A1>0,2)", "SWITCH(B1,\"ab\",1,2)", "CHOOSE(2,A1,B1)", "IFERROR(1/A1,B1)", "ISERROR(LN(A1))", "A1&B1", "B1>\"b\"", "A1%", "10/A1", "ISBLANK(A1)", "ISTEXT(B1)", "MAX(A1,2)+MIN(A1,2)", "AND(A1>0,TRUE)", "B1+1"]
+    cells = [(1.25, "abc"), (-2.5, "ab"), (0.0, " x "), (7.75, "12"), (None, None)]
+    wb = Workbook()
+    wb.add(Sheet("S", spark.createDataFrame([(i + 1, *c) for i, c in enumerate(cells)], "_row bigint, a double, b string"), row="_row"))
+    rows = [r.asDict() for r in wb.fill_all("S", {f"f{i}": "=" + f for i, f in enumerate(formulas)}, errors=True).df.orderBy("_row").collect()]
+    bad = []
+    for row, (a, b) in zip(rows, cells, strict=True):
+        for i, f in enumerate(formulas):
+            got = interpret.run(parse(f), lambda ref: (a, b)[ref.col - 1])
+            got = got.code if isinstance(got, interpret.Error) else got
+            want = row.get(f"f{i}__err") or row[f"f{i}"]
+            same = abs(got - want) < 1e-9 if isinstance(got, int | float) and isinstance(want, int | float) else got == want or (isinstance(want, str) and isinstance(got, float) and interpret.text(got) == want)
+            if not same:
+                bad.append((f, a, b, got, want))
+    assert not bad, bad
+
+
 def test_what_if(spark):
     wb = Workbook()
     wb.add(Sheet("S", spark.createDataFrame([(1, 2.0), (2, 3.0)], "_row bigint, a double"), row="_row"))
