@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions.registry import function
 from lattica.parser import Call, FormulaError
 from lattica.refs import MAX_COLS, MAX_ROWS, Range, Ref, col_letters, parse_ref
-from lattica.values import Val, error, first_error, to_int, to_text
+from lattica.values import Val, aligned, error, first_error, to_int, to_text
 
 MAX_CELLS = 1_048_576
 
@@ -113,12 +113,54 @@ class OutOfGrid(FormulaError):
     pass
 
 
+def known(b, node) -> object:
+    """An argument's Python value; None if it differs by row."""
+    got = b.constant(node)
+    if got is not None or b.base_row is not None:
+        return got
+    v = b.value(node)
+    row = b.sheet.df.sparkSession.range(1).select(v.col.alias("v"), (F.lit(None).cast("string") if v.err is None else v.err).alias("e")).first()
+    if row.e is not None:
+        raise OutOfGrid(row.e)
+    return row.v
+
+
+def pointed(b, node: Call) -> Val:
+    """OFFSET or INDIRECT to one cell whose address differs by row: rows and columns are computed, and the cells of the sheet, one row each, are met by them."""
+    if node.name == "INDIRECT":
+        if len(node.args) > 1:
+            raise FormulaError("INDIRECT by row reads A1 references")
+        t = to_text(b.value(node.args[0]))
+        found = F.regexp_extract(t.col, r"^\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})$", 1), F.regexp_extract(t.col, r"^\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})$", 2)
+        col = F.aggregate(F.split(F.upper(found[0]), ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(a * 26 + F.ascii(c) - 64))
+        sheet, row, errs = b.sheet, found[1].try_cast("bigint"), [t.err]
+    else:
+        base = b.as_range(node.args[0])
+        if base is None or len(node.args) > 3 or not base.start.row:
+            raise FormulaError("OFFSET by row leads to one cell")
+        rows, cols = (to_int(b.value(a)) for a in node.args[1:])
+        sheet, errs = b.sheet_of(base), [rows.err, cols.err]
+        own = F.lit(base.start.row) if base.start.abs_row else F.col(b.sheet.numbered_row(b)) + (base.start.row - b.base_row)
+        row, col = own + rows.col, (F.lit(base.start.col) + cols.col).cast("int")
+    at = b.sheet.numbered_row(b) if sheet is b.sheet else sheet.numbered().row
+    vals = [sheet.val(c) for c in range(1, len(sheet.columns) + 1)]
+    shown, kind = aligned(vals)
+    none = F.lit(None).cast("string")
+    cells = F.array(*[F.struct(c.alias("v"), (none if v.err is None else v.err).alias("e")) for c, v in zip(shown, vals, strict=True)])
+    name, key, r, c = b.new(), b.new(), b.new(), b.new()
+    b.df = b.df.withColumn(r, row.cast("bigint")).withColumn(c, col.cast("int"))
+    b.df = b.df.join(sheet.df.select(F.col(at).cast("bigint").alias(key), cells.alias(name)), F.col(r) == F.col(key), "left").drop(key)
+    hit = F.get(F.col(name), F.col(c) - 1)
+    outside = F.when(F.col(r).isNull() | ~F.col(r).between(1, MAX_ROWS) | ~F.coalesce(F.col(c).between(1, MAX_COLS), F.lit(False)), F.lit("#REF!"))
+    return Val(hit["v"], kind, first_error(*errs, outside, hit["e"]))
+
+
 def resolve(b, node: Call) -> Range:
-    """The range that OFFSET or INDIRECT names, from constant arguments."""
-    given = [b.constant(a) for a in node.args]
+    """The range that OFFSET or INDIRECT names. In a formula that is not filled down, arguments that are no constants are computed first, one small job each."""
+    given = [b.constant(a) if node.name == "OFFSET" and i == 0 else known(b, a) for i, a in enumerate(node.args)]
     if node.name == "INDIRECT":
         if not isinstance(given[0], str):
-            raise FormulaError("INDIRECT's text must be a constant")
+            raise FormulaError("INDIRECT's text must be a constant where a range is asked for")
         if len(given) > 1 and given[1] is False:
             raise FormulaError("INDIRECT reads A1 references")
         try:
@@ -133,7 +175,7 @@ def resolve(b, node: Call) -> Range:
         return Range(fixed(rng.start), fixed(rng.end))
     base = b.as_range(node.args[0])
     if base is None or any(x is None for x in given[1:]):
-        raise FormulaError("OFFSET's arguments after the reference must be constants")
+        raise FormulaError("OFFSET's arguments after the reference must be constants where a range is asked for")
     rows, cols = int(given[1]), int(given[2])
     height = int(given[3]) if len(given) > 3 else 1 if base.height == 1 or not base.start.row else base.height
     width = int(given[4]) if len(given) > 4 else 1 if base.width == 1 else base.width
@@ -149,10 +191,12 @@ def resolve(b, node: Call) -> Range:
 def dynamic(name: str, least: int, most: int):
     @function(name, least, most)
     def _(b, args):
+        if b.base_row is not None and any(b.constant(a) is None for a in args[1 if name == "OFFSET" else 0 :]):
+            return pointed(b, Call(name, args))
         try:
             rng = resolve(b, Call(name, args))
-        except OutOfGrid:
-            return error("#REF!")
+        except OutOfGrid as e:
+            return error(str(e) if str(e).startswith("#") else "#REF!")
         return b.value(rng.start if rng.height == 1 and rng.width == 1 else rng)
 
 

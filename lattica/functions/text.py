@@ -137,23 +137,108 @@ def number_text(n: Column, fmt: str) -> Column:
     return F.concat(F.lit(clean(m[1])), body, F.lit(m[5] + clean(m[6])))
 
 
+#: A section's condition, its colour, and a fraction among its characters.
+CONDITION = re.compile(r"\[(<=|>=|<>|<|>|=)\s*(-?\d+(?:\.\d+)?)\]")
+COLOUR = re.compile(r"\[(?:black|blue|cyan|green|magenta|red|white|yellow|color ?\d+)\]", re.I)
+FRACTION = re.compile(r"(.*?)([#0?]*)([^#0?]*?)([#0?]+)/([#0?]+|[1-9]\d*)(.*)", re.S)
+TESTS = {"<": lambda a, x: a < x, "<=": lambda a, x: a <= x, ">": lambda a, x: a > x, ">=": lambda a, x: a >= x, "=": lambda a, x: a == x, "<>": lambda a, x: a != x}
+
+
+def unquoted(s: str) -> str:
+    return re.sub(r'"([^"]*)"|\\(.)', lambda x: x[1] if x[1] is not None else x[2], s)
+
+
+def sections(fmt: str) -> list[tuple[tuple[str, float] | None, str]]:
+    """Sections with their conditions; colours are left out."""
+    out = []
+    for part in re.findall(r'((?:"[^"]*"|\\.|[^;"\\])*)(?:;|$)', fmt)[: fmt.count(";") + 1]:
+        part = COLOUR.sub("", part)
+        m = CONDITION.match(part)
+        out.append(((m[1], float(m[2])), part[m.end() :]) if m else (None, part))
+    return out
+
+
+def convergent(x: Column, most: int) -> Column:
+    """The last convergent of x >= 0 as a continued fraction whose denominator is at most `most`: struct (p, q)."""
+    start = F.struct(x.alias("b"), F.lit(1.0).alias("p"), F.lit(0.0).alias("q"), F.lit(0.0).alias("p0"), F.lit(1.0).alias("q0"), F.lit(False).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        a = F.floor(s["b"]).cast("double")
+        p, q = a * s["p"] + s["p0"], a * s["q"] + s["q0"]
+        over = s["done"] | (q > most)
+        rest = s["b"] - a
+        pick = lambda old, new: F.when(over, old).otherwise(new)
+        return F.struct(pick(s["b"], F.coalesce(F.try_divide(F.lit(1.0), rest), F.lit(0.0))).alias("b"), pick(s["p"], p).alias("p"), pick(s["q"], q).alias("q"), pick(s["p0"], s["p"]).alias("p0"), pick(s["q0"], s["q"]).alias("q0"), (over | (rest < 5e-8)).alias("done"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step)
+
+
+def placed(digits: Column, holes: str, right: bool) -> Column:
+    """Digits in placeholders: ? is a space where nothing stands, 0 a zero, # nothing."""
+    fill = "".join({"?": " ", "0": "0"}.get(h, "") for h in holes)
+    if not fill:
+        return digits
+    width = F.greatest(F.char_length(digits), F.lit(len(fill)))
+    zero = "0" in fill
+    return F.lpad(digits, width, F.lit("0" if zero else " ")) if right else F.rpad(digits, width, F.lit(" "))
+
+
+def fraction_text(n: Column, m: re.Match) -> Column:
+    """A number that is not negative as a whole part, if the format has one, and a fraction."""
+    head, whole, gap, up, down, tail = m.groups()
+    fixed = int(down) if down[0] in "123456789" else None
+    digits = lambda c: c.cast("bigint").cast("string")
+    if fixed:
+        rounded = F.floor(n * fixed + 0.5)
+        w, p, q = F.floor(rounded / fixed), rounded % fixed, F.lit(fixed)
+    else:
+        c = convergent(n, 10 ** min(max(len(up), len(down)), 7) - 1)
+        w = F.floor(c["p"] / c["q"])
+        p, q = c["p"] - w * c["q"], c["q"]
+    top = p if whole else p + w * q
+    body = F.concat(placed(digits(top), up, True), F.lit("/"), F.lit(down) if fixed else placed(digits(q), down, False))
+    if whole:
+        seen = lambda s: len(s.replace("#", ""))
+        blank = " " * (seen(up) + 1 + (len(down) if fixed else seen(down)))
+        body = F.concat(F.when(w > 0, placed(digits(w), whole, True)).when(p == 0, F.lit("0")).otherwise(placed(F.lit(""), whole, True)), F.lit(unquoted(gap)), F.when(p == 0, F.lit(blank)).otherwise(body))
+    return F.concat(F.lit(unquoted(head)), body, F.lit(unquoted(tail)))
+
+
+def section_text(n: Column, fmt: str) -> Column:
+    """A number that is not negative by one section."""
+    bare = re.sub(r'"[^"]*"|\\.', "", fmt)
+    if "/" in bare and (m := FRACTION.fullmatch(fmt)):
+        return fraction_text(n, m)
+    if bare in ("General", ""):
+        return to_text(Val(n, "num")).col if bare else F.lit(unquoted(fmt))
+    return number_text(n, fmt)
+
+
 def formatted(v: Val, fmt: str) -> Column:
     if v.kind == "text":
         return to_text(v).col
-    letters = re.sub(r'"[^"]*"|\\.|E\+|e\+', "", fmt)
+    letters = re.sub(r'"[^"]*"|\\.|E\+|e\+|\[[^\]]*\]|General', "", fmt)
     if re.search("[ymdhs]", letters, re.I) and not re.search("[0#]", letters):
         at = v.col.cast("timestamp_ntz") if v.kind == "date" else (F.timestamp_micros(((to_num(v).col - 25569) * 86_400_000_000).cast("bigint"))).cast("timestamp_ntz")
         return F.date_format(at, date_pattern(fmt))
     n = serial(v.col) if v.kind == "date" else to_num(v).col
     if fmt in ("@", "General"):
         return to_text(v).col
-    parts = fmt.split(";")
+    parts = sections(fmt)
+    signed = lambda s: F.when(n < 0, F.concat(F.lit("-"), section_text(F.abs(n), s))).otherwise(section_text(F.abs(n), s))
+    if any(c for c, _ in parts):  # the first section whose condition holds; one without a condition takes the rest
+        out = F.when(F.lit(False), F.lit(""))
+        for condition, s in parts:
+            if condition is None:
+                return out.otherwise(signed(s))
+            out = out.when(TESTS[condition[0]](n, F.lit(condition[1])), signed(s))
+        return out.otherwise(F.lit("#" * 8))
     if len(parts) == 1:
-        return F.when(n < 0, F.concat(F.lit("-"), number_text(F.abs(n), fmt))).otherwise(number_text(n, fmt))
-    out = F.when(n < 0, number_text(F.abs(n), parts[1]))
+        return signed(parts[0][1])
+    out = F.when(n < 0, section_text(F.abs(n), parts[1][1]))
     if len(parts) > 2:
-        out = out.when(n == 0, number_text(n, parts[2]))
-    return out.otherwise(number_text(n, parts[0]))
+        out = out.when(n == 0, section_text(F.abs(n), parts[2][1]))
+    return out.otherwise(section_text(F.abs(n), parts[0][1]))
 
 
 @function("TEXT", 2)

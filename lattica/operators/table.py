@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.parser import FormulaError, Node, parse, rewrite, show
 from lattica.plans import ordered
 from lattica.predicate import where
 from lattica.refs import Range, Ref, col_number, parse_ref
 from lattica.sheet import Sheet, Workbook
-from lattica.values import serial, to_text
+from lattica.values import numeric, serial, to_text
 
 
 def selected(sheet: Sheet, spec: str | None) -> list[str]:
@@ -63,9 +65,8 @@ def stats(sheet: Sheet, columns: str | None = None) -> DataFrame:
     return sheet.df.agg(F.array(*one).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
-def cells(sheet: Sheet) -> DataFrame:
-    """The long form: sheet, _row, _col, kind, num, txt, bool, ts, err; empty cells are absent."""
-    sheet.numbered()
+def cell_array(sheet: Sheet) -> Column:
+    """A row's cells in sheet order: _col, kind, num, txt, bool, ts, err, shown (NULL where empty)."""
     out = []
     for i, _ in enumerate(sheet.columns, 1):
         v = sheet.val(i)
@@ -77,14 +78,37 @@ def cells(sheet: Sheet) -> DataFrame:
             (v.col if v.kind == "bool" else none("boolean")).alias("bool"), (v.col.cast("timestamp_ntz") if v.kind == "date" else none("timestamp_ntz")).alias("ts"),
             err.alias("err"), F.when(err.isNotNull(), err).otherwise(F.when(v.col.isNotNull(), to_text(v).col)).alias("shown"),
         ))
-    stacked = sheet.df.select(F.lit(sheet.name).alias("sheet"), F.col(sheet.row).alias("_row"), F.explode(F.array(*out)).alias("c"))
-    return stacked.select("sheet", "_row", "c.*").where("shown IS NOT NULL")
+    return F.array(*out)
+
+
+def cells(sheet: Sheet, pattern: str | None = None) -> DataFrame:
+    """The long form: sheet, _row, _col, kind, num, txt, bool, ts, err, shown; empty cells are absent, and with a pattern all whose shown text it does not find. Cells are dropped before rows are taken apart."""
+    sheet.numbered()
+    keep = F.filter(cell_array(sheet), lambda c: c["shown"].isNotNull() if pattern is None else F.coalesce(c["shown"].rlike(pattern), F.lit(False)))
+    return sheet.df.select(F.lit(sheet.name).alias("sheet"), F.col(sheet.row).alias("_row"), F.explode(keep).alias("c")).select("sheet", "_row", "c.*")
+
+
+def cells_sorted(sheet: Sheet) -> DataFrame:
+    """Cells row by row, left to right."""
+    return cells(sheet).orderBy("_row", "_col")
+
+
+def rows_sorted(sheet: Sheet) -> DataFrame:
+    """Rows that have a cell, in order: _row and an array of their cells."""
+    sheet.numbered()
+    full = F.filter(cell_array(sheet), lambda c: c["shown"].isNotNull())
+    return sheet.df.select(F.col(sheet.row).alias("_row"), full.alias("cells")).where(F.size("cells") > 0).orderBy("_row")
+
+
+def columns_sorted(sheet: Sheet) -> DataFrame:
+    """Cells column by column, top to bottom."""
+    return cells(sheet).orderBy("_col", "_row")
 
 
 def search(wb: Workbook, pattern: str, sheets: list[str] | None = None, limit: int = 0) -> DataFrame:
     """Cells whose displayed text an unanchored regular expression finds."""
-    every = [cells(wb.sheet(n)) for n in sheets or [s.name for s in wb.sheets.values()]]
-    hit = reduce(DataFrame.unionByName, every).where(F.col("shown").rlike(pattern)).select("sheet", "_row", "_col", F.col("shown").alias("value"))
+    every = [cells(wb.sheet(n), pattern) for n in sheets or [s.name for s in wb.sheets.values()]]
+    hit = reduce(DataFrame.unionByName, every).select("sheet", "_row", "_col", F.col("shown").alias("value"))
     return hit.orderBy("sheet", "_row", "_col").limit(limit) if limit else hit
 
 
@@ -93,23 +117,38 @@ def bounds(sheet: Sheet) -> DataFrame:
     return c.agg(F.min("_row").alias("min_row"), F.max("_row").alias("max_row"), F.min("_col").alias("min_col"), F.max("_col").alias("max_col"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def view(sheet: Sheet, text: str) -> DataFrame:
-    """A rectangle as wide rows."""
+def view(sheet: Sheet, text: str, skip_empty: bool = False) -> DataFrame:
+    """A rectangle as wide rows; skip_empty leaves out rows without a cell in it."""
     r = parse_ref(text)
     rng = r if isinstance(r, Range) else Range(r, r)
     sheet.numbered()
     names = [sheet.columns[i - 1] for i in range(rng.start.col or 1, (rng.end.col or len(sheet.columns)) + 1) if sheet.has(i)]
     df = sheet.df.where(F.col(sheet.row).between(rng.start.row, rng.end.row)) if rng.start.row else sheet.df
-    return df.select(sheet.row, *names)
+    if skip_empty and names:
+        df = df.where(reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() for n in names]))
+    return df.select(sheet.row, *[F.col(f"`{n}`") for n in names])
 
 
 def diff(old: Sheet, new: Sheet) -> DataFrame:
-    """_row, _col, status (added, removed, changed), before, after."""
-    a = cells(old).select("_row", "_col", F.col("kind").alias("ka"), F.col("shown").alias("before"))
-    b = cells(new).select("_row", "_col", F.col("kind").alias("kb"), F.col("shown").alias("after"))
-    both = a.join(b, ["_row", "_col"], "full_outer")
-    status = F.when(F.col("ka").isNull(), "added").when(F.col("kb").isNull(), "removed").when((F.col("before") != F.col("after")) | (F.col("ka") != F.col("kb")), "changed")
-    return both.select("_row", "_col", status.alias("status"), "before", "after").where("status IS NOT NULL")
+    """_row, _col, status (added, removed, changed), before, after. Rows are joined, and only cells that differ are taken out of them."""
+    light = lambda s, n: s.numbered().df.select(F.col(s.row).alias("_row"), F.transform(cell_array(s), lambda c: F.struct(F.when(c["shown"].isNotNull(), c["kind"]).alias("k"), c["shown"].alias("s"))).alias(n))
+    both = light(old, "a").join(light(new, "b"), "_row", "full_outer")
+    empty = F.array().cast("array<struct<k:string,s:string>>")
+    pairs = F.zip_with(F.coalesce("a", empty), F.coalesce("b", empty), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    status = lambda x, y: F.when(x["k"].isNull() & y["k"].isNull(), None).when(x["k"].isNull(), "added").when(y["k"].isNull(), "removed").when((x["s"] != y["s"]) | (x["k"] != y["k"]), "changed")
+    named = F.transform(pairs, lambda p, i: F.struct((i + 1).cast("int").alias("_col"), status(p["x"], p["y"]).alias("status"), p["x"]["s"].alias("before"), p["y"]["s"].alias("after")))
+    return both.select("_row", F.explode(F.filter(named, lambda c: c["status"].isNotNull())).alias("c")).select("_row", "c.*")
+
+
+def diff_workbooks(old: Workbook, new: Workbook) -> DataFrame:
+    """sheet, status (added, removed, or that of a cell), _row, _col, before, after: sheets of one workbook alone are one row each."""
+    spark = next(iter((old.sheets or new.sheets).values())).df.sparkSession
+    ddl = "sheet string, status string, _row bigint, _col int, before string, after string"
+    out = [spark.createDataFrame([(s.name, state, None, None, None, None) for a, b, state in ((old, new, "removed"), (new, old, "added")) for k, s in a.sheets.items() if k not in b.sheets], ddl)]
+    for k, s in old.sheets.items():
+        if k in new.sheets:
+            out.append(diff(s, new.sheets[k]).select(F.lit(s.name).alias("sheet"), "status", F.col("_row").cast("bigint").alias("_row"), "_col", "before", "after"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def append(sheet: Sheet, other: Sheet) -> Sheet:
@@ -130,6 +169,64 @@ def put(sheet: Sheet, patches: DataFrame, column: str) -> Sheet:
     return sheet.with_df(out)
 
 
+def put_range(sheet: Sheet, text: str, values: list) -> Sheet:
+    """Values into a rectangle, row by row and left to right; another number of values than cells is an error."""
+    r = parse_ref(text)
+    rng = r if isinstance(r, Range) else Range(r, r)
+    if not rng.start.row or not rng.start.col or rng.end.col > len(sheet.columns):
+        raise FormulaError(f"not a rectangle of {sheet.name}: {text}")
+    if len(values) != rng.height * rng.width:
+        raise FormulaError(f"{len(values)} values for {rng.height * rng.width} cells")
+    for j in range(rng.width):
+        name = sheet.columns[rng.start.col - 1 + j]
+        kind = sheet.df.schema[name].dataType
+        rows = [(rng.start.row + i, values[i * rng.width + j]) for i in range(rng.height)]
+        patch = sheet.df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_row", T.LongType()), T.StructField("value", kind)]))
+        sheet = put(sheet, patch, name)
+    return sheet
+
+
+def put_row(sheet: Sheet, row: int, start: int, values: list) -> Sheet:
+    """Values into cells of a row, from a column on."""
+    return put_range(sheet, str(Range(Ref(start, row), Ref(start + len(values) - 1, row))), values) if values else sheet
+
+
+def put_column(sheet: Sheet, col: int, start: int, values: list) -> Sheet:
+    """Values into cells of a column, from a row on."""
+    return put_range(sheet, str(Range(Ref(col, start), Ref(col, start + len(values) - 1))), values) if values else sheet
+
+
+def merge(sheet: Sheet, text: str) -> Sheet:
+    """One cell of a rectangle: all but its first cell are emptied, and the sheet remembers the rectangle, which may not overlap another."""
+    r = parse_ref(text)
+    if not isinstance(r, Range) or not r.start.row or not r.start.col:
+        raise FormulaError(f"not a rectangle: {text}")
+    for other in map(parse_ref, sheet.merged):
+        if other.start.row <= r.end.row and r.start.row <= other.end.row and other.start.col <= r.end.col and r.start.col <= other.end.col:
+            raise FormulaError(f"{text} overlaps {other}")
+    sheet.numbered()
+    keep = sheet.columns[r.start.col - 1] if sheet.has(r.start.col) else None
+    inside = F.col(sheet.row).between(r.start.row, r.end.row)
+    cols = {sheet.columns[i - 1] for i in range(r.start.col, r.end.col + 1) if sheet.has(i)}
+    gone = lambda c: inside & (F.col(sheet.row) != r.start.row) if c == keep else inside
+    out = sheet.with_df(sheet.df.select(*[F.when(~gone(c), F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in sheet.df.columns]))
+    out.merged = [*sheet.merged, str(r)]
+    return out
+
+
+def unmerge(sheet: Sheet, text: str) -> Sheet:
+    out = sheet.with_df(sheet.df)
+    out.merged = [x for x in sheet.merged if x != str(parse_ref(text))]
+    return out
+
+
+def auto_filter(sheet: Sheet, text: str | None) -> Sheet:
+    """Sets the range of the sheet's filter, or takes it away: a state of the sheet, which hides nothing by itself."""
+    out = sheet.with_df(sheet.df)
+    out.filter_range = None if text is None else str(parse_ref(text))
+    return out
+
+
 def clear(sheet: Sheet, text: str) -> Sheet:
     """Empties a rectangle."""
     r = parse_ref(text)
@@ -204,16 +301,61 @@ def fill_text(formula: str, rows: int, cols: int = 0) -> str:
     return "=" + show(shift(parse(formula), rows, cols))
 
 
-def validate(sheet: Sheet, column: str, rule: str, *bounds_: float) -> Column:
-    """A data-validation rule as a Boolean column; empty cells pass. rule: an operator name of bounded rules, or "list"."""
-    c = F.col(sheet.resolve(column))
-    tests = {
-        "between": lambda a, b: c.between(a, b), "notBetween": lambda a, b: ~c.between(a, b), "equal": lambda a: c == a, "notEqual": lambda a: c != a,
-        "greaterThan": lambda a: c > a, "lessThan": lambda a: c < a, "greaterThanOrEqual": lambda a: c >= a, "lessThanOrEqual": lambda a: c <= a, "list": lambda *xs: c.isin(*xs),
-    }
-    if rule not in tests:
-        raise FormulaError(f"unknown rule {rule}")
-    return F.coalesce(tests[rule](*bounds_), F.lit(True))
+BOUNDED = {
+    "between": lambda c, a, b: c.between(a, b), "notBetween": lambda c, a, b: ~c.between(a, b), "equal": lambda c, a: c == a, "notEqual": lambda c, a: c != a,
+    "greaterThan": lambda c, a: c > a, "lessThan": lambda c, a: c < a, "greaterThanOrEqual": lambda c, a: c >= a, "lessThanOrEqual": lambda c, a: c <= a,
+}
+
+
+def validate(sheet: Sheet, column: str, rule: str, *bounds_, kind: str = "decimal") -> Column:
+    """A data-validation rule as a Boolean column; empty cells pass. rule: an operator of bounded rules, "list" (allowed values) or "any". kind of a bounded rule: decimal, whole (whole numbers alone), date, time (the fraction of a day) or textLength; a cell of another kind fails."""
+    v = sheet.val(sheet.columns.index(sheet.resolve(column)) + 1)
+    if rule == "any":
+        return F.lit(True)
+    if rule == "list":
+        return F.coalesce(v.col.isin(*bounds_), F.lit(True))
+    if rule not in BOUNDED or kind not in ("decimal", "whole", "date", "time", "textLength"):
+        raise FormulaError(f"unknown rule {kind} {rule}")
+    if kind == "textLength":
+        return F.when(v.col.isNull(), True).otherwise(BOUNDED[rule](F.char_length(to_text(v).col), *bounds_))
+    if v.kind not in ("num", "date"):
+        return v.col.isNull()
+    at = serial(v.col) if v.kind == "date" else v.col.cast("double")
+    limits = [serial(F.lit(x)) if isinstance(x, datetime.date) else F.lit(float(x)) for x in bounds_]
+    got = BOUNDED[rule](at - F.floor(at) if kind == "time" else at, *limits)
+    return F.coalesce(got & (at == F.floor(at)) if kind == "whole" else got, F.lit(True))
+
+
+def validate_custom(wb: Workbook, sheet: str, formula: str, column: str = "valid", base_row: int = 1) -> Sheet:
+    """A custom rule: a formula filled down whose truth (an error is none) says whether the row passes."""
+    from lattica.binder import fill_down
+
+    return fill_down(wb, wb.sheet(sheet), {column: f"=IFERROR(IF({formula.lstrip('=')},TRUE,FALSE),FALSE)"}, base_row, False)
+
+
+def conditional_format(wb: Workbook, sheet: str, column: str, rule: str, *given, out: str = "format") -> DataFrame:
+    """What a conditional format says of each cell of a column, as a column beside the sheet: for the operators of bounded rules, "contains", "beginsWith", "expression" (a formula for the first row), "top" and "bottom" (the first n in rank) whether it applies; for "colorScale" and "dataBar" the place between the least number and the greatest, 0 to 1. Empty cells have none."""
+    from lattica.binder import fill_down
+
+    s = wb.sheet(sheet)
+    name = s.resolve(column)
+    v = s.val(s.columns.index(name) + 1)
+    if rule == "expression":
+        return fill_down(wb, s, {out: f"=IFERROR(IF({str(given[0]).lstrip('=')},TRUE,FALSE),FALSE)"}, 1, False).df
+    if rule in BOUNDED:
+        return s.df.withColumn(out, F.when(v.col.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(BOUNDED[rule](v.col, *given), F.lit(False))))
+    if rule in ("contains", "beginsWith"):
+        text = F.lower(to_text(v).col)
+        return s.df.withColumn(out, F.when(v.col.isNotNull(), text.contains(given[0].lower()) if rule == "contains" else text.startswith(given[0].lower())))
+    num = numeric(v)
+    if rule in ("top", "bottom"):
+        ranked = ordered.ranks(s.df.withColumn("__n", num), "__n", "__rank", rule == "top")
+        return ranked.withColumn(out, F.when(F.col("__n").isNotNull(), F.col("__rank") <= int(given[0]))).drop("__n", "__rank")
+    if rule in ("colorScale", "dataBar"):
+        ends = s.df.agg(F.min(num).alias("__lo"), F.max(num).alias("__hi"))
+        share = F.coalesce(F.try_divide(num - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.when(num.isNotNull(), F.lit(1.0)))
+        return s.df.crossJoin(F.broadcast(ends)).withColumn(out, share).drop("__lo", "__hi")  # one row
+    raise FormulaError(f"unknown rule {rule}")
 
 
 def number_rows(df: DataFrame, order: list[str], row: str = "_row") -> DataFrame:

@@ -15,7 +15,7 @@ from lattica.values import Val, kind_of
 
 @dataclass
 class Sheet:
-    """A DataFrame as a sheet. columns: names in sheet order, A first. row: the column of 1-based row numbers; without one, rows are numbered by `order` when a formula needs positions. errors: column -> its column of error codes."""
+    """A DataFrame as a sheet. columns: names in sheet order, A first. row: the column of 1-based row numbers; without one, rows are numbered by `order` when a formula needs positions. errors: column -> its column of error codes. merged, filter_range: merged rectangles and the range of the filter, which queries do not read."""
 
     name: str
     df: DataFrame
@@ -23,6 +23,8 @@ class Sheet:
     row: str | None = None
     order: list[str] = field(default_factory=list)
     errors: dict[str, str] = field(default_factory=dict)
+    merged: list[str] = field(default_factory=list)
+    filter_range: str | None = None
 
     def __post_init__(self) -> None:
         if not self.columns:
@@ -69,7 +71,7 @@ class Sheet:
         raise FormulaError(f"unknown column {name}")
 
     def with_df(self, df: DataFrame, columns: list[str] | None = None, errors: dict[str, str] | None = None) -> Sheet:
-        return Sheet(self.name, df, columns or list(self.columns), self.row, self.order, dict(self.errors) if errors is None else errors)
+        return Sheet(self.name, df, columns or list(self.columns), self.row, self.order, dict(self.errors) if errors is None else errors, list(self.merged), self.filter_range)
 
 
 @dataclass
@@ -103,7 +105,7 @@ class Workbook:
 
     def copy(self, name: str, new: str) -> Sheet:
         s = self.sheet(name)
-        return self.add(Sheet(new, s.df, list(s.columns), s.row, list(s.order), dict(s.errors)))
+        return self.add(Sheet(new, s.df, list(s.columns), s.row, list(s.order), dict(s.errors), list(s.merged), s.filter_range))
 
     def define(self, name: str, text: str, sheet: str | None = None) -> None:
         if sheet is None:

@@ -240,3 +240,78 @@ def test_batch(spark):
     assert [r._row for r in wb.sheet("u").df.orderBy("_row").collect()] == [1, 2]
     with pytest.raises(FormulaError):
         batch.run(wb, [{"op": "nothing"}])
+
+
+def test_ordered_iteration_and_view(rivers):
+    assert [(r._row, r._col) for r in table.cells_sorted(rivers).collect()][:4] == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert [(r._row, r._col) for r in table.columns_sorted(rivers).collect()][4:7] == [(5, 1), (1, 2), (2, 2)]
+    assert [(r._row, len(r.cells)) for r in table.rows_sorted(rivers).collect()] == [(i, 3) for i in range(1, 6)]
+    assert [r._row for r in table.view(rivers, "A5:C6", skip_empty=True).collect()] == [5] and table.view(rivers, "A5:C6").count() == 2
+
+
+def test_put_ranges(rivers):
+    out = table.put_range(rivers, "A1:B2", ["Lech", 256.0, "Naab", 98.5])
+    assert [(r.river, r.km) for r in out.df.orderBy("_row").collect()][:3] == [("Lech", 256.0), ("Naab", 98.5), ("Inn", 517.0)]
+    assert [r.km for r in table.put_column(rivers, 2, 6, [1.0, 2.0]).df.orderBy("_row").collect()][-2:] == [1.0, 2.0]
+    assert table.put_row(rivers, 2, 1, ["Ilm", 3.0, None]).df.where("_row = 2").first()[1:] == ("Ilm", 3.0, None)
+    for text, values in (("A1:B2", ["x"]), ("A1:Z1", ["x"] * 26), ("A:A", [])):
+        with pytest.raises(FormulaError):
+            table.put_range(rivers, text, values)
+
+
+def test_merge_and_filter_state(rivers):
+    out = table.merge(rivers, "A1:B2")
+    assert [tuple(r)[1:3] for r in out.df.orderBy("_row").collect()][:3] == [("Isar", None), (None, None), ("Inn", 517.0)] and out.merged == ["A1:B2"]
+    with pytest.raises(FormulaError):
+        table.merge(out, "B2:C3")
+    assert table.unmerge(out, "A1:B2").merged == [] and rivers.merged == []
+    assert table.auto_filter(out, "A1:C6").filter_range == "A1:C6" and table.auto_filter(table.auto_filter(out, "A1:C6"), None).filter_range is None
+
+
+def test_workbook_diff(rivers):
+    a, b = Workbook(), Workbook()
+    a.add(rivers)
+    b.add(rivers.with_df(rivers.df.withColumn("km", F.col("km") + F.when(F.col("_row") == 4, 1.0).otherwise(0.0))))
+    a.add(Sheet("Old", rivers.df, row="_row"))
+    b.add(Sheet("New", rivers.df, row="_row"))
+    assert {(r.sheet, r.status, r._row, r.after) for r in table.diff_workbooks(a, b).collect()} == {("Old", "removed", None, None), ("New", "added", None, None), ("R", "changed", 4, "452")}
+
+
+def test_validation_kinds_and_conditional_formats(spark):
+    import datetime
+
+    rows = [(1, 3.0, "ab", datetime.date(2024, 5, 1)), (2, 3.5, "abcd", datetime.date(2025, 1, 1)), (3, None, None, None), (4, 9.0, "", datetime.date(2024, 1, 1))]
+    s = Sheet("V", spark.createDataFrame(rows, "_row bigint, n double, t string, d date"), row="_row")
+    wb = Workbook()
+    wb.add(s)
+    flags = lambda c: [r[0] for r in s.df.orderBy("_row").select(c).collect()]
+    assert flags(table.validate(s, "n", "between", 1, 5)) == [True, True, True, False]
+    assert flags(table.validate(s, "n", "between", 1, 5, kind="whole")) == [True, False, True, False]
+    assert flags(table.validate(s, "t", "lessThanOrEqual", 2, kind="textLength")) == [True, False, True, True]
+    assert flags(table.validate(s, "d", "lessThan", datetime.date(2024, 12, 31), kind="date")) == [True, False, True, True]
+    assert flags(table.validate(s, "t", "greaterThan", 1)) == [False, False, True, False] and flags(table.validate(s, "t", "any")) == [True] * 4 and flags(table.validate(s, "t", "list", "ab", "")) == [True, False, True, True]
+    assert [r.valid for r in table.validate_custom(wb, "V", "=LEN(B1)*2=A1+1").df.orderBy("_row").collect()] == [True, False, False, False]
+    shown = lambda *a: [r.format for r in table.conditional_format(wb, "V", *a).orderBy("_row").collect()]
+    assert shown("n", "greaterThan", 3.2) == [False, True, None, True] and shown("t", "contains", "BC") == [False, True, None, False] and shown("n", "top", 2) == [False, True, None, True]
+    assert shown("n", "bottom", 1) == [True, False, None, False] and shown("n", "colorScale") == [0.0, 0.5 / 6, None, 1.0] and shown("n", "expression", "=A1*2>6") == [False, True, False, True]
+
+
+def test_computed_addresses(spark):
+    wb = Workbook()
+    wb.add(Sheet("S", spark.createDataFrame([(1, 3.0, "B2", 10.0), (2, 1.0, "C1", 20.0), (3, 2.0, "zz", 30.0), (4, 0.0, None, 40.0)], "_row bigint, a double, b string, c double"), row="_row"))
+    out = wb.fill_all("S", {"i": "=INDIRECT(B1)", "o": "=OFFSET($C$1,A1,0)", "p": "=OFFSET(C1,-1,-2)", "q": "=INDIRECT(\"C\"&A1)"}, errors=True).df.orderBy("_row").collect()
+    assert [r.i for r in out] == ["C1", "10", None, None] and [r.i__err for r in out][2:] == ["#REF!", "#REF!"]
+    assert [r.o for r in out] == ["40", "20", "30", "10"] or [r.o for r in out] == [40.0, 20.0, 30.0, 10.0]
+    assert [r.q for r in out][:3] == ["30", "10", "20"] and out[3].q__err == "#REF!"
+    assert wb.eval('=SUM(INDIRECT("C"&A2&":C"&A1))').first().value == 60.0 and wb.eval("=SUM(OFFSET(C1,A2,0,A3,1))").first().value == 50.0 and wb.eval("=INDIRECT(B3)").first().error == "#REF!"
+
+
+def test_fraction_and_condition_formats(spark):
+    from tests.test_formulas import hold
+
+    wb = Workbook()
+    wb.add(Sheet("S", spark.createDataFrame([(1, 1.0)], "_row bigint, a double"), row="_row"))
+    hold(wb, {
+        'TEXT(1.25,"# ?/?")': "1 1/4", 'TEXT(5.3,"# ??/??")': "5  3/10", 'TEXT(0.5,"# ??/??")': "  1/2 ", 'TEXT(1.5,"?/?")': "3/2", 'TEXT(3,"# ?/?")': "3    ", 'TEXT(0.3,"# ?/?")': " 2/7", 'TEXT(12.3,"# ?/?")': "12 1/3", 'TEXT(0.5,"# ?/8")': " 4/8", 'TEXT(-1.5,"# ?/?;(# ?/?)")': "(1 1/2)",
+        'TEXT(150,"[>100]#,##0;[<=0]0.00;0.0")': "150", 'TEXT(-5,"[>100]#,##0;[<=0]0.00;0.0")': "-5.00", 'TEXT(7,"[>100]#,##0;[<=0]0.00;0.0")': "7.0", 'TEXT(50,"[Red][<=100]0;[Blue][>100]0.0")': "50", 'TEXT(500,"[Red][<=100]0;[Blue][>100]0.0")': "500.0", 'TEXT(5,"[>100]0;0.0")': "5.0", 'TEXT(3,"0"" a;b""")': "3 a;b",
+    })
