@@ -4,20 +4,21 @@ Words are the runs of characters other than ASCII non-alphanumerics, A-Z lowered
 
 Defined results: a null text has no words; a null item text has no windows; repeated rows are judged each by itself; empty tables give no rows or no hits; a null item_id counts as an item under the empty name; other columns of either table pass through untouched and may bear any name.
 
-Plan: one scan of the documents, split into words once. The hash sets are bit maps of MAX_BITS bits at most, constants in the plan: the first holds the hash of each window's first two words, the second that of the whole window. They serve a benchmark of any size; a fuller map only lets more windows through. Windows that pass both leave the row with its key, meet the benchmark's windows by their text (the verification; Spark broadcasts that table only where its written size is small), and one small row per document is grouped. As a stage, hit rows are known by a 128-bit key of their content, written, and taken out of a second scan by an anti join: texts are not grouped, and not shuffled as long as Spark finds the keys small enough to broadcast.
+Plan: one scan of the documents, split into words once. The hash sets are maps of MAX_SLOTS slots at most, constants in the plan: the first holds the hash of each window's first two words, the second that of the whole window. They serve a benchmark of any size; a fuller map only lets more windows through. Windows that pass both leave the row with its key, meet the benchmark's windows by their text (the verification; Spark broadcasts that table only where its written size is small), and one small row per document is grouped. As a stage, hit rows are known by a 128-bit key of their content, written, and taken out of a second scan by an anti join: texts are not grouped, and not shuffled as long as Spark finds the keys small enough to broadcast.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import ascii_lower, content_key, materialize, packed, read
 
 WINDOW = 10
-#: Bits of a map: 4 MB at most; below that, BITS_EACH for each window.
-MAX_BITS, BITS_EACH = 1 << 25, 64
-#: Bits of one row of a map under construction, as the bitmap functions have it.
+#: Slots of a map, a byte each: 4 MB at most; below that, SLOTS_EACH for each window.
+MAX_SLOTS, SLOTS_EACH = 1 << 22, 16
+#: Slots of one row of a map under construction, as the bitmap functions have it.
 PAGE = 1 << 15
 #: Fixed: what stands between words, for Java's regular expressions.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,28 +38,27 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.select("item", "n", F.array_join("g", " ").alias("gram"), F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1))).alias("head"), F.xxhash64("g").alias("hash")).distinct()
 
 
-def bit_map(hashes: DataFrame, name: str, bits: int) -> bytes:
-    """Bit h mod `bits` (a power of two) set for every long h of the column."""
-    slot = F.col(name).bitwiseAND(max(bits, PAGE) - 1)
+def slot_map(hashes: DataFrame, name: str, slots: int) -> bytes:
+    """A byte for each slot: 1 at h mod `slots` (a power of two) for every long h of the column."""
+    slot = F.col(name).bitwiseAND(slots - 1)
     pages = hashes.groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(PAGE - 1)).alias("bits"))
-    whole = bytearray(max(bits, PAGE) // 8)
-    for r in pages.collect():  # bits / PAGE rows
-        whole[r.page * PAGE // 8 : (r.page + 1) * PAGE // 8] = r.bits
-    return bytes(whole)
+    whole = bytearray(max(slots, PAGE))
+    for r in pages.collect():  # slots / PAGE rows
+        whole[r.page * PAGE : (r.page + 1) * PAGE] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").tobytes()
+    return bytes(whole[:slots])
 
 
 def is_set(whole: bytes, h: Column) -> Column:
-    slot = h.bitwiseAND(len(whole) * 8 - 1)
-    byte = F.ascii(F.decode(F.substring(F.lit(whole), (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
-    return F.bit_get(byte, slot.bitwiseAND(7).cast("int")) == 1
+    slot = h.bitwiseAND(len(whole) - 1).cast("int")
+    return F.substring(F.lit(whole), slot + 1, F.lit(1)) == F.lit(b"\1")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_slots: int = MAX_SLOTS) -> DataFrame:
     """docs: row (any small thing), __text. One row per document: row, n_words, covered (sorted positions of hit words, 0-based), items (sorted distinct item names)."""
     grams = materialize(windows_of(benchmark, window), "windows")
     sizes = {r.n: r["count"] for r in grams.groupBy("n").count().collect()}  # `window` rows at most
-    bits = min(max_bits, max(PAGE, 1 << (BITS_EACH * max(1, sum(sizes.values()))).bit_length()))
-    heads, hashes = (bit_map(grams, c, bits) for c in ("head", "hash")) if sizes else (b"", b"")
+    slots = min(max_slots, max(PAGE, 1 << (SLOTS_EACH * max(1, sum(sizes.values()))).bit_length()))
+    heads, hashes = (slot_map(grams, c, slots) for c in ("head", "hash")) if sizes else (b"", b"")
 
     split = docs.withColumn("__id", F.monotonically_increasing_id()).withColumn("__w", words_of(F.col("__text"))).drop("__text")
     def found(n: int) -> Column:
@@ -89,12 +89,12 @@ def without(pieces: Column, covered: Column) -> Column:
     return F.flatten(F.transform(gaps, lambda g: F.slice(pieces, g["a"] + 2, g["b"] - g["a"] - 1)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, max_slots: int = MAX_SLOTS) -> DataFrame:
     """docs without its contaminated documents (mode "documents"), or with the hit words and what follows each of them cut from the texts (mode "spans"). Columns as before."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
     names, whole = docs.columns, packed(docs).withColumn("__key", content_key(F.col("row.doc_id"), F.col("row.text")))
-    seen = hits(whole.select(F.col("__key").alias("row"), F.col("row.text").alias("__text")), benchmark, window, max_bits).where(F.size("covered") > 0)
+    seen = hits(whole.select(F.col("__key").alias("row"), F.col("row.text").alias("__text")), benchmark, window, max_slots).where(F.size("covered") > 0)
     hit = seen.select(F.col("row").alias("__hit"), *(["covered"] if mode == "spans" else [])).dropDuplicates(["__hit"])
     hit = materialize(hit, "hit-rows")
     if mode == "documents":

@@ -31,18 +31,18 @@ def plain(text, items):
 ITEMS = [("1", "One two three four five six seven eight nine ten eleven"), ("2", "short Été item"), ("3", None), ("4", "..."), ("5", "three four five six seven eight nine ten eleven twelve")]
 
 
-@pytest.mark.parametrize("most", [decontaminate.MAX_BITS, decontaminate.PAGE, 8])
+@pytest.mark.parametrize("most", [decontaminate.MAX_SLOTS, decontaminate.PAGE, 8])
 def test_windows(spark, odd, most):
-    """Wide bit maps and one that lets nearly every window through."""
+    """Wide maps and one that lets nearly every window through."""
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
     docs = [(1, "x one TWO, three four five six seven eight nine ten eleven twelve y"), (2, "a short Été-item b"), (3, "a short été item"), (4, None), (5, ""), (6, "short Été item short Été item")]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], odd.schema)
     from pyspark.sql import functions as F
 
-    got = decontaminate.hits(df.select(F.struct("doc_id").alias("row"), F.col("text").alias("__text")), bench, max_bits=most).collect()
+    got = decontaminate.hits(df.select(F.struct("doc_id").alias("row"), F.col("text").alias("__text")), bench, max_slots=most).collect()
     assert {r.row.doc_id: (r.n_words, len(r.covered), len(r["items"])) for r in got} == {i: plain(t, ITEMS) for i, t in docs}
-    assert {r.doc_id for r in decontaminate.decontaminate(df, bench, max_bits=most).collect()} == {3, 4, 5}
-    spans = {r.doc_id: r.text for r in decontaminate.decontaminate(df, bench, "spans", max_bits=most).collect()}
+    assert {r.doc_id for r in decontaminate.decontaminate(df, bench, max_slots=most).collect()} == {3, 4, 5}
+    spans = {r.doc_id: r.text for r in decontaminate.decontaminate(df, bench, "spans", max_slots=most).collect()}
     assert spans == {1: "x y", 2: "a b", 3: "a short été item", 4: None, 5: "", 6: ""}
 
 
@@ -54,16 +54,16 @@ def test_long_hit_texts_take_linear_time(spark, odd):
     assert decontaminate.decontaminate(df, bench).count() == 0
 
 
-def test_bit_map(spark):
+def test_slot_map(spark):
     from pyspark.sql import functions as F
 
     some = spark.range(300).select((F.xxhash64("id")).alias("h"))
-    for bits in (1 << 15, 1 << 20):
-        whole = decontaminate.bit_map(some, "h", bits)
-        want = {r.h & (bits - 1) for r in some.collect()}
-        assert {i * 8 + k for i, x in enumerate(whole) for k in range(8) if x >> k & 1} == want
+    for slots in (8, 1 << 15, 1 << 20):
+        whole = decontaminate.slot_map(some, "h", slots)
+        want = {r.h & (slots - 1) for r in some.collect()}
+        assert len(whole) == slots and {i for i, x in enumerate(whole) if x} == want
         got = spark.range(40_000).select((F.col("id") - 20_000).alias("h")).where(decontaminate.is_set(whole, F.col("h"))).collect()
-        assert {r.h for r in got} == {h for h in range(-20_000, 20_000) if h & (bits - 1) in want}
+        assert {r.h for r in got} == {h for h in range(-20_000, 20_000) if h & (slots - 1) in want}
 
 
 def test_query_against_sql(spark, sf):
