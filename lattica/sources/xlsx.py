@@ -6,9 +6,7 @@ Reading goes through Spark's binaryFile source, so files may lie anywhere Spark
 from __future__ import annotations
 
 import io
-import os
 import re
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
@@ -178,10 +176,30 @@ def arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def whole_file(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+
+
 def sheets_of(spark: SparkSession, path: str) -> list[str]:
     """Sheet names, without cell data."""
-    data = spark.read.format("binaryFile").load(path).select("content").first()
-    return [n for n, _ in sheet_list(opened(bytes(data.content), LIMITS))[0]]
+    return [n for n, _ in sheet_list(opened(whole_file(spark, path), LIMITS))[0]]
+
+
+def metadata(spark: SparkSession, path: str) -> dict:
+    """Without cell data: sheets with the dimension that each states (None where it states none), and defined names with their sheets (None for the workbook's)."""
+    z = opened(whole_file(spark, path), LIMITS)
+    sheets = []
+    for name, part in sheet_list(z)[0]:
+        with z.open(part) as f:
+            head = f.read(1 << 16)  # the dimension stands before the rows
+        m = re.search(rb'<(?:\w+:)?dimension\b[^>]*\bref="([^"]*)"', head)
+        sheets.append((name, m[1].decode() if m else None))
+    names = []
+    for e in ET.fromstring(z.read("xl/workbook.xml")).iter():
+        if tag(e) == "definedName":
+            own = e.attrib.get("localSheetId")
+            names.append((e.attrib["name"], e.text or "", sheets[int(own)][0] if own is not None else None))
+    return {"sheets": sheets, "names": names}
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0, header: bool = True, **options) -> Sheet:
@@ -201,56 +219,147 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0, header: boo
     return Sheet(str(sheet), df, names, "_row")
 
 
-def cell_xml(ref: str, x: object, guard: bool) -> str:
+class _Stream(io.RawIOBase):
+    """A new file on any file system that Spark writes to."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.to = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.to.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.to.close()
+        super().close()
+
+
+def created(spark: SparkSession, path: str) -> io.BufferedWriter:
+    return io.BufferedWriter(_Stream(spark, path), 1 << 20)
+
+
+def cell_xml(ref: str, x: object, guard: bool, formula: str | None = None, style: str | None = None) -> str:
+    """One cell; with a formula, x is its cached value."""
+    f = "" if formula is None else f"<f>{escape(formula.removeprefix('='))}</f>"
+    s = "" if style is None else f' s="{style}"'
     if x is None:
-        return ""
+        return f'<c r="{ref}"{s}>{f}</c>' if f else ""
     if isinstance(x, bool):
-        return f'<c r="{ref}" t="b"><v>{int(x)}</v></c>'
+        return f'<c r="{ref}"{s} t="b">{f}<v>{int(x)}</v></c>'
     if isinstance(x, int | float):
-        return f'<c r="{ref}"><v>{x!r}</v></c>'
+        return f'<c r="{ref}"{s}>{f}<v>{x!r}</v></c>'
     if isinstance(x, datetime | date):
         at = x.replace(tzinfo=None) if isinstance(x, datetime) else datetime(x.year, x.month, x.day)
         days = (at - datetime(1899, 12, 30)) / timedelta(days=1)
-        return f'<c r="{ref}" s="1"><v>{days!r}</v></c>'
+        return f'<c r="{ref}"{s or (" s=" + chr(34) + "1" + chr(34))}>{f}<v>{days!r}</v></c>'
     text = str(x)
-    if guard and text[:1] in "=+-@":
+    if guard and not f and text[:1] in "=+-@":
         text = "'" + text
     text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+    if f:
+        return f'<c r="{ref}"{s} t="str">{f}<v>{escape(text)}</v></c>'
+    return f'<c r="{ref}"{s} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def write_xlsx(sheets: dict[str, DataFrame], path: str, header: bool = True, order: str | None = "_row", guard: bool = True) -> None:
-    """One workbook of the given sheets; rows in the order of `order` where it exists. guard: texts that a spreadsheet would take for formulas get an apostrophe."""
+def write_xlsx(sheets: dict[str, DataFrame], path: str, header: bool = True, order: str | None = "_row", guard: bool = True, formulas: dict[str, dict[str, str]] | None = None, names: dict[str, str] | None = None, dimension: bool = False) -> None:
+    """One workbook of the given sheets, streamed to wherever Spark writes; rows in the order of `order` where it exists. guard: texts that a spreadsheet would take for formulas get an apostrophe. formulas: sheet -> column -> formula as in that column's first data row; its cells' values are cached beside it. names: defined names. dimension: rows are counted first, so that each sheet states its dimension before its cells."""
     spark = next(iter(sheets.values())).sparkSession
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
-    with tempfile.TemporaryDirectory() as tmp:
-        local = os.path.join(tmp, "book.xlsx")
-        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
-            over = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-            z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{over}</Types>')
-            z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + f'<Relationship Id="rId0" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
-            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>')
-            for i, df in enumerate(sheets.values(), 1):
-                names = [c for c in df.columns if c != order]
-                if len(names) > MAX_COLS:
-                    raise ValueError("more columns than a sheet holds")
-                rows = (df.orderBy(order) if order in df.columns else df).select(*[F.col(f"`{c}`") for c in names])
-                letters = [col_letters(k) for k in range(1, len(names) + 1)]
-                with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
-                    f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
-                    n = 0
-                    for r in ([names] if header else []):
-                        n += 1
-                        f.write((f'<row r="{n}">' + "".join(cell_xml(f"{a}{n}", x, guard) for a, x in zip(letters, r, strict=True)) + "</row>").encode())
-                    for r in rows.toLocalIterator(prefetchPartitions=True):
-                        n += 1
-                        if n > MAX_ROWS:
-                            raise ValueError("more rows than a sheet holds")
-                        f.write((f'<row r="{n}">' + "".join(cell_xml(f"{a}{n}", x, guard) for a, x in zip(letters, r, strict=True)) + "</row>").encode())
-                    f.write(b"</sheetData></worksheet>")
-        jvm = spark.sparkContext._jvm
-        to = jvm.org.apache.hadoop.fs.Path(path)
-        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
+    defined = "".join(f"<definedName name={quoteattr(n)}>{escape(t.removeprefix('='))}</definedName>" for n, t in (names or {}).items())
+    with created(spark, path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        over = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{over}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets>" + (f"<definedNames>{defined}</definedNames>" if defined else "") + "</workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + f'<Relationship Id="rId0" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>')
+        for i, (name, df) in enumerate(sheets.items(), 1):
+            columns = [c for c in df.columns if c != order]
+            if len(columns) > MAX_COLS:
+                raise ValueError("more columns than a sheet holds")
+            rows = (df.orderBy(order) if order in df.columns else df).select(*[F.col(f"`{c}`") for c in columns])
+            letters = [col_letters(k) for k in range(1, len(columns) + 1)]
+            trees = {c: parse(f) for c, f in (formulas or {}).get(name, {}).items()}
+            first = 1 + int(header)
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
+                f.write(f'<worksheet xmlns="{main}">'.encode())
+                if dimension and columns:
+                    last = max(df.count() + int(header), 1)
+                    f.write(f'<dimension ref="A1:{letters[-1]}{last}"/>'.encode())
+                f.write(b"<sheetData>")
+                n = 0
+                if header:
+                    n = 1
+                    f.write((f'<row r="{n}">' + "".join(cell_xml(f"{a}{n}", x, guard) for a, x in zip(letters, columns, strict=True)) + "</row>").encode())
+                for r in rows.toLocalIterator(prefetchPartitions=True):
+                    n += 1
+                    if n > MAX_ROWS:
+                        raise ValueError("more rows than a sheet holds")
+                    f.write((f'<row r="{n}">' + "".join(cell_xml(f"{a}{n}", x, guard, show(shift(trees[c], n - first)) if c in trees else None) for a, c, x in zip(letters, columns, r, strict=True)) + "</row>").encode())
+                f.write(b"</sheetData></worksheet>")
+
+
+ROW = re.compile(rb'<((?:\w+:)?)row\b([^>]*?)(?:/>|>(.*?)</(?:\w+:)?row>)', re.S)
+CELL = re.compile(r'<(?:\w+:)?c\b([^>]*?)(?:/>|>.*?</(?:\w+:)?c>)', re.S)
+
+
+def patched_row(number: int, attributes: str, body: str, patches: dict[int, object], guard: bool) -> str:
+    """A row with some of its cells set anew; a cell keeps its style, a row its attributes."""
+    cells: dict[int, str] = {}
+    styles: dict[int, str] = {}
+    at = 0
+    for m in CELL.finditer(body):
+        ref = re.search(r'\br="([A-Z]+)\d+"', m[1])
+        at = parse_ref(ref[1] + "1").col if ref else at + 1
+        cells[at] = m[0]
+        if style := re.search(r'\bs="(\d+)"', m[1]):
+            styles[at] = style[1]
+    for col, x in patches.items():
+        formula = x if isinstance(x, str) and x.startswith("=") else None
+        cells[col] = cell_xml(f"{col_letters(col)}{number}", None if formula else x, guard, formula, styles.get(col)) or (f'<c r="{col_letters(col)}{number}" s="{styles[col]}"/>' if col in styles else "")
+    return f"<row{attributes}>" + "".join(cells[c] for c in sorted(cells)) + "</row>"
+
+
+def transform_xlsx(spark: SparkSession, source: str, target: str, sheet: str | int, patches: dict[str, object], guard: bool = True) -> None:
+    """A copy of a workbook in which some cells of a sheet are set anew (a text that begins with = is a formula, None empties). Rows without a patch are copied byte by byte, other parts as they are; cached values of other formulas are left as they were."""
+    by_row: dict[int, dict[int, object]] = {}
+    for ref, x in patches.items():
+        r = parse_ref(ref)
+        by_row.setdefault(r.row, {})[r.col] = x
+    z = opened(whole_file(spark, source), LIMITS)
+    part = next((p for i, (n, p) in enumerate(sheet_list(z)[0]) if sheet == i or (isinstance(sheet, str) and sheet.lower() == n.lower())), None)
+    if part is None:
+        raise ValueError(f"no sheet {sheet}")
+    with created(spark, target) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for info in z.infolist():
+            if info.filename != part:
+                new.writestr(info.filename, z.read(info))
+                continue
+            data = z.read(info)
+            data = re.sub(rb"<((?:\w+:)?)sheetData\s*/>", rb"<\1sheetData></\1sheetData>", data, count=1)
+            head = re.search(rb"<((?:\w+:)?)sheetData\b[^>]*>", data)
+            if head[1]:
+                raise ValueError("a sheet with prefixed elements")
+            left = sorted(by_row)
+            with new.open(part, "w", force_zip64=True) as f:
+                f.write(data[: head.end()])
+                at, number = head.end(), 0
+                end = data.index(b"</sheetData>", at)
+                for m in ROW.finditer(data, at, end):
+                    own = re.search(rb'\br="(\d+)"', m[2])
+                    number = int(own[1]) if own else number + 1
+                    while left and left[0] < number:
+                        f.write(patched_row(left[0], f' r="{left[0]}"', "", by_row[left.pop(0)], guard).encode())
+                    if left and left[0] == number:
+                        f.write(patched_row(number, m[2].decode() or f' r="{number}"', (m[3] or b"").decode(), by_row[left.pop(0)], guard).encode())
+                    else:
+                        f.write(m[0])
+                for r in left:
+                    f.write(patched_row(r, f' r="{r}"', "", by_row[r], guard).encode())
+                f.write(data[end:])
