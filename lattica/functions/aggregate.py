@@ -160,6 +160,11 @@ for _name in ("MIN", "MAX"):
 
 @function("AVERAGE", 1, None)
 def _average(b, args):
+    rng = b.as_range(args[0]) if len(args) == 1 else None
+    if rng is not None and rng.width == 1 and b.own(rng) and moving.slides(b, [rng]) and b.moving(rng) != (0, 0):  # both from one window
+        t, k, v = b.new(), b.new(), b.sheet.val(rng.start.col)
+        b.df = ordered.sliding(b.df, b.sheet.numbered_row(b), *b.moving(rng), {t: F.sum(numeric(v)), k: F.count(numeric(v))})
+        return Val(F.try_divide(F.col(t), F.col(k)), "num", F.when(F.col(k) == 0, F.lit("#DIV/0!")))
     total, err = folded(b, "SUM", args)
     n, _ = folded(b, "COUNT", args)
     return Val(F.try_divide(total, n), "num", first_error(err, F.when(n == 0, F.lit("#DIV/0!"))))

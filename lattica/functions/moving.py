@@ -133,8 +133,12 @@ def numbers(b, ranges: list[Range], others: list[Column] = ()) -> Column:
     """All numbers of sliding ranges and single values, as one array."""
     parts = []
     for r in ranges:
-        w = window(b, [r])
-        parts.append(_numbers_of(w))
+        if b.own(r) and b.moving(r) != (0, 0) and r.height * r.width <= MAX_WINDOW:  # numbers alone, without places
+            name, cells = b.new(), [numeric(b.sheet.val(c)) for c in range(r.start.col, r.end.col + 1)]
+            b.df = ordered.sliding(b.df, b.sheet.numbered_row(b), *b.moving(r), {name: F.collect_list(cells[0] if len(cells) == 1 else F.array(*cells))})
+            parts.append(F.col(name) if len(cells) == 1 else F.flatten(name))
+            continue
+        parts.append(_numbers_of(window(b, [r])))
     if others:
         parts.append(F.array(*others))
     return F.filter(reduce(F.concat, parts) if len(parts) > 1 else parts[0], lambda x: x.isNotNull())

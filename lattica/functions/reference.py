@@ -196,6 +196,9 @@ def dynamic(name: str, least: int, most: int):
         try:
             rng = resolve(b, Call(name, args))
         except OutOfGrid as e:
+            base = b.as_range(args[0]) if name == "OFFSET" else None
+            if b.base_row is not None and base is not None and not base.start.abs_row and len(args) == 3:
+                return pointed(b, Call(name, args))  # outside in the first row, not in all
             return error(str(e) if str(e).startswith("#") else "#REF!")
         return b.value(rng.start if rng.height == 1 and rng.width == 1 else rng)
 

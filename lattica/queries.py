@@ -562,6 +562,85 @@ def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("window.start").cast("string").alias("start"), "event_type", "n")
 
 
+# --- addresses, rules and formats ------------------------------------------------------
+
+fills("computed_addresses", "customer", {"there": "=VALUE(OFFSET($D$1,C1,0))", "back": "=IFERROR(VALUE(OFFSET(D1,-1,0)),0)", "named": '=VALUE(INDIRECT("D"&(C1+1)))'}, ["c_custkey"], f"""
+SELECT x.c_custkey, {R('y.c_acctbal', 2)} AS there, {R('coalesce(lag(x.c_acctbal) OVER (ORDER BY x.c_custkey), 0)', 2)} AS back, {R('y.c_acctbal', 2)} AS named FROM customer x JOIN customer y ON y.c_custkey = x.c_nationkey""", (), 2)
+scalars("computed_ranges", ["customer"], {"s": '=SUM(OFFSET(D1,0,0,COUNTIF(E:E,"BUILDING"),1))', "n": '=COUNT(INDIRECT("D1:D"&COUNTIF(D:D,">0")))'}, f"""
+SELECT {R("sum(c_acctbal) FILTER (WHERE c_custkey < (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING'))", 2)} AS s, count(*) FILTER (WHERE c_custkey < (SELECT count(*) FROM customer WHERE c_acctbal > 0)) AS n FROM customer""", 2)
+fills("text_fractions", "part", {"eighths": '=TEXT(E1/8,"# ?/8")', "either": '=TEXT(F1,"[>900]0.0;[<=500]""low"";0")'}, ["p_partkey"], """
+SELECT p_partkey, CASE WHEN p_size % 8 = 0 THEN (p_size // 8) || '    ' ELSE CASE WHEN p_size < 8 THEN '' ELSE CAST(p_size // 8 AS VARCHAR) END || ' ' || (p_size % 8) || '/8' END AS eighths,
+  CASE WHEN p_retailprice > 900 THEN format('{:.1f}', round(p_retailprice, 1)) WHEN p_retailprice <= 500 THEN 'low' ELSE format('{:.0f}', round(p_retailprice, 0)) END AS either FROM part""")
+
+
+@query("validation_kinds", "SELECT p_partkey, p_size BETWEEN 5 AND 20 AS size, length(p_name) <= 16 AS name, p_retailprice > 10 * p_size AS custom FROM part")
+def _validation_kinds(spark: SparkSession, d: str) -> DataFrame:
+    wb = book(spark, d, "part")
+    s = table.validate_custom(wb, "part", "F1>10*E1", "custom")
+    return s.df.select("p_partkey", table.validate(s, "p_size", "between", 5, 20, kind="whole").alias("size"), table.validate(s, "p_name", "lessThanOrEqual", 16, kind="textLength").alias("name"), "custom")
+
+
+@query("conditional_formats", f"SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) <= 10 AS top, {R('(c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ())')} AS scale, c_mktsegment LIKE 'BU%' AS starts FROM customer")
+def _formats(spark: SparkSession, d: str) -> DataFrame:
+    wb = book(spark, d, "customer")
+    for column, rule, given, out in (("c_acctbal", "top", 10, "top"), ("c_acctbal", "colorScale", None, "scale"), ("c_mktsegment", "beginsWith", "bu", "starts")):
+        wb.add(wb.sheet("customer").with_df(table.conditional_format(wb, "customer", column, rule, given, out=out)))
+    return rounded(wb.sheet("customer").df.select("c_custkey", "top", "scale", "starts"))
+
+
+@query("cells_sorted", "SELECT n_nationkey + 1 AS _row, c AS _col, CASE c WHEN 1 THEN CAST(n_nationkey AS VARCHAR) WHEN 2 THEN n_name ELSE CAST(n_regionkey AS VARCHAR) END AS shown FROM nation, range(1, 4) t(c)")
+def _cells_sorted(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(table.cells_sorted(book(spark, d, "nation").sheet("nation")).select("_row", "_col", "shown"))
+
+
+@query("put_ranges", "SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'here' WHEN 2 THEN 'there' ELSE r_name END AS r_name FROM region")
+def _put_ranges(spark: SparkSession, d: str) -> DataFrame:
+    s = book(spark, d, "region").sheet("region")
+    return rounded(table.put_range(s, "B2:B3", ["here", "there"]).df.select("r_regionkey", "r_name"))
+
+
+@query("external_reference", "SELECT n_nationkey, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+def _external(spark: SparkSession, d: str) -> DataFrame:
+    wb = book(spark, d, "nation")
+    wb.link("world.xlsx", book(spark, d, "region").sheet("region"))
+    return rounded(wb.fill("nation", "region", "=XLOOKUP(C1,[world.xlsx]region!A:A,[world.xlsx]region!B:B)").df.select("n_nationkey", "region"))
+
+
+@query("recurrence_errors", "SELECT CAST(k AS BIGINT) AS _row, CASE WHEN k < 4 THEN round(1.0 / (4 - k), 4) END AS share, CASE WHEN k >= 4 THEN '#DIV/0!' END AS share__err, CASE WHEN k = 4 THEN 0.0 ELSE round(1.0 / (4 - k), 4) END AS kept FROM range(1, 9) t(k)")
+def _recurrence_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A quotient that fails in one row: the error stays in all rows that build on it, and IFERROR ends it."""
+    wb = Workbook()
+    wb.add(Sheet("t", spark.range(1, 9).select(F.col("id").alias("_row"), (4 - F.col("id")).cast("double").alias("x")), ["x"], "_row"))
+    m = Model(wb, base_row=2)
+    m.set("t", "share", "=MIN(1/A2,9)+B1*0")
+    m.set("t", "kept", "=IFERROR(1/A2,0)+C1*0")
+    m.recalculate()
+    return wb.sheet("t").df.select("_row", F.round("share", 4).alias("share"), "share__err", F.round("kept", 4).alias("kept"))
+
+
+@query("xlsx_formulas", "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, CAST(n_nationkey * 2 + 1 AS DOUBLE) AS odd, '(A' || (n_nationkey + 2) || '*2)+1' AS f FROM nation")
+def _xlsx_formulas(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "book") + ".xlsx"
+    df = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", (F.col("n_nationkey") * 2 + 1).alias("odd"), (F.col("n_nationkey") + 1).alias("_row"))
+    xlsx.write_xlsx({"nation": df}, path, formulas={"nation": {"odd": "=A2*2+1"}}, dimension=True)
+    long = xlsx.read_cells(spark, path).where("_row > 1")
+    return long.groupBy("_row").agg(F.max(F.when(F.col("_col") == 1, F.col("num"))).alias("n_nationkey"), F.max(F.when(F.col("_col") == 2, F.col("num"))).alias("odd"), F.regexp_replace(F.max("formula"), r"^=|^\((.*)\)$", "$1").alias("f")).drop("_row")
+
+
+@query("xlsx_transform", "SELECT CAST(r_regionkey AS DOUBLE) AS r_regionkey, CASE WHEN r_regionkey = 1 THEN 'changed' ELSE r_name END AS r_name FROM region")
+def _xlsx_transform(spark: SparkSession, d: str) -> DataFrame:
+    source, target = (scratch(spark, n) + ".xlsx" for n in ("before", "after"))
+    xlsx.write_xlsx({"region": book(spark, d, "region").sheet("region").df}, source)
+    xlsx.transform_xlsx(spark, source, target, "region", {"B3": "changed"})
+    return xlsx.read_sheet(spark, target, "region").df.select("r_regionkey", "r_name")
+
+
+@query("stream_limit", "SELECT 1000 AS n, 1000 AS ids")
+def _stream_limit(spark: SparkSession, d: str) -> DataFrame:
+    out = stream.first_rows(streamed(spark, d, "events"), 1000, scratch(spark, "first"), scratch(spark, "first-state"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
 # --- extensions: what the sheet language has no form for, by Spark itself ----------------
 
 

@@ -106,7 +106,7 @@ def match_ref(text: str, at: int, sheet: str | None = None) -> tuple[Ref | Range
 def parse_ref(text: str) -> Ref | Range:
     """A whole text as one reference, with an optional sheet name."""
     sheet, at = None, 0
-    if m := re.match(r"(?:'((?:[^']|'')+)'|([A-Za-z_][\w.]*))!", text):
+    if m := re.match(r"(?:'((?:[^']|'')+)'|((?:\[[^\[\]]+\])?[A-Za-z_][\w.]*))!", text):
         sheet, at = (m[1] or m[2]).replace("''", "'"), m.end()
     found = match_ref(text, at, sheet)
     if not found or found[1] != len(text):

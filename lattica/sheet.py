@@ -93,7 +93,12 @@ class Workbook:
         try:
             return self.sheets[name.lower()]
         except KeyError:
-            raise FormulaError(f"no sheet {name}") from None
+            outside = name.startswith("[")
+            raise FormulaError(f"{name} is of another workbook, and nothing is linked under that name" if outside else f"no sheet {name}") from None
+
+    def link(self, book: str, sheet: Sheet) -> Sheet:
+        """A sheet of another workbook, for references such as [book]Sheet1!A1. It is read as it is given here; the other workbook is never opened."""
+        return self.add(Sheet(f"[{book}]{sheet.name}", sheet.df, list(sheet.columns), sheet.row, list(sheet.order), dict(sheet.errors)))
 
     def remove(self, name: str) -> None:
         del self.sheets[self.sheet(name).name.lower()]

@@ -43,6 +43,27 @@ def to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") ->
     return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
 
 
+def first_rows(df: DataFrame, n: int, path: str, checkpoint: str, fmt: str = "parquet") -> DataFrame:
+    """The first n rows that come, in files; the stream ends with the batch that has the last of them, and what lies beyond is never read. The size of a batch is the source's (files_per_trigger)."""
+    spark = df.sparkSession
+    taken = 0
+
+    def take(batch: DataFrame, number: int) -> None:
+        nonlocal taken
+        if taken >= n:
+            return
+        part = f"{path}/batch={number}"
+        batch.limit(n - taken).write.format(fmt).mode("overwrite").save(part)  # a batch that is run again replaces itself
+        taken += spark.read.format(fmt).schema(df.schema).load(part).count()
+
+    query = df.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while not query.awaitTermination(1):
+        if taken >= n:
+            query.stop()
+            break
+    return spark.read.format(fmt).schema(df.schema).option("basePath", path).load(f"{path}/batch=*") if taken else spark.createDataFrame([], df.schema)
+
+
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream of few result rows (sums, windows) over what is there now and gives the in-memory result table, which the driver holds; `to_files` is for results that grow with the input."""
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
