@@ -1,6 +1,6 @@
 """Quality rules: the log-likelihood ratio of hashed n-grams between a trusted-target and a raw-corpus multinomial, length-normalised, with a deterministic threshold for every document.
 
-Features are the bigrams of words and the trigrams of bytes (A-Z kept), each hashed into BUCKETS buckets of its own. The raw multinomial counts every document of the corpus; the target multinomial counts those of a bounded set of trusted documents: the up to TARGET_ROWS ids of quality 1 with the least keyed hash, but for every HOLD_OUT-th by another hash, which calibrate; as many ids of quality 0 calibrate too. A document's score is the sum of log(target / raw) over its n-grams divided by their number. The threshold is fixed before any document is judged: held-out trusted documents' scores put it at their KEEP_TRUSTED quantile, and rejected labelled ones, where they lie lower, move it halfway towards themselves.
+Features are the bigrams of words and the trigrams of bytes (A-Z kept), each hashed into BUCKETS buckets of its own. The raw multinomial counts every document of the corpus; the target multinomial counts those of a bounded set of trusted documents: the up to TARGET_ROWS ids of quality 1 with the least keyed hash, but for every HOLD_OUT-th by another hash, which calibrate; as many ids of quality 0 calibrate too. A document's score is the sum of log(target / raw) over its n-grams divided by their number. The threshold is fixed before any document is judged: held-out trusted documents' scores put it at their KEEP_TRUSTED quantile, and rejected labelled ones, where they lie lower, move it halfway towards themselves; only documents that the base rule lets through calibrate.
 
 Base rule: a text of fewer than MIN_WORDS words, or with more than half of its words in repeated windows of three words, fails.
 
@@ -127,7 +127,7 @@ def score(text: bytes, words: list[bytes], memo: dict[bytes, int], ratio: np.nda
 
 
 def scored(known: DataFrame, ratio: np.ndarray, buckets: int) -> DataFrame:
-    """known (part, text) -> trusted, score of texts that are long enough for the base rule."""
+    """known (part, text) -> trusted, score of texts that the base rule lets through; the threshold need not part the others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
@@ -135,7 +135,8 @@ def scored(known: DataFrame, ratio: np.ndarray, buckets: int) -> DataFrame:
             got = []
             for part, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = t.as_py() or b""
-                if len(words := text.split()) >= MIN_WORDS:
+                words = text.split()
+                if not base_fails(len(words), repeated_words(words)):
                     got.append((part == "trusted", score(text, words, memo, ratio, buckets)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.bool_()), pa.array([x[1] for x in got], pa.float64())], ["trusted", "score"])
 
@@ -156,6 +157,10 @@ def repeated_words(words: list[bytes]) -> int:
     return int(np.count_nonzero(np.cumsum(edge)))
 
 
+def base_fails(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > 50 * n_words
+
+
 def measures(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     lines = [x for x in raw.split(b"\n") if x.strip()]
@@ -178,7 +183,7 @@ def judged(rows: DataFrame, ratio: np.ndarray, least: float, buckets: int = BUCK
                 raw = text.encode()
                 words = raw.split()
                 m = measures(text, raw, words)
-                failed = m[0] < MIN_WORDS or 100 * m[4] > 50 * m[0]
+                failed = base_fails(m[0], m[4])
                 s = score(raw, words, memo, model.value, buckets)
                 out.append((*m, failed, s, not failed and s >= least))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]

@@ -49,8 +49,8 @@ def plain_judge(texts, parts, buckets):
             shape = (raw[k] + 0.5) / all_raw
             ratio[k] = math.log((target[k] + prior * shape) / (all_target + prior) / shape)
     score = {i: sum(ratio[k] for k in g) / len(g) if g else 0.0 for i, g in grams.items()}
-    long = {i for i, t in texts.items() if len(re.findall(r"[^\x20\x09-\x0D]+", t)) >= 50}
-    good, bad = (sorted(score[i] for i in long if parts.get(i) == p) for p in ("trusted", "rejected"))
+    through = {i for i, t in texts.items() if (m := plain(t))[0] >= 50 and 2 * m[4] <= m[0]}
+    good, bad = (sorted(score[i] for i in through if parts.get(i) == p) for p in ("trusted", "rejected"))
     low = good[math.floor(quality.KEEP_TRUSTED * (len(good) - 1))]
     below = [x for x in bad if x < low]
     return score, (low + max(below)) / 2 if below else low
