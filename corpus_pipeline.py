@@ -27,13 +27,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of a schedule in which sources have tempered weights."""
+    """Every document, in the order of a schedule in which sources have tempered weights; sharding keeps that order."""
     return mix.in_order(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its slot in it."""
-    return shard.shard_documents(docs)
+    """Every document with its shard and its slot in it; in each shard, documents stand in the order in which the mixing stage wrote them."""
+    return shard.shard_documents(docs, ordered=True)
 
 
 STAGES = [

@@ -2,7 +2,7 @@
 
 Each source is cut into blocks of BLOCK_ROWS rows, in the order of a keyed content hash. Of a source of weight w (weights sum to one), block i (from 0) is released at floor(i / w) and due at ceil((i + 1) / w); at every slot the released block of the earliest deadline goes next. Every block then meets its deadline, so at any slot t before its last block a source has had less than one block more or less than w * t. Weights are exact fractions of the given numbers: release times and deadlines are whole-number arithmetic without rounding, at every size and for any number of sources. Past a source's last block its slots stay idle and the others go on in their proportions.
 
-The mixture ends at the horizon: the slot at which the sources that have run out hold more than `tolerance` of the target weight (None: never). Documents beyond it have a slot and are marked as not in the mixture; `mixed` leaves them out. Mixing as a stage of the pipeline (`in_order`) returns every document in the order of the slots, the weights' part being the order alone. Nothing is repeated.
+The mixture ends at the horizon: the slot at which the sources that have run out hold more than `tolerance` of the target weight (None: never). Documents beyond it have a slot and are marked as not in the mixture; `mixed` leaves them out. Mixing as a stage of the pipeline (`in_order`) returns every document in the order of the slots, the weights' part being the order alone; the sharding stage numbers each shard's slots in that order. Nothing is repeated.
 
 Without given weights a source's target is its number of rows to the power EXPONENT (tempered sampling).
 

@@ -2,7 +2,9 @@
 
 Rows fall into blocks by a hash of their content. How many rows of each block go to each shard is drawn exactly: a multivariate hypergeometric draw, block after block, from the shards' remaining room. Inside a block the rows are permuted by a keyed hash and dealt out by the drawn counts; in its shard each row is permuted again by another keyed hash, and its place is the slot. Every permutation of the rows is equally likely as far as the hashes are random, and shard sizes differ by one at most (law `rows`).
 
-The driver holds the matrix alone: MAX_BLOCKS x shards numbers whatever the input's size. Ranks come from `common.ranked`, so no block, shard or group of copies meets in one task. Everything depends on content and seed, not on partitions, so a rerun after a lost executor deals the same.
+With `ordered`, the shards are dealt in the same way, but a row's slot is its rank in its shard by the order in which the table was written. The pipeline uses that: its shards hold the schedule of the mixing stage, each a uniform sample of the documents in the schedule's order, so what is read up to a slot has the target mixture, but for the draw.
+
+The driver holds the matrix alone: MAX_BLOCKS x shards numbers whatever the input's size (with `ordered`, also a number a file). Ranks come from `common.ranked`, so no block, shard or group of copies meets in one task. Everything depends on content, seed and, with `ordered`, the written order, not on partitions, so a rerun after a lost executor deals the same.
 
 Defined results: a null text has no bytes (size 1, CRC-32 0); null ids are hashed like any value; rows that are equal in id and text are interchangeable; an empty table gives no rows; further columns pass through, packed, under any name.
 """
@@ -16,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import column, json_table, materialize, ranked, read
+from lattica.llm.common import in_written_order, json_table, materialize, packed, ranked, read
 
 N_SHARDS = 16
 SEED = 20
@@ -60,10 +62,11 @@ def matrix(block_rows: list[int], n_shards: int, seed: int) -> list[list[int]]:
 
 
 def place(rows: DataFrame, n_shards: int, seed: int, tag: str = "shard") -> DataFrame:
-    """rows with a long column __key (a content hash): adds __shard (int) and __slot (long)."""
+    """rows with a long column __key (a content hash): adds __shard (int) and __slot (long). Slots go by __position (gapless from 0) where rows have it, else by a keyed hash."""
     spark = rows.sparkSession
     fine = {r.b: r.n for r in rows.groupBy(F.shiftrightunsigned("__key", 52).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_BLOCKS rows at most
-    blocks = max(1, min(MAX_BLOCKS, sum(fine.values()) // BLOCK_ROWS))
+    total = sum(fine.values())
+    blocks = max(1, min(MAX_BLOCKS, total // BLOCK_ROWS))
     block = F.floor(F.shiftrightunsigned("__key", 52) * blocks / MAX_BLOCKS).cast("int")
     sizes = [0] * blocks
     for b, n in fine.items():
@@ -71,15 +74,19 @@ def place(rows: DataFrame, n_shards: int, seed: int, tag: str = "shard") -> Data
     ends = [{"b": b, "ends": np.cumsum(row).tolist()} for b, row in enumerate(matrix(sizes, n_shards, seed))]
     dealt = ranked(rows.withColumn("__block", block).withColumn("__first", F.xxhash64(F.lit(seed), F.col("__key"))), ["__block"], "__first", "__rank", bits=2)
     dealt = dealt.join(F.broadcast(json_table(spark, json.dumps(ends), "b:int,ends:array<bigint>")), F.col("__block") == F.col("b"))
-    dealt = dealt.withColumn("__shard", F.size(F.filter("ends", lambda e: e <= F.col("__rank"))).cast("int")).withColumn("__second", F.xxhash64(F.lit(seed + 1), F.col("__key")))
-    dealt = materialize(dealt.drop("__block", "__first", "__rank", "b", "ends"), tag)
+    dealt = dealt.withColumn("__shard", F.size(F.filter("ends", lambda e: e <= F.col("__rank"))).cast("int"))
+    # Positions are spread over all leading bits, by which ranks are cut.
+    dealt = dealt.withColumn("__second", F.shiftleft("__position", 63 - total.bit_length()) if "__position" in rows.columns else F.xxhash64(F.lit(seed + 1), F.col("__key")))
+    dealt = materialize(dealt.drop("__block", "__first", "__rank", "b", "ends", "__position"), tag)
     return ranked(dealt, ["__shard"], "__second", "__slot").drop("__second")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
-    """docs with shard (int) and slot (long, gapless from 0 in each shard). Columns of docs by these names give way to the new ones."""
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, ordered: bool = False) -> DataFrame:
+    """docs with shard (int) and slot (long, gapless from 0 in each shard; with `ordered`, in the order in which docs was written). Columns of docs by these names give way to the new ones."""
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(F.struct(*[column(docs, c).alias(c) for c in names]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("__key"))
+    rows = in_written_order(docs) if ordered else packed(docs)
+    kept = F.struct(*[F.col("row")[c].alias(c) for c in names]).alias("row")
+    rows = rows.select(kept, F.xxhash64(F.col("row.doc_id"), F.col("row.text")).alias("__key"), *[c for c in rows.columns if c == "__position"])
     return place(rows, n_shards, seed, "shards").select("row.*", F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
