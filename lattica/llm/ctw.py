@@ -26,7 +26,7 @@ DEPTH, MAX_STRINGS, HEAVY = 4, 1_000_000, 100_000
 #: Context bytes by which strings are dealt, and strings of whole contexts that are worked out at once.
 LOW, MANY = 2, 1 << 19
 FOLDS, HELD_OUT = 7, 2
-#: Bytes whose strings are sorted at once, and different strings that a task holds before it emits them.
+#: Bytes of text that are taken and whose strings are sorted at once, and different strings that a task holds before it emits them.
 CHUNK, RUNS = 1 << 21, 1 << 22
 
 
@@ -41,13 +41,14 @@ def strings(texts: list[bytes], depth: int, before: list[bytes] | None = None) -
     """(context, byte) of each byte, as numbers: the nearest context byte above the byte itself, the farthest on top. `before`: the `depth` bytes that precede each text; without it, texts are whole: each begins in a context of zeros and ends with a zero."""
     if before is None:
         texts, before = [t + b"\0" for t in texts], [b"\0" * depth] * len(texts)
-    raw = np.frombuffer(b"".join(x for pair in zip(before, texts, strict=True) for x in pair), np.uint8).astype(np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    at = np.arange(sizes.sum()) + np.repeat((np.arange(len(texts)) + 1) * depth, sizes)
-    out = raw[at]
+    raw = np.frombuffer(b"".join(x for pair in zip(before, texts, strict=True) for x in pair), np.uint8)
+    out = raw.astype(np.int64)
     for d in range(1, depth + 1):
-        out |= raw[at - d] << (8 * d)
-    return out
+        far = raw[:-d].astype(np.int64)
+        far <<= 8 * d
+        out[d:] |= far
+    sizes = np.array([[depth, len(t)] for t in texts], np.int64).ravel()
+    return out[np.repeat(np.tile([False, True], len(texts)), sizes)]
 
 
 def pieces(texts: list[bytes], depth: int, most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,6 +75,18 @@ def pieces(texts: list[bytes], depth: int, most: int = CHUNK) -> Iterator[tuple[
         yield done()
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text: what a task holds goes by bytes, not by Spark's number of rows in a batch. A longer text is a batch of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def lowered(texts: pa.Array) -> list[bytes]:
     return pc.ascii_lower(texts).cast(pa.binary()).to_pylist()
 
@@ -93,13 +106,13 @@ def string_counts(rows: DataFrame, depth: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        size = 0
+        merged, fresh = 0, 0  # strings of the first run, which is added up, and of the others
 
         def done() -> pa.RecordBatch:
             k, n = summed(keys, counts)
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[0]), pa.array(n[1])], ["key", "n", "m"])
 
-        for b in batches:
+        for b in slices(batches, 1):
             held = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
             texts = lowered(b.column(1))
             for out in (False, True):
@@ -107,14 +120,14 @@ def string_counts(rows: DataFrame, depth: int) -> DataFrame:
                     k, n = np.unique(grams, return_counts=True)
                     keys.append(k)
                     counts.append(np.array([n * (not out), n]))
-                    size += len(k)
-                    if size > RUNS:
+                    fresh += len(k)
+                    if fresh > max(CHUNK // 4, min(merged, RUNS // 2)):  # so the runs are twice the different strings, not all that came
                         k, n = summed(keys, counts)
-                        keys, counts, size = [k], [n], len(k)
-                        if size > RUNS // 2:
+                        keys, counts, merged, fresh = [k], [n], len(k), 0
+                        if merged > RUNS // 2:
                             yield done()
-                            keys, counts, size = [], [], 0
-        if size:
+                            keys, counts, merged = [], [], 0
+        if keys:
             yield done()
 
     return arrow_map(rows.select("held_out", "text"), work, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -301,7 +314,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """token, c: counts of words in training texts; the end is not among them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             found = words(b.column(0))[1].value_counts()
             yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts").cast(pa.int64())], ["token", "c"])
 
@@ -358,7 +371,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, most: int = MAX_STRINGS, heavy:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, tokens, token_logs = model.value
         end = float(np.log10(ends + 1))
-        for b in batches:
+        for b in slices(batches, 2):
             size = b.num_rows
             texts = lowered(b.column(2))
             score, owner, missed, tf = byte_scores(texts, keys, logs, depth)

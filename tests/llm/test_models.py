@@ -408,6 +408,49 @@ def test_lm_depth_is_the_same_at_every_size(spark, documents, odd):
             assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * (1 + abs(b[2])) for a, b in zip(got, want, strict=True))
 
 
+def test_lm_slices_hold_every_row_once():
+    import pyarrow as pa
+
+    texts = ["", "abc", None, "x" * 25, "", "déf", "ghijkl", "m"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t, pa.string())], ["i", "text"]) for t in (texts, [], [""], texts[::-1])]
+    got = list(ctw.slices(iter(batches), 1, 10))
+    assert [t for b in got for t in b.column(1).to_pylist()] == [*texts, "", *texts[::-1]]
+    assert all(b.num_rows and (b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 10) for b in got)
+
+
+def test_lm_memory_of_a_task_does_not_grow_with_its_batches(spark, odd, monkeypatch):
+    """What the tasks that read texts hold at most, on batches of 2 MB of text and of 24 MB; and the same results."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    found, real = {}, ctw.arrow_map
+    monkeypatch.setattr(ctw, "arrow_map", lambda df, work, schema: (found.__setitem__(schema, work), real(df, work, schema))[1])
+    ctw.scored(odd).count()
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(300)])
+    one = [" ".join(vocabulary[rng.integers(0, 300, 800)]) for _ in range(500)]
+    for schema, work in found.items():
+        if schema.startswith("id ") or schema == "key long, n long, m long":
+            score = schema.startswith("id ")
+            peaks, results = [], []
+            for times in (1, 12):
+                texts = one * times
+                columns = [pa.array(np.arange(len(texts)) % 7 == 2), pa.array(texts)]
+                batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), *columns] if score else columns, ["id", "held_out", "text"] if score else ["held_out", "text"])
+                del texts, columns
+                tracemalloc.start()
+                out = [b.select(["id", "n_bytes", "score"] if score else ["key", "m"]) for b in work(iter([batch]))]
+                peaks.append(tracemalloc.get_traced_memory()[1])
+                tracemalloc.stop()
+                results.append(sorted(r for b in out for r in zip(*b.to_pydict().values(), strict=True)))
+            assert peaks[1] < 1.3 * peaks[0], (schema, peaks)
+            if score:
+                assert np.allclose([r[1:] for r in results[1]], [r[1:] for r in results[0]] * 12)
+            else:
+                assert [(k, 12 * m) for k, m in results[0]] == results[1]
+
+
 def plain_language(rows, labels, strength=8.0, strength_said=2.0):
     """Posteriors by dictionaries. rows: (text, declared, suffix, domain, host); labels: (text, lang)."""
     langs = sorted({lang for _, lang in labels})
