@@ -118,7 +118,7 @@ def moved(b, name: str, rng: Range, lo: int | None, hi: int | None) -> Column:
     how, empty = {"SUM": ("sum", 0.0), "COUNT": ("count", 0), "COUNTA": ("count", 0), "MIN": ("min", None), "MAX": ("max", None)}.get(name, (None, None))
     if how is None:
         raise Unsupported(f"{name} has no running form")
-    limit = F.col(row) >= rng.start.row if lo is None else F.col(row) <= rng.end.row
+    limit = F.col(row) >= rng.start.row if lo is None else rng.ends_after(F.col(row))
     cell = (lambda v: F.when(limit & v.col.isNotNull(), F.lit(1))) if name == "COUNTA" else (lambda v: F.when(limit, numeric(v)))
     b.df = ordered.running(b.df, row, {n: (how, cell(v)) for n, v in zip(names, vals, strict=True)}, reverse=lo is not None, base=b.sheet.df)
     parts = [F.col(n) if empty is None else F.coalesce(F.col(n), F.lit(empty)) for n in names]

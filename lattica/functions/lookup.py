@@ -42,7 +42,7 @@ def table_side(b, rng: Range, columns: list[int]):
     b.fixed(rng)
     sheet = b.sheet_of(rng).numbered()
     first = rng.start.row or 1
-    df = sheet.df if not rng.start.row else sheet.df.where(F.col(sheet.row).between(rng.start.row, rng.end.row))
+    df = sheet.df if not rng.start.row else sheet.df.where(rng.covers(F.col(sheet.row)))
     return df, (F.col(sheet.row) - first).alias("__at"), [sheet.val(c) for c in columns]
 
 
@@ -120,7 +120,7 @@ def found_moving(b, key: Val, rng: Range, col: int, result: Range | None, how: s
     row = b.sheet.numbered_row(b)
     k, v = b.sheet.val(rng.start.col), b.sheet.val(col)
     name, flag = b.new(), b.new()
-    here = F.col(row) >= rng.start.row if move[0] is None else F.col(row) <= rng.end.row
+    here = F.col(row) >= rng.start.row if move[0] is None else rng.ends_after(F.col(row))
     err = F.lit(None).cast("string") if v.err is None else v.err
     table = b.sheet.df.where(here).select(make(k).alias(flag), F.struct(F.col(row).alias("r"), v.col.alias("v"), err.alias("e")).alias("s")).where(F.col(flag).isNotNull())
     each = table.groupBy(flag).agg((F.max_by if tie_last else F.min_by)("s", F.col("s.r")).alias(name))

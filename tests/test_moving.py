@@ -206,3 +206,24 @@ def test_filter_by_shifted_rows_and_unique_columns(spark, wb):
     w2 = Workbook()
     w2.add(Sheet("U", spark.createDataFrame([(1, 1.0, "a", 1.0, "A", 2.0), (2, None, "b", None, "B", 3.0)], "_row bigint, a double, b string, c double, d string, e double"), row="_row"))
     assert w2.eval("=UNIQUE(A:E,TRUE)", "U").columns == ["a", "b", "e", "_row"] and w2.eval("=UNIQUE(A:E,TRUE,TRUE)", "U").columns == ["e", "_row"]
+
+
+def test_ranges_to_the_last_row_of_the_grid_go_to_the_end_of_the_table(spark):
+    rows = [(n, float(n % 10), "k") for n in (1, 999_999, 1_000_001, 1_048_576, 1_048_577, 3_000_000)]
+    wb = Workbook()
+    wb.add(Sheet("L", spark.createDataFrame(rows, "_row bigint, a double, b string"), row="_row"))
+    out = wb.fill_all("L", {"rest": "=SUM(A1:$A$1048576)", "n": "=COUNTIF(B1:B$1048576,B1)", "all": "=SUM($A$2:$A$1048576)", "at": "=MATCH(7,$A$1:$A$1048576,0)", "part": "=SUM(A1:$A$1048575)"})
+    got = {r._row: r for r in out.df.collect()}
+    for n, _, _ in rows:
+        assert got[n].rest == sum(a for m, a, _ in rows if m >= n) and got[n].n == sum(m >= n for m, _, _ in rows)
+        assert got[n].all == sum(a for m, a, _ in rows if m >= 2) and got[n].at == 1_048_577
+        assert got[n].part == sum(a for m, a, _ in rows if n <= m <= 1_048_575)
+
+
+def test_running_sum_beyond_a_million_rows(spark, tmp_path):
+    from lattica.queries import QUERIES
+
+    keys = [0, 5, 999_999, 1_000_000, 2_000_000]
+    spark.createDataFrame([(k, 1, "O", k + 0.25, None, "") for k in keys], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r for r in QUERIES["running_sum"](spark, str(tmp_path)).collect()}
+    assert {k: r.rest for k, r in got.items()} == {k: sum(x + 0.25 for x in keys if x >= k) for k in keys}
