@@ -337,3 +337,28 @@ def test_transform_in_place(spark, tmp_path):
     assert xlsx.read_sheet(spark, target, "Other").df.count() == 5 and xlsx.sheets_of(spark, target) == ["S", "Other"]
     with pytest.raises(ValueError):
         xlsx.transform_xlsx(spark, source, target, "none", {"A1": 1})
+
+
+def test_sort_command_places_every_row_once(spark, tmp_path):
+    """Range partitions of a sort are sampled anew at each evaluation; places must not come from them."""
+    from lattica.queries import QUERIES
+
+    rows = [(k, f"c{k}", k % 25, None if k % 97 == 0 else float(k * 7919 % 701), "AbBc"[k % 4]) for k in range(20_000)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey bigint, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as large tables have it: several partitions
+    try:
+        got = QUERIES["sort_command"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = sorted(rows, key=lambda r: (r[4].lower(), r[3] is not None, -(r[3] or 0.0), r[0]))
+    assert [(r.place, r.c_custkey) for r in sorted(got, key=lambda r: r.place)] == [(i, r[0]) for i, r in enumerate(want, 1)]
+
+
+def test_places_by_keys_of_all_directions(spark):
+    rows = [(n, None if n % 5 == 0 else "xYz"[n % 3], None if n % 7 == 0 else float(n % 11), n % 2 == 0) for n in range(1, 400)]
+    s = Sheet("P", spark.createDataFrame(rows, "_row bigint, t string, v double, f boolean"), row="_row")
+    for keys in ([("t", True), ("v", False)], [("v", True), ("t", False), ("f", True)], [("f", False), ("t", True)]):
+        placed = sorted(table.sort_sheet(s, keys, "place").collect(), key=lambda r: r.place)
+        assert [r.place for r in placed] == list(range(1, 400))
+        assert [r._row for r in placed] == [r._row for r in table.sort_sheet(s, keys).collect()]
