@@ -60,30 +60,44 @@ def _nper(r, pmt, pv, fv=None, kind=None):
     return finite(F.when(F.abs(r.col) < FLAT, -F.try_divide(pv.col + opt(fv), pmt.col)).otherwise(F.when(ratio > 0, F.try_divide(F.log(ratio), F.log(F.when(r.col > -1, 1 + r.col))))))
 
 
-def newton(guess: Column, f: Callable[[Column], Column], slope: Callable[[Column], Column], most: int, floor: float = 0.0) -> Val:
-    """x with |f(x)| or the last step below 1e-7 within `most` steps, else #NUM!."""
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f reads it. Folds are interpreted, without common subexpressions."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def newton(guess: Column, f: Callable[[Column], Column], slope: Callable[[Column], Column], most: int, floor: float = 0.0) -> Column:
+    """x with |f(x)| or the last step below 1e-7 within `most` steps, else NULL. Steps after the end cost a comparison alone."""
     start = F.struct(guess.alias("x"), F.lit(False).alias("done"), F.lit(False).alias("bad"))
 
     def step(s: Column, _: Column) -> Column:
-        x, d = s["x"], slope(s["x"])
-        nxt = x - F.try_divide(f(x), d)
-        bad = nxt.isNull() | F.isnan(nxt) | (F.abs(d) < floor) | (nxt <= -1)
-        stop = s["done"] | s["bad"]
-        return F.struct(F.when(stop | bad, x).otherwise(nxt).alias("x"), (s["done"] | (~s["bad"] & ~F.coalesce(bad, F.lit(True)) & (F.abs(nxt - x) < 1e-7))).alias("done"), (s["bad"] | (~s["done"] & F.coalesce(bad, F.lit(True)))).alias("bad"))
+        x = s["x"]
+
+        def moved(nxt: Column, d: Column) -> Column:
+            bad = F.coalesce(nxt.isNull() | F.isnan(nxt) | (F.abs(d) < floor) | (nxt <= -1), F.lit(True))
+            return let(bad, lambda bad: F.struct(F.when(bad, x).otherwise(nxt).alias("x"), (~bad & (F.abs(nxt - x) < 1e-7)).alias("done"), bad.alias("bad")))
+
+        return F.when(s["done"] | s["bad"], s).otherwise(let(slope(x), lambda d: let(x - F.try_divide(f(x), d), lambda nxt: moved(nxt, d))))
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)
-    return num(F.when(end["done"], end["x"]), F.when(~end["done"], F.lit("#NUM!")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: F.when(s["done"], s["x"]))
+
+
+def root(b, x: Column) -> Val:
+    """What `newton` gives, in a column of its own where a formula is filled down, so that value and error do not solve twice."""
+    if b.base_row is not None and b.arrays is False:
+        name = b.new()
+        b.df, x = b.df.withColumn(name, x), F.col(name)
+    return num(x, F.when(x.isNull(), F.lit("#NUM!")))
 
 
-@scalar("RATE", "nnnnnn", 3)
-def _rate(n, pmt, pv, fv=None, kind=None, guess=None):
+@scalar("RATE", "nnnnnn", 3, binder=True)
+def _rate(b, n, pmt, pv, fv=None, kind=None, guess=None):
     t = due(kind)
 
     def f(r: Column) -> Column:
-        g = F.pow(1 + r, n.col)
-        return F.when(F.abs(r) < FLAT, pv.col + pmt.col * n.col + opt(fv)).otherwise(pv.col * g + pmt.col * (1 + r * t) * F.try_divide(g - 1, r) + opt(fv))
+        power = lambda g: pv.col * g + pmt.col * (1 + r * t) * F.try_divide(g - 1, r) + opt(fv)
+        return F.when(F.abs(r) < FLAT, pv.col + pmt.col * n.col + opt(fv)).otherwise(let(F.pow(1 + r, n.col), power))
 
-    return newton(F.lit(0.1) if guess is None else guess.col, f, lambda r: (f(r + 1e-6) - f(r - 1e-6)) / 2e-6, 100)
+    return root(b, newton(F.lit(0.1) if guess is None else guess.col, f, lambda r: (f(r + 1e-6) - f(r - 1e-6)) / 2e-6, 100))
 
 
 def flows(b, node) -> Column | DataFrame:
@@ -158,7 +172,7 @@ def _irr(b, args):
 
     def build(xs: Column) -> list[Column]:
         both = F.exists(xs, lambda x: x > 0) & F.exists(xs, lambda x: x < 0)
-        out = newton(guess, lambda r: summed(xs, lambda x, i: x / F.pow(1 + r, i)), lambda r: summed(xs, lambda x, i: -i * x / F.pow(1 + r, i + 1)), 50)
+        out = root(b, newton(guess, lambda r: summed(xs, lambda x, i: x / F.pow(1 + r, i)), lambda r: summed(xs, lambda x, i: -i * x / F.pow(1 + r, i + 1)), 50))
         return [out.col, F.when(~F.coalesce(both, F.lit(False)), F.lit(HOST)).otherwise(out.err)]
 
     return num(*solved(b, flows(b, args[0]), build))
@@ -209,7 +223,7 @@ def _xirr(b, args):
 
     def build(xs: Column) -> list[Column]:
         both = F.exists(xs, lambda p: p["v"] > 0) & F.exists(xs, lambda p: p["v"] < 0)
-        out = newton(guess, lambda r: summed(xs, lambda p, _: p["v"] / F.pow(1 + r, p["t"])), lambda r: summed(xs, lambda p, _: -p["t"] * p["v"] / F.pow(1 + r, p["t"] + 1)), 100, 1e-10)
+        out = root(b, newton(guess, lambda r: summed(xs, lambda p, _: p["v"] / F.pow(1 + r, p["t"])), lambda r: summed(xs, lambda p, _: -p["t"] * p["v"] / F.pow(1 + r, p["t"] + 1)), 100, 1e-10))
         return [out.col, F.when(~F.coalesce(both, F.lit(False)), F.lit(HOST)).otherwise(out.err)]
 
     return num(*solved(b, dated(b, args[0], args[1]), build))

@@ -171,3 +171,14 @@ def test_show_parses_back(text):
 def test_bad_formulas(fruit, text):
     with pytest.raises(FormulaError):
         fruit.eval("=" + text)
+
+
+def test_newton_works_out_each_step_once(spark):
+    """A fold is interpreted: what its expression repeats is computed again, in every step of every row."""
+    from lattica.sheet import Sheet, Workbook
+
+    wb = Workbook()
+    wb.add(Sheet("f", spark.createDataFrame([(1, -1000.0, 600.0, 700.0)], "_row bigint, a double, b double, c double"), row="_row"))
+    for formula, powers in (("=IRR(A1:C1)", 2), ("=ROUND(RATE(48,-30,1000),6)", 3), ("=XIRR(A1:C1,A1:C1)", 2)):
+        plan = wb.fill("f", "x", formula).df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.upper().count("POWER(") == powers, (formula, plan.upper().count("POWER("))
