@@ -85,7 +85,7 @@ def found(b, key: Val, rng_key: Range, col: int, result: Range | None, how: str,
             got = one.select("r.__v").scalar() if result is not None else one.select(F.col("r.__at") + 1).scalar()
             return Val(got, kind, first_error(key.err, F.when(one.select(F.col("r").isNull()).scalar(), F.lit(code))))
         asked = b.new()
-        b.df = ordered.asof(b.df.withColumn(asked, number.col), asked, table.select("__k", "__at", F.struct("__v", "__at", "__e").alias(name)), "__k", [name], "__at", forward, tie_last).drop(asked)
+        b.df = ordered.asof(b.df.withColumn(asked, number.col), asked, table.select("__k", "__at", F.struct("__v", "__at", "__e").alias(name)), "__k", [name], "__at", forward, tie_last, base=b.sheet.df, asked=number.col).drop(asked)
     got = F.col(name)["__v"] if result is not None else F.col(name)["__at"] + 1
     return Val(got, kind, first_error(key.err, F.when(F.col(name).isNull(), F.lit(code)), None if err is None else F.col(name)["__e"]))
 

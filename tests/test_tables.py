@@ -362,3 +362,24 @@ def test_places_by_keys_of_all_directions(spark):
         placed = sorted(table.sort_sheet(s, keys, "place").collect(), key=lambda r: r.place)
         assert [r.place for r in placed] == list(range(1, 400))
         assert [r._row for r in placed] == [r._row for r in table.sort_sheet(s, keys).collect()]
+
+
+def test_asof_deals_crowded_keys(spark):
+    """Probes beyond the table's keys, of one key or of none must not meet in one partition of the window."""
+    probes = [5.0 + n / 7 for n in range(3000)] + [2.0] * 3000 + [None] * 2000 + [-1.0 - n for n in range(500)]
+    df = spark.createDataFrame(list(enumerate(probes)), "i int, k double")
+    keys = [0.0, 1.0, 2.0, 2.5, 3.0, 4.0]
+    lookup = spark.createDataFrame([(k, int(k * 10)) for k in keys], "t double, v int")
+    for forward in (False, True):
+        out = ordered.asof(df, "k", lookup, "t", ["v"], "v", forward)
+        want = {i: None if p is None else next((int(k * 10) for k in (keys if forward else keys[::-1]) if (k >= p if forward else k <= p)), None) for i, p in enumerate(probes)}
+        assert {r.i: r.v for r in out.collect()} == want and out.count() == len(probes)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        largest = max(r.n for r in ordered.asof(df, "k", lookup, "t", ["v"], "v").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("v")).collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert largest < len(probes) / 10
